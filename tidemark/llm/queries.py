@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, packing, sharding
+from tidemark.llm import decontam, near_dedup, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(decontam.find_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op6_packing, op7_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op6_packing, op7_decontamination, op8_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
