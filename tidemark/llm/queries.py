@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, near_dedup, packing, sharding
+from tidemark.llm import decontam, near_dedup, packing, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_report(substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), 50))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
 
@@ -35,7 +39,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op6_packing, op7_decontamination, op8_near_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op5_suffix_dedup, op6_packing, op7_decontamination, op8_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
