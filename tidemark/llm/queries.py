@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, near_dedup, packing, sharding, substring_dedup
+from tidemark.llm import decontam, langid, near_dedup, packing, quality, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,23 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether the CRC of the id's digits has this remainder; true for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(True))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(quality.training_rows(docs, table(spark, sf_dir, "labels"), "quality", held_out(5, 0)))
+    return quality.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = langid.learn(docs, held_out(3, 1))
+    return langid.identify(docs.select("doc_id", "text"), samples).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), 50))
 
@@ -39,7 +57,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op5_suffix_dedup, op6_packing, op7_decontamination, op8_near_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_langid, op5_suffix_dedup, op6_packing, op7_decontamination, op8_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
