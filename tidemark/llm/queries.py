@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, langid, near_dedup, packing, quality, sharding, substring_dedup
+from tidemark.llm import ann, decontam, langid, near_dedup, packing, quality, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), samples).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_report(substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), 50))
 
@@ -57,7 +61,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_langid, op5_suffix_dedup, op6_packing, op7_decontamination, op8_near_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_langid, op4_ann, op5_suffix_dedup, op6_packing, op7_decontamination, op8_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
