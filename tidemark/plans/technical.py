@@ -111,14 +111,14 @@ def win_08_rsi_returns(spark, sf_dir):
 @query(
     "win_09_macd",
     f"""with recursive {INDEXED_SQL}, seeds as (select symbol, avg(close) filter (i<12) as s12, avg(close) filter (i<26) as s26 from ix group by symbol having count(*)>=40),
+    f12 as (select symbol, cast(11 as bigint) as i, s12 as v from seeds union all select x.symbol, x.i, x.close*(2.0/13)+f12.v*(1-2.0/13) from f12 join ix x on x.symbol=f12.symbol and x.i=f12.i+1),
+    f26 as (select symbol, cast(25 as bigint) as i, s26 as v from seeds union all select x.symbol, x.i, x.close*(2.0/27)+f26.v*(1-2.0/27) from f26 join ix x on x.symbol=f26.symbol and x.i=f26.i+1),
+    lines as (select x.symbol, x.i, f12.v as f, f26.v as s, coalesce(f12.v-f26.v, 0) as line from ix x left join f12 using (symbol, i) left join f26 using (symbol, i)),
     e as (select symbol, cast(0 as bigint) as i, cast(null as double) as f, cast(null as double) as s, cast(0 as double) as acc, cast(null as double) as sig from seeds
       union all
       select b.symbol, b.i, b.f, b.s, case when b.i<9 then e.acc+b.line else e.acc end,
              case when b.i<8 then null when b.i=8 then (e.acc+b.line)/9 else b.line*0.2+e.sig*0.8 end
-      from e join lines b on b.symbol=e.symbol and b.i=e.i+1),
-    f12 as (select symbol, cast(11 as bigint) as i, s12 as v from seeds union all select x.symbol, x.i, x.close*(2.0/13)+f12.v*(1-2.0/13) from f12 join ix x on x.symbol=f12.symbol and x.i=f12.i+1),
-    f26 as (select symbol, cast(25 as bigint) as i, s26 as v from seeds union all select x.symbol, x.i, x.close*(2.0/27)+f26.v*(1-2.0/27) from f26 join ix x on x.symbol=f26.symbol and x.i=f26.i+1),
-    lines as (select x.symbol, x.i, f12.v as f, f26.v as s, coalesce(f12.v-f26.v, 0) as line from ix x left join f12 using (symbol, i) left join f26 using (symbol, i))
+      from e join lines b on b.symbol=e.symbol and b.i=e.i+1)
     select symbol, {r6('f-s')} as macd, {r6('sig')} as signal, {r6('f-s-sig')} as hist from (select *, row_number() over (partition by symbol order by i desc) as rk from e) where rk=1""",
 )
 def win_09_macd(spark, sf_dir):
@@ -235,10 +235,10 @@ def win_20_drawdown(spark, sf_dir):
     return m.indexed(spark, sf_dir).select("symbol", "date", F.max("close").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)).alias("peak"), rounded(ta.drawdown()).alias("drawdown"))
 
 
-@query("win_21_equity", f"with {INDEXED_SQL} select symbol, date, floor(exp(sum(ln(1+coalesce(ret,0.0))) over (partition by symbol order by date))*1e7+0.5)/1e7 as equity from ix")
+@query("win_21_equity", f"with {INDEXED_SQL} select symbol, date, floor(exp(sum(ln(1+coalesce(ret,0.0))) over (partition by symbol order by date))*1e6+0.5001)/1e6 as equity from ix")
 def win_21_equity(spark, sf_dir):
     growth = F.exp(F.sum(F.log(1 + F.coalesce("ret", F.lit(0.0)))).over(BY_DATE))
-    return m.indexed(spark, sf_dir).select("symbol", "date", rounded(growth, 7).alias("equity"))
+    return m.indexed(spark, sf_dir).select("symbol", "date", (F.floor(growth * 1e6 + 0.5001) / 1e6).alias("equity"))
 
 
 @query("win_22_realised_vol", f"with {INDEXED_SQL} select symbol, date, case when i>=21 then {r6('stddev_pop(ret) over (partition by symbol order by date rows between 20 preceding and 1 preceding)')} end as rv20 from ix")
