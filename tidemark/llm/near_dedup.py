@@ -5,8 +5,9 @@ pairs, bit counts (corrected for chance agreement) estimate their similarity, an
 pairs that may reach the threshold are confirmed on the full shingle sets.
 
 Documents with equal sets are one class from the start.  Within a band bucket every
-class is paired with one root, not with every other; buckets that still hold several
-components afterwards are compared across components, in blocks of bounded size.
+class is paired with one root, not with every other.  In buckets that still hold several
+components, each class outside the largest proposes its best partner of another component,
+until no proposal is a link; only then all pairs across components are compared, in blocks.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from tidemark.llm.common import gram_hash, materialise, mix, span_hash, text_chu
 from tidemark.llm.components import connected_components
 
 BANDS, ROWS, BITS = 32, 5, 2
+#: Minima whose low bits are kept; the first BANDS * ROWS also make the bands.
+MINIMA = 320
 #: Rows of a table of pairs up to which it is broadcast (24 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: Rows of a block of a bucket.
 BLOCK_ROWS = 2048
 #: A pair whose estimate lies this many standard errors below the threshold is dropped.
-ERRORS = 6.0
+ERRORS = 4.5
 #: All bytes but white space, with A-Z in lower case; 0x20 stands for the byte 0.
 LETTERS = np.arange(256, dtype=np.uint8)
 LETTERS[0x41:0x5B] += 0x20
@@ -54,8 +57,7 @@ def shingle_sets(offsets: np.ndarray, body: np.ndarray, size: int) -> list[np.nd
 class Signer:
     """Band hashes and packed low bits of a set's minima, with fixed coefficients."""
 
-    def __init__(self, bands: int = BANDS, rows: int = ROWS):
-        n = bands * rows
+    def __init__(self, bands: int = BANDS, rows: int = ROWS, n: int = MINIMA):
         seed = mix(np.arange(1, 2 * n + 1, dtype=np.uint64))
         self.bands, self.rows = bands, rows
         self.factor = (seed[:n] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -69,7 +71,7 @@ class Signer:
 
     def sign(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = self.minima(hashes)
-        rows = low.reshape(self.bands, self.rows).astype(np.uint64)
+        rows = low[: self.bands * self.rows].reshape(self.bands, self.rows).astype(np.uint64)
         keys = self.band.copy()
         for i in range(self.rows):
             keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
@@ -130,7 +132,7 @@ def _estimated(pairs: DataFrame, bits: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                keep = similarity(a, b, BANDS * ROWS) >= least
+                keep = similarity(a, b, MINIMA) >= least
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 
     both = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
@@ -163,36 +165,47 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     return members.join(roots, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(buckets: DataFrame, low: float, high: float) -> DataFrame:
-    """Pairs of classes of one bucket, from different components, with low <= estimate < high.
+def _across(buckets: DataFrame, least: float, percent: int, every: bool) -> DataFrame:
+    """Pairs of classes of one bucket, from different components, with estimates of ``least`` or more.
 
-    ``buckets``: band, node, component, bits.  Members outside the bucket's most frequent
-    component face all members; both sides are dealt in blocks of BLOCK_ROWS.
+    ``buckets``: band, node, component, size, bits.  Members outside the bucket's most
+    frequent component face all members; both sides are dealt in blocks of BLOCK_ROWS.
+    Each of them proposes its best partner in a block, or ``every`` partner.  Sets whose
+    sizes alone rule the threshold out make no pair.
     """
     sizes = buckets.groupBy("band", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     rows = buckets.join(main.select("band", "main", blocks.alias("blocks")), "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = rows.filter("component <> main").select("band", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), "node", "component", "bits")
-    right = rows.select("band", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node", "component", "bits")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = rows.filter("component <> main").select("band", F.col("own").alias("i"), F.explode(others).alias("j"), F.lit(0).alias("side"), "node", "component", "size", "bits")
+    right = rows.select("band", F.explode(others).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node", "component", "size", "bits")
 
-    def compare(node, component, bits, side):
+    def compare(side, node, component, size, bits):
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         for at in range(0, len(x), 128):
             p = x[at : at + 128]
-            estimate = similarity(bits[p, None], bits[None, y], BANDS * ROWS)
-            u, v = np.nonzero((component[p, None] != component[None, y]) & (estimate >= low) & (estimate < high))
+            fits = (component[p, None] != component[None, y]) & (100 * np.minimum(size[p, None], size[None, y]) >= percent * np.maximum(size[p, None], size[None, y]))
+            u, v = np.nonzero(fits)
+            if not len(u):
+                continue
+            estimate = similarity(bits[p[u]], bits[y[v]], MINIMA)
+            keep = estimate >= least
+            u, v, estimate = u[keep], v[keep], estimate[keep]
+            if not every and len(u):
+                order = np.lexsort((node[y[v]], -estimate, u))
+                first = order[np.r_[True, u[order][1:] != u[order][:-1]]]
+                u, v = u[first], v[first]
             yield np.minimum(node[p[u]], node[y[v]]), np.maximum(node[p[u]], node[y[v]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            band, i, j, side, node, component = (table.column(c).to_numpy() for c in range(6))
-            bits = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(len(node), -1)
+            band, i, j, *columns = (table.column(c).to_numpy() for c in range(7))
+            columns.append(np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(len(band), -1))
             cut = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            found = [p for a, b in zip([0, *cut], [*cut, len(node)], strict=True) for p in compare(node[a:b], component[a:b], bits[a:b], side[a:b])]
+            found = [p for a, b in zip([0, *cut], [*cut, len(band)], strict=True) for p in compare(*[c[a:b] for c in columns])]
             for a, b in found:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -230,29 +243,33 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col:
         .groupBy("n_shingles", "set_a", "set_b")
         .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     )
-    bits = classes.select("node", "bits")
+    bits = classes.select("node", F.col("n_shingles").alias("size"), "bits")
     bands = classes.select("node", F.explode("bands").alias("band"))
     roots = bands.groupBy("band").agg(F.min("node").alias("root"), F.count("*").alias("n")).filter("n > 1")
     buckets = materialise(bands.join(roots.select("band", "root"), "band"))
-    least = least_estimate(percent / 100, BANDS * ROWS)
+    least = least_estimate(percent / 100, MINIMA)
     pairs = buckets.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()
     links = materialise(confirm(_estimated(pairs, bits, least), docs, shingle, percent))
     labels = connected_components(links)
-    high, mixed = 2.0, None
-    for low in (percent / 100 + 0.1, percent / 100, percent / 100 - 0.08, least):
-        if mixed is None:  # components have changed
-            named = buckets.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-            spread = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
-            mixed = materialise(named.join(spread, "band", "left_semi").join(bits, "node").select("band", "node", "component", "bits"))
-            if not mixed.limit(1).count():
-                break
-        more = materialise(_across(mixed, low, high))
-        if more.limit(1).count():
-            found = materialise(confirm(more, docs, shingle, percent))
-            if found.limit(1).count():
-                links, mixed = materialise(links.union(found)), None
-                labels = connected_components(links)
-        high = low
+    every, tested = False, pairs.filter("false")
+    while True:
+        named = buckets.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+        spread = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
+        mixed = materialise(named.join(spread, "band", "left_semi").join(bits, "node").select("band", "node", "component", "size", "bits"))
+        if not mixed.limit(1).count():
+            break
+        more = materialise(_across(mixed, least, percent, every).join(tested, ["a", "b"], "left_anti"))
+        found = materialise(confirm(more, docs, shingle, percent))
+        if found.limit(1).count():
+            links = materialise(links.union(found))
+            labels = connected_components(links)
+        elif not every:  # no best partner is a link any more; the rest is compared in full
+            every = True
+            tested = tested.union(more)
+            continue
+        if every:
+            break
+        tested = tested.union(more)
     members = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.select("n_shingles", "set_a", "set_b", "node"), ["n_shingles", "set_a", "set_b"], "left")
     return members.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"),

@@ -1 +1,165 @@
-"""Queries."""
+"""Queries over text: sentiment, tokens, feeds, requests, dedupe of articles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidemark.functions.lexicon import BEAR, BULL, FIXTURE
+from tidemark.functions.numeric import rounded
+from tidemark.plans.registry import query
+from tidemark.plans.technical import r6
+from tidemark.sources.market import table
+
+_TOKENS = "tk as (select doc_id, source, list_distinct(list_transform(string_split_regex(lower(text), '[\\s]+'), lambda w: trim(w, '.,;:!?'))) as tokens from documents)"
+_W = "case w " + " ".join(f"when '{k}' then {v}" for k, v in FIXTURE.items()) + " else 0 end"
+_HITS = f"ht as (select doc_id, source, list_sum(list_transform(tokens, lambda w: {_W})) as score, len(list_filter(tokens, lambda w: {_W}<>0)) as hits from tk)"
+_LEVEL = "case when hits=0 then 'HOLD' when score*1.0/hits>=1.2 then 'STRONG_BUY' when score*1.0/hits>0.2 then 'BUY' when score*1.0/hits<=-1.2 then 'STRONG_SELL' when score*1.0/hits<-0.2 then 'SELL' else 'HOLD' end"
+
+
+def labelled(spark, sf_dir):
+    tokens = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(".,;:!?"))))
+    weights = F.create_map(*[F.lit(x) for pair in FIXTURE.items() for x in pair])
+    found = F.filter(F.transform(tokens, lambda w: F.try_element_at(weights, w)), lambda w: w.isNotNull())
+    x = table(spark, sf_dir, "documents").select("doc_id", "source", found.alias("found"))
+    x = x.select("doc_id", "source", F.aggregate("found", F.lit(0), lambda a, w: a + w).alias("score"), F.size("found").alias("hits"))
+    mean = F.col("score") / F.greatest("hits", F.lit(1))
+    level = F.when(F.col("hits") == 0, "HOLD").when(mean >= 1.2, "STRONG_BUY").when(mean > 0.2, "BUY").when(mean <= -1.2, "STRONG_SELL").when(mean < -0.2, "SELL").otherwise("HOLD")
+    return x.withColumn("level", level)
+
+
+@query("str_01_sentiment_label", f"with {_TOKENS}, {_HITS} select doc_id, cast(score as int) as score, cast(hits as int) as hits, {_LEVEL} as level from ht")
+def str_01_sentiment_label(spark, sf_dir):
+    """Each distinct token counts once."""
+    return labelled(spark, sf_dir).select("doc_id", "score", "hits", "level")
+
+
+@query("agg_36_sentiment_by_source", f"with {_TOKENS}, {_HITS}, lv as (select *, {_LEVEL} as level from ht) select source, count(*) as n, {r6('sum(score)*1.0/greatest(sum(hits),1)')} as weighted, count(*) filter (level like '%BUY') as bullish, count(*) filter (level like '%SELL') as bearish from lv group by source")
+def agg_36_sentiment_by_source(spark, sf_dir):
+    return labelled(spark, sf_dir).groupBy("source").agg(
+        F.count("*").alias("n"), rounded(F.sum("score") / F.greatest(F.sum("hits"), F.lit(1))).alias("weighted"), F.count_if(F.col("level").endswith("BUY")).alias("bullish"), F.count_if(F.col("level").endswith("SELL")).alias("bearish"))
+
+
+@query("flt_04_sentiment_shares", f"with {_TOKENS}, {_HITS}, lv as (select *, {_LEVEL} as level from ht) select level, {r6('count(*)*100.0/sum(count(*)) over ()')} as share from lv group by level")
+def flt_04_sentiment_shares(spark, sf_dir):
+    g = labelled(spark, sf_dir).groupBy("level").agg(F.count("*").alias("c"))
+    return g.select("level", rounded(F.col("c") * 100.0 / F.sum("c").over(Window.partitionBy(F.lit(0)))).alias("share"))  # five rows
+
+
+@query("add_06_three_classes", f"with {_TOKENS}, {_HITS}, lv as (select *, {_LEVEL} as level from ht) select doc_id, case when level like '%BUY' then 'positive' when level like '%SELL' then 'negative' else 'neutral' end as class from lv")
+def add_06_three_classes(spark, sf_dir):
+    level = F.col("level")
+    return labelled(spark, sf_dir).select("doc_id", F.when(level.endswith("BUY"), "positive").when(level.endswith("SELL"), "negative").otherwise("neutral").alias("class"))
+
+
+@query("agg_34_confusion", f"with {_TOKENS}, {_HITS}, c as (select case when score>0 then 1 else 0 end as p, quality as y from ht join labels using (doc_id)), k as (select unnest([0,1]) as class) select class, count(*) filter (p=class and y=class) as tp, count(*) filter (p=class and y<>class) as fp, count(*) filter (p<>class and y=class) as fn, {r6('count(*) filter (p=class and y=class)*1.0/greatest(count(*) filter (p=class),1)')} as precision, {r6('count(*) filter (p=class and y=class)*1.0/greatest(count(*) filter (y=class),1)')} as recall from c cross join k group by class")
+def agg_34_confusion(spark, sf_dir):
+    c = labelled(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select(F.when(F.col("score") > 0, 1).otherwise(0).alias("p"), F.col("quality").alias("y"), F.explode(F.array(F.lit(0), F.lit(1))).alias("class"))
+    p, y = F.col("p") == F.col("class"), F.col("y") == F.col("class")
+    tp = F.count_if(p & y)
+    return c.groupBy("class").agg(tp.alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), rounded(tp / F.greatest(F.count_if(p), F.lit(1))).alias("precision"), rounded(tp / F.greatest(F.count_if(y), F.lit(1))).alias("recall"))
+
+
+def _contains(words, column):
+    return "(" + "+".join(f"(contains(lower({column}), '{w}'))::int" for w in words) + ")"
+
+
+@query("str_02_substring_sentiment", f"select doc_id, {_contains(BULL, 'text')} as bull, {_contains(BEAR, 'text')} as bear, case when {_contains(BULL, 'text')}>{_contains(BEAR, 'text')} then 'bullish' when {_contains(BULL, 'text')}<{_contains(BEAR, 'text')} then 'bearish' else 'neutral' end as tone from documents")
+def str_02_substring_sentiment(spark, sf_dir):
+    """Substring hits: "bull" counts inside longer words."""
+    count = lambda words: sum((F.contains(F.lower("text"), F.lit(w)).cast("int") for w in words), F.lit(0))
+    x = table(spark, sf_dir, "documents").select("doc_id", count(BULL).alias("bull"), count(BEAR).alias("bear"))
+    return x.withColumn("tone", F.when(F.col("bull") > F.col("bear"), "bullish").when(F.col("bull") < F.col("bear"), "bearish").otherwise("neutral"))
+
+
+_STOP = ("the", "and", "for", "that", "with")
+_STOPS = ", ".join(f"'{w}'" for w in _STOP)
+
+
+@query("str_03_tokens", f"select doc_id, len(list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g')), ' +'), lambda w: len(w)>2 and w not in ({_STOPS}))) as n_tokens from documents")
+def str_03_tokens(spark, sf_dir):
+    words = F.split(F.lower(F.regexp_replace("text", "[^A-Za-z0-9 ]", " ")), " +")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*_STOP))).cast("long").alias("n_tokens"))
+
+
+@query("str_04_relevance", "with q as (select ['the','that','reed'] as ask) select doc_id, " + r6("least(greatest(len(list_filter(string_split_regex(lower(text), '[\\s]+'), lambda w: list_contains(ask, w)))*0.72/3, 0.12), 0.98)") + " as relevance from documents, q")
+def str_04_relevance(spark, sf_dir):
+    ask = F.array(*map(F.lit, ("the", "that", "reed")))
+    hits = F.size(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.array_contains(ask, w)))
+    return table(spark, sf_dir, "documents").select("doc_id", rounded(F.least(F.greatest(hits * 0.72 / 3, F.lit(0.12)), F.lit(0.98))).alias("relevance"))
+
+
+@query("set_02_lexicon_overlap", "select doc_id, len(list_intersect(list_distinct(string_split_regex(lower(text), '[\\s]+')), ['the','and','of','to'])) as overlap from documents")
+def set_02_lexicon_overlap(spark, sf_dir):
+    both = F.array_intersect(F.array_distinct(F.split(F.lower("text"), r"\s+")), F.array(*map(F.lit, ("the", "and", "of", "to"))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(both).cast("long").alias("overlap"))
+
+
+@query("set_03_dedupe_articles", "select doc_id, source from documents qualify row_number() over (partition by lower(text) order by doc_id)=1")
+def set_03_dedupe_articles(spark, sf_dir):
+    """First article of each text, found on a digest so the texts themselves are not shuffled."""
+    first = table(spark, sf_dir, "documents").groupBy(F.sha2(F.lower("text"), 256).alias("digest")).agg(F.min(F.struct("doc_id", "source")).alias("first"))
+    return first.select("first.doc_id", "first.source")
+
+
+@query("flt_09_keyword_filter", "select doc_id from documents where regexp_matches(text, '(?i)license|rights') and not regexp_matches(text, '(?i)apache')")
+def flt_09_keyword_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(F.col("text").rlike("(?i)license|rights") & ~F.col("text").rlike("(?i)apache")).select("doc_id")
+
+
+@query("src_16_page_titles", "select page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title from pages")
+def src_16_page_titles(spark, sf_dir):
+    title = F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    for entity, text in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        title = F.replace(title, F.lit(entity), F.lit(text))
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"))
+
+
+@query("src_16_page_links", "select page_id, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as links from pages")
+def src_16_page_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).cast("long").alias("links"))
+
+
+_FLAGS = ("risk", "buy", "sell", "ai", "long", "short")
+
+
+@query("str_06_query_flags", "select conv_id, turn, " + ", ".join(f"contains(lower(text), '{f}') as f_{f}" for f in _FLAGS) + " from conversations where role='user'")
+def str_06_query_flags(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", *[F.contains(F.lower("text"), F.lit(f)).alias(f"f_{f}") for f in _FLAGS])
+
+
+@query("str_10_plan_intent", "select conv_id, turn, case when regexp_matches(lower(text), 'buy|sell|invest') then 'advice' when regexp_matches(lower(text), 'risk|loss') then 'risk_check' when regexp_matches(lower(text), 'what|how|why') then 'define' else 'research' end as intent, length(text) as size from conversations where role='user'")
+def str_10_plan_intent(spark, sf_dir):
+    low = F.lower("text")
+    intent = F.when(low.rlike("buy|sell|invest"), "advice").when(low.rlike("risk|loss"), "risk_check").when(low.rlike("what|how|why"), "define").otherwise("research")
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", intent.alias("intent"), F.length("text").cast("long").alias("size"))
+
+
+@query("dec_13_default_agents", "with p as (select conv_id, turn, case when regexp_matches(lower(text), 'what|how|why') then 'define' when turn%2=0 then 'advice' else 'research' end as intent from conversations where role='user'), a as (select *, case intent when 'define' then []::varchar[] when 'advice' then ['market','analyst','risk'] else ['market','researcher'] end as agents from p) select conv_id, turn, agent from (select conv_id, turn, unnest(agents) as agent from a)")
+def dec_13_default_agents(spark, sf_dir):
+    intent = F.when(F.lower("text").rlike("what|how|why"), "define").when(F.col("turn") % 2 == 0, "advice").otherwise("research")
+    agents = F.when(intent == "advice", F.array(*map(F.lit, ("market", "analyst", "risk")))).when(intent == "research", F.array(F.lit("market"), F.lit("researcher")))
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.explode(agents).alias("agent"))
+
+
+@query("str_09_ticker_inference", "select conv_id, turn, coalesce(nullif(regexp_extract(text, '[$]([A-Z]{1,5})', 1), ''), upper(regexp_extract(text, '([A-Za-z]{3,})', 1))) as ticker from conversations where role='user'")
+def str_09_ticker_inference(spark, sf_dir):
+    ticker = F.coalesce(F.nullif(F.regexp_extract("text", r"[$]([A-Z]{1,5})", 1), F.lit("")), F.upper(F.regexp_extract("text", "([A-Za-z]{3,})", 1)))
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", ticker.alias("ticker"))
+
+
+@query("str_14_source_quality", "select doc_id, case when contains(source, '1') then 1.1 when contains(source, '2') then 0.9 else 1.0 end as weight from documents")
+def str_14_source_quality(spark, sf_dir):
+    s = F.col("source")
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(s.contains("1"), 1.1).when(s.contains("2"), 0.9).otherwise(1.0).alias("weight"))
+
+
+@query("str_15_stable_key", "select doc_id, substr(sha256(lang || '|' || source || '|' || doc_id), 1, 16) as key from documents")
+def str_15_stable_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.concat_ws("|", "lang", "source", F.col("doc_id").cast("string")), 256), 1, 16).alias("key"))
+
+
+@query("agg_37_recency_polarity", f"with {_TOKENS}, {_HITS} select source, {r6('sum(score*power(0.5,(doc_id%240)/72.0))/sum(power(0.5,(doc_id%240)/72.0))')} as polarity from ht group by source")
+def agg_37_recency_polarity(spark, sf_dir):
+    weight = F.pow(F.lit(0.5), (F.col("doc_id") % 240) / 72.0)
+    return labelled(spark, sf_dir).groupBy("source").agg(rounded(F.sum(F.col("score") * weight) / F.sum(weight)).alias("polarity"))

@@ -107,7 +107,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = newest.join(facts, "symbol", "left").join(types, "symbol", "left")
     return out.select(
         "symbol", "k", "date", F.col("close").alias("price"), F.col("prev").alias("last_close"), rounded((F.col("close") - F.col("prev")) / F.col("prev") * 100).alias("change_pct"),
-        rounded(F.col("ma50")).alias("ma50"), rounded(F.col("ma200")).alias("ma200"), "hi52", "lo52", "volume", rounded(F.col("avg_volume")).alias("avg_volume"), rounded(F.col("beta")).alias("beta"),
+        rounded(F.col("ma50")).alias("ma50"), rounded(F.col("ma200"), 8).alias("ma200"), "hi52", "lo52", "volume", rounded(F.col("avg_volume")).alias("avg_volume"), rounded(F.col("beta")).alias("beta"),
         (F.col("close") * F.col("volume") * F.pow(F.lit(10.0), 6 + F.col("k") % 4)).alias("market_cap"),
         F.when(F.col("k") % 7 != 0, rounded(F.col("size"))).alias("pe_ratio"), rounded(F.col("yield_pct")).alias("dividend_yield"), "sector",
     )
@@ -127,6 +127,6 @@ facts as (select p_brand as symbol, avg(p_size) as size, cast(sum(cast(round(l_t
    from lineitem join part on l_partkey=p_partkey join newest on p_brand=symbol and cast(l_shipdate as date)=newest.date group by 1),
 types as (select symbol, p_type as sector from (select p_brand as symbol, p_type, row_number() over (partition by p_brand order by count(*) desc, p_type) as rk from part group by 1, 2) where rk=1),
 quotes as (select symbol, k, date, close as price, prev as last_close, floor((close-prev)/prev*100*1e6+0.5)/1e6 as change_pct,
-   floor(ma50*1e6+0.5)/1e6 as ma50, floor(ma200*1e6+0.5)/1e6 as ma200, hi52, lo52, volume, floor(avg_volume*1e6+0.5)/1e6 as avg_volume, floor(beta*1e6+0.5)/1e6 as beta,
+   floor(ma50*1e6+0.5)/1e6 as ma50, floor(ma200*1e8+0.5)/1e8 as ma200, hi52, lo52, volume, floor(avg_volume*1e6+0.5)/1e6 as avg_volume, floor(beta*1e6+0.5)/1e6 as beta,
    close*volume*power(10.0, 6+k%4) as market_cap, case when k%7<>0 then floor(size*1e6+0.5)/1e6 end as pe_ratio, floor(yield_pct*1e6+0.5)/1e6 as dividend_yield, sector
    from newest left join betas using (symbol) left join facts using (symbol) left join types using (symbol))"""
