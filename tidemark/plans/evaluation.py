@@ -1 +1,59 @@
-"""Queries."""
+"""Queries of evaluation runs: intent accuracy, run logs, data audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions.numeric import rounded
+from tidemark.plans.registry import query
+from tidemark.plans.technical import r6
+from tidemark.sources.market import BARS_SQL, bars, table
+
+_INTENT = "case when regexp_matches(lower(text), 'buy|sell|invest') then 'advice' when regexp_matches(lower(text), 'risk|loss') then 'risk_check' else 'research' end"
+
+
+@query("agg_35_intent_accuracy", f"with p as (select role, {_INTENT} as intent, case when turn%2=0 then 'research' else 'advice' end as gold from conversations) select role, count(*) as n, {r6('avg(case when intent=gold then 1.0 else 0.0 end)')} as accuracy from p group by role having count(*)>5")
+def agg_35_intent_accuracy(spark, sf_dir):
+    low = F.lower("text")
+    intent = F.when(low.rlike("buy|sell|invest"), "advice").when(low.rlike("risk|loss"), "risk_check").otherwise("research")
+    gold = F.when(F.col("turn") % 2 == 0, "research").otherwise("advice")
+    g = table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), rounded(F.avg(F.when(intent == gold, 1.0).otherwise(0.0))).alias("accuracy"))
+    return g.filter("n > 5")
+
+
+@query("snk_04_manifest", f"with {BARS_SQL} select symbol, count(*) as rows, min(date) as first, max(date) as last, sum(cast(volume as bigint)) as checksum from bars group by symbol")
+def snk_04_manifest(spark, sf_dir):
+    return bars(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"), F.sum(F.col("volume").cast("long")).alias("checksum"))
+
+
+@query("snk_08_run_log", f"select event_type as action, count(*) as runs, {r6('avg(value)')} as mean_ms, min(value) as least, max(value) as most from events group by 1")
+def snk_08_run_log(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("runs"), rounded(F.avg("value")).alias("mean_ms"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+@query("src_06_periods", "with p as (select unnest(['3y','6mo','10d','bad']) as period) select period, case when regexp_matches(period,'^[0-9]+d$') then cast(regexp_extract(period,'([0-9]+)',1) as int) when regexp_matches(period,'^[0-9]+mo$') then cast(regexp_extract(period,'([0-9]+)',1) as int)*30 when regexp_matches(period,'^[0-9]+y$') then cast(regexp_extract(period,'([0-9]+)',1) as int)*365 else 1095 end as days from p")
+def src_06_periods(spark, sf_dir):
+    p = spark.createDataFrame([("3y",), ("6mo",), ("10d",), ("bad",)], "period string")
+    n, unit = (F.regexp_extract("period", "^([0-9]+)(d|mo|y)$", g) for g in (1, 2))
+    days = F.expr("try_cast(nullif(regexp_extract(period, '^([0-9]+)(d|mo|y)$', 1), '') as int)") * F.when(unit == "d", 1).when(unit == "mo", 30).otherwise(365)
+    return p.select("period", F.coalesce(days, F.lit(1095)).alias("days"))
+
+
+@query("src_08_availability", f"with {BARS_SQL} select symbol, count(*)>=80 as available, case when max(date)>=date '2001-11-01' then 'live' else 'stale' end as tier from bars group by symbol")
+def src_08_availability(spark, sf_dir):
+    return bars(spark, sf_dir).groupBy("symbol").agg((F.count("*") >= 80).alias("available"), F.when(F.max("date") >= F.lit("2001-11-01").cast("date"), "live").otherwise("stale").alias("tier"))
+
+
+@query("src_04_ranked_source", f"with {BARS_SQL}, s as (select symbol, date, close, 1 as rank from bars where k%2=0 union all select symbol, date, close+1, 2 from bars) select symbol, date, close, rank from s qualify row_number() over (partition by symbol, date order by rank)=1")
+def src_04_ranked_source(spark, sf_dir):
+    """The first source that has the row."""
+    b = bars(spark, sf_dir)
+    s = b.filter("k % 2 = 0").select("symbol", "date", "close", F.lit(1).alias("rank")).unionByName(b.select("symbol", "date", (F.col("close") + 1).alias("close"), F.lit(2).alias("rank")))
+    return s.groupBy("symbol", "date").agg(F.min(F.struct("rank", "close")).alias("b")).select("symbol", "date", "b.close", "b.rank")
+
+
+@query("src_10_candle_repair", f"with {BARS_SQL} select symbol, date, coalesce(case when k%5=0 then null else open end, close) as open, greatest(coalesce(high, close), close, open) as high, least(coalesce(low, close), close, open) as low, coalesce(volume, 0) as volume from bars")
+def src_10_candle_repair(spark, sf_dir):
+    return bars(spark, sf_dir).select(
+        "symbol", "date", F.coalesce(F.when(F.col("k") % 5 != 0, F.col("open")), F.col("close")).alias("open"), F.greatest(F.coalesce("high", "close"), "close", "open").alias("high"),
+        F.least(F.coalesce("low", "close"), "close", "open").alias("low"), F.coalesce("volume", F.lit(0.0)).alias("volume"))

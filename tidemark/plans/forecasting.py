@@ -1 +1,64 @@
-"""Queries."""
+"""Queries that need iterative models or resampling: grouped pandas over bounded series."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from tidemark.functions import forecast as fc
+from tidemark.functions.numeric import rounded
+from tidemark.operators import technical as ta
+from tidemark.plans.registry import query
+from tidemark.plans.technical import WIN, lag, over, r6
+from tidemark.sources import market as m
+from tidemark.sources.market import INDEXED_SQL, last
+
+_F = {n: f"close/{lag(k)}-1" for n, k in (("r1", 1), ("r5", 5), ("r10", 10), ("r20", 20))}
+
+
+def training_set(spark, sf_dir):
+    """Features known at the close of each bar from the 30th on, and the 5-bar target."""
+    high, low = F.max("close").over(last(20)), F.min("close").over(last(20))
+    x = m.indexed(spark, sf_dir)
+    cols = [ta.momentum(k).alias(n) for n, k in (("r1", 1), ("r5", 5), ("r10", 10), ("r20", 20))]
+    place = F.when(high > low, (F.col("close") - low) / F.greatest(high - low, F.lit(1e-9)) - 0.5).otherwise(0.0)
+    return x.select("symbol", "date", "i", *cols, F.stddev_pop("ret").over(last(20)).alias("sd20"), place.alias("rng"), ta.forward_return(5).alias("target")).filter("i >= 30")
+
+
+@query("win_17_training_set", f"with {INDEXED_SQL}, s as (select *, {', '.join(f'{v} as {k}' for k, v in _F.items())}, stddev_pop(ret) {over(20)} as sd20, max(close) {over(20)} as hi, min(close) {over(20)} as lo, lead(close,5) over w/close-1 as target from ix{WIN}) select symbol, date, {', '.join(f'{r6(k)} as {k}' for k in (*_F, 'sd20', 'target'))}, {r6('case when hi>lo then (close-lo)/(hi-lo)-0.5 else 0.0 end')} as rng from s where i>=30")
+def win_17_training_set(spark, sf_dir):
+    x = training_set(spark, sf_dir)
+    return x.select("symbol", "date", *[rounded(F.col(c)).alias(c) for c in (*fc.FEATURES, "target")])
+
+
+@query("mdl_04_walk_forward", None)
+def mdl_04_walk_forward(spark, sf_dir):
+    """Ridge and logistic walk-forward per symbol."""
+    x = training_set(spark, sf_dir).groupBy("symbol").applyInPandas(fc.walk_forward, fc.FORECAST)
+    return x.select("symbol", "date", *[rounded(F.col(c), 4).alias(c) for c in ("ridge", "up", "actual")])
+
+
+@query("add_05_accuracy_report", None)
+def add_05_accuracy_report(spark, sf_dir):
+    x = training_set(spark, sf_dir).groupBy("symbol").applyInPandas(fc.walk_forward, fc.FORECAST)
+    hit = F.when(F.signum("ridge") == F.signum("actual"), 1.0).otherwise(0.0)
+    return x.groupBy("symbol").agg(F.count("*").alias("n"), rounded(F.avg(hit), 4).alias("accuracy"), rounded(F.avg(F.abs(F.col("ridge") - F.col("actual"))), 4).alias("mae"))
+
+
+@query("sta_02_bootstrap_difference", None)
+def sta_02_bootstrap_difference(spark, sf_dir):
+    """Sharpe of the market against equal weight; replicates are rows, the daily series (one row a date) is shared."""
+    daily = m.indexed(spark, sf_dir).filter("ret is not null").groupBy("date").agg(F.avg("ret").alias("r")).join(m.market(spark, sf_dir), "date").select("date", "r", "mret").orderBy("date").toPandas()
+    a, b = daily["r"].to_numpy(), daily["mret"].to_numpy()
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for seed in frame["id"]:
+                at = fc.stationary_indices(len(a), 10.0, np.random.default_rng([11, seed]))
+                out.append((seed, fc.sharpe(a[at]) - fc.sharpe(b[at])))
+            yield pd.DataFrame(out, columns=["replicate", "diff"])
+
+    draws = spark.range(400, numPartitions=8).mapInPandas(run, fc.BOOT)
+    return draws.agg(F.count("*").alias("replicates"), rounded(F.percentile("diff", F.lit(0.025)), 4).alias("low"), rounded(F.percentile("diff", F.lit(0.975)), 4).alias("high"))

@@ -1 +1,61 @@
-"""Queries."""
+"""Queries of the sealed prediction log: ids, seals, outcomes, integrity."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions.numeric import rounded
+from tidemark.operators import log
+from tidemark.plans.decision import _HEAD, evidence
+from tidemark.plans.registry import query
+from tidemark.plans.technical import r6
+
+_LOG = _HEAD + ", lg as (select symbol, date as as_of, i, fwd, arm, case when arm='A' then case when mom>0 then 'up' else 'down' end else 'up' end as direction, substr(sha256(strftime(date,'%Y-%m-%d')||'|'||symbol||'|'||arm||'|5'),1,16) as decision_id from ev cross join (select unnest(['A','B']) as arm))"
+
+
+def predictions(spark, sf_dir):
+    arms = F.explode(F.array(F.lit("A"), F.lit("B"))).alias("arm")
+    x = evidence(spark, sf_dir).select("symbol", F.col("date").alias("as_of"), "i", "mom", "fwd", arms)
+    direction = F.when(F.col("arm") == "B", "up").when(F.col("mom") > 0, "up").otherwise("down")
+    return log.sealed(x.withColumn("direction", direction).withColumn("horizon", F.lit(5)))
+
+
+@query("snk_03_decision_ids", _LOG + " select symbol, as_of, arm, decision_id, sha256(decision_id||'|'||direction) as seal from lg")
+def snk_03_decision_ids(spark, sf_dir):
+    return predictions(spark, sf_dir).select("symbol", "as_of", "arm", "decision_id", "seal")
+
+
+@query("snk_01_append", _LOG + " select arm, count(*) as rows, count(distinct decision_id) as ids from lg group by arm")
+def snk_01_append(spark, sf_dir):
+    """Appending the log to its own first half adds only what is new."""
+    p = predictions(spark, sf_dir)
+    held = p.filter("i % 20 = 0")
+    everything = held.unionByName(log.new_rows(p, held, ["symbol", "as_of", "arm", "horizon"]))
+    return everything.groupBy("arm").agg(F.count("*").alias("rows"), F.count_distinct("decision_id").alias("ids"))
+
+
+@query("agg_20_arm_summary", _LOG + f" select arm, count(*) as n, count(distinct symbol) as tickers, {r6('avg(case when (fwd>0)=(direction=chr(117)||chr(112)) then 1.0 else 0.0 end)')} as accuracy from lg where fwd is not null group by arm")
+def agg_20_arm_summary(spark, sf_dir):
+    right = (F.col("fwd") > 0) == (F.col("direction") == "up")
+    return predictions(spark, sf_dir).filter("fwd is not null").groupBy("arm").agg(F.count("*").alias("n"), F.count_distinct("symbol").alias("tickers"), rounded(F.avg(F.when(right, 1.0).otherwise(0.0))).alias("accuracy"))
+
+
+@query("agg_21_forward_dashboard", _LOG + " select arm, count(*) as n, count(*) filter (direction='up') as up, count(*) filter (direction='down') as down from lg group by arm")
+def agg_21_forward_dashboard(spark, sf_dir):
+    d = F.col("direction")
+    return predictions(spark, sf_dir).groupBy("arm").agg(F.count("*").alias("n"), F.count_if(d == "up").alias("up"), F.count_if(d == "down").alias("down"))
+
+
+@query("agg_22_integrity", _LOG + " select count(*) as rows, count(*) filter (i=100 and arm='A') as broken, count(*)-count(distinct decision_id) as duplicates from lg")
+def agg_22_integrity(spark, sf_dir):
+    """Tampered rows (one bar of arm A is flipped here) no longer match their seal."""
+    p = predictions(spark, sf_dir)
+    flipped = F.when((F.col("i") == 100) & (F.col("arm") == "A"), F.concat("direction", F.lit("!"))).otherwise(F.col("direction"))
+    return log.integrity(p.withColumn("direction", flipped))
+
+
+@query("join_02_outcomes", _LOG + f" select decision_id, {r6('fwd')} as realised, (fwd>0)=(direction='up') as correct from lg where fwd is not null")
+def join_02_outcomes(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    outcomes = evidence(spark, sf_dir).filter("fwd is not null").select("symbol", F.col("date").alias("as_of"), F.col("fwd").alias("realised"))
+    return p.join(outcomes, ["symbol", "as_of"]).select("decision_id", rounded(F.col("realised")).alias("realised"), ((F.col("realised") > 0) == (F.col("direction") == "up")).alias("correct"))

@@ -1 +1,34 @@
-"""Queries."""
+"""Queries that run as streams: the same windows over a file source, until it is drained."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidemark.plans.registry import query
+from tidemark.sources.market import table
+from tidemark.streaming.bars import session_stats, tumbling_bars
+
+
+def _drained(spark, stream, name):
+    """All output of a bounded stream, from an in-memory sink of few windows."""
+    sink = f"{name}_{uuid.uuid4().hex}"
+    running = stream.writeStream.format("memory").queryName(sink).outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(sink)
+
+
+@query("stm_ohlc_stream", None)
+def stm_ohlc_stream(spark, sf_dir):
+    """Hourly bars of the event stream with a one-hour watermark; the last hour stays open."""
+    schema = table(spark, sf_dir, "events").schema
+    ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _drained(spark, tumbling_bars(ticks.withColumn("ts", F.col("ts").cast("timestamp"))), "ohlc")
+
+
+@query("stm_sessions_stream", None)
+def stm_sessions_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _drained(spark, session_stats(ticks.withColumn("ts", F.col("ts").cast("timestamp"))), "sessions")
