@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.numeric import rounded
-from tidemark.sources.market import BY_DATE
+from tidemark.sources.market import by_date
 
 RISK_FREE, YEAR = 0.04, 252.0
 
@@ -30,8 +30,8 @@ def annual_pct(r: Column) -> Column:
 
 def with_drawdown(df: DataFrame, include_start: bool = True) -> DataFrame:
     """equity and dd_pct along each symbol; the peak starts at 1 with ``include_start``."""
-    df = df.withColumn("equity", F.exp(F.sum(F.log(1 + F.col("ret"))).over(BY_DATE)))
-    peak = F.max("equity").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("equity", F.exp(F.sum(F.log(1 + F.col("ret"))).over(by_date())))
+    peak = F.max("equity").over(by_date().rowsBetween(Window.unboundedPreceding, 0))
     peak = F.greatest(F.lit(1.0), peak) if include_start else peak
     return df.withColumn("dd_pct", (F.col("equity") - peak) / peak * 100)
 
@@ -52,8 +52,8 @@ def backtest(df: DataFrame, every: int, delay: int) -> DataFrame:
     """
     start = F.expr("least(260, greatest(120, n div 3))")
     decided = df.withColumn("decided", F.when((F.col("i") >= start) & ((F.col("i") - start) % every == 0), F.col("want")))
-    due = decided.withColumn("due", F.lag("decided", delay).over(BY_DATE))
-    held = F.last("due", ignorenulls=True).over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0))
+    due = decided.withColumn("due", F.lag("decided", delay).over(by_date()))
+    held = F.last("due", ignorenulls=True).over(by_date().rowsBetween(Window.unboundedPreceding, 0))
     return due.withColumn("exposure", F.coalesce(held, F.lit(0.0))).drop("due")
 
 

@@ -12,9 +12,10 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.numeric import clip
 from tidemark.functions.recursion import indicators
-from tidemark.sources.market import BY_DATE, last
+from tidemark.sources.market import by_date, last
 
-ALL = Window.partitionBy("symbol")
+def all_bars():
+    return Window.partitionBy("symbol")
 
 
 def warm(value: Column, n: int) -> Column:
@@ -27,17 +28,17 @@ def sma(n: int, column: str = "close") -> Column:
 
 
 def momentum(n: int) -> Column:
-    before = F.lag("close", n).over(BY_DATE)
+    before = F.lag("close", n).over(by_date())
     return F.col("close") / before - 1
 
 
 def momentum_12_1() -> Column:
     """From 251 to 21 bars ago, once more than 253 bars are there."""
-    return F.when(F.col("i") >= 253, F.lag("close", 21).over(BY_DATE) / F.lag("close", 251).over(BY_DATE) - 1)
+    return F.when(F.col("i") >= 253, F.lag("close", 21).over(by_date()) / F.lag("close", 251).over(by_date()) - 1)
 
 
 def forward_return(h: int) -> Column:
-    return F.lead("close", h).over(BY_DATE) / F.col("close") - 1
+    return F.lead("close", h).over(by_date()) / F.col("close") - 1
 
 
 def bollinger(n: int = 20, width: float = 2.0) -> tuple[Column, Column, Column]:
@@ -52,13 +53,13 @@ def percent_b(n: int = 20) -> Column:
 
 def rsi_simple(n: int = 14) -> Column:
     """Cutler's form on price changes; 100 without losses."""
-    change = F.col("close") - F.lag("close").over(BY_DATE)
+    change = F.col("close") - F.lag("close").over(by_date())
     gain, loss = (F.avg(F.greatest(x, F.lit(0.0))).over(last(n)) for x in (F.col("change"), -F.col("change")))
     return F.when(F.col("i") >= n, F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / F.greatest(loss, F.lit(1e-300)))))
 
 
 def with_change(df: DataFrame) -> DataFrame:
-    return df.withColumn("change", F.col("close") - F.lag("close").over(BY_DATE))
+    return df.withColumn("change", F.col("close") - F.lag("close").over(by_date()))
 
 
 def rsi_returns(n: int = 14) -> Column:
@@ -69,7 +70,7 @@ def rsi_returns(n: int = 14) -> Column:
 
 def realised_vol(n: int, inclusive: bool = True) -> Column:
     """Population deviation of returns; without ``inclusive`` the frame ends a bar earlier."""
-    frame = last(n) if inclusive else BY_DATE.rowsBetween(-n, -1)
+    frame = last(n) if inclusive else by_date().rowsBetween(-n, -1)
     return F.when(F.col("i") >= (n if inclusive else n + 1), F.stddev_pop("ret").over(frame))
 
 
@@ -84,12 +85,12 @@ def range_features(n: int = 20) -> tuple[Column, Column]:
 
 
 def drawdown() -> Column:
-    peak = F.max("close").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("close").over(by_date().rowsBetween(Window.unboundedPreceding, 0))
     return F.col("close") / peak - 1
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(BY_DATE)
+    before = F.lag("close").over(by_date())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 

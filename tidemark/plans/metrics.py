@@ -11,7 +11,7 @@ from tidemark.operators import technical as ta
 from tidemark.plans.registry import query
 from tidemark.plans.technical import WIN, lag, over, r6
 from tidemark.sources import market as m
-from tidemark.sources.market import BY_DATE, INDEXED_SQL, MARKET_SQL, last
+from tidemark.sources.market import by_date, INDEXED_SQL, MARKET_SQL, last
 
 _RET = INDEXED_SQL + ", rt as (select symbol, date, i, n, close, ret from ix where ret is not null)"
 _STATS = f"""case when stddev_pop(ret)<1e-12 then 0.0 else {r6('sqrt(252.0)*(avg(ret)-0.04/252)/stddev_pop(ret)')} end as sharpe,
@@ -121,7 +121,7 @@ _DECISION = f"""dc as (select symbol, date, i, n, close, case when {lag(20)} is
 )
 def win_27_backtest(spark, sf_dir):
     """Decide on rebalance days, adopt one bar later, then book: set-wise, without a loop."""
-    x = perf.backtest(m.indexed(spark, sf_dir).withColumn("want", F.when(F.col("close") > F.lag("close", 20).over(BY_DATE), 1.0).otherwise(0.0)), every=5, delay=1)
+    x = perf.backtest(m.indexed(spark, sf_dir).withColumn("want", F.when(F.col("close") > F.lag("close", 20).over(by_date()), 1.0).otherwise(0.0)), every=5, delay=1)
     x = x.withColumn("nxt", ta.forward_return(1)).filter("nxt is not null")
     return x.groupBy("symbol").agg(rounded(F.exp(F.sum(F.log(1 + F.col("exposure") * F.col("nxt")))) - 1).alias("total"), rounded(F.avg("exposure")).alias("exposure"), F.count("*").alias("days"))
 
@@ -131,8 +131,8 @@ def win_27_backtest(spark, sf_dir):
     f"with {INDEXED_SQL}, {_DECISION}, bk as (select *, lead(close,6) over w/lead(close,1) over w-1 as fwd from eff{WIN}) select symbol, count(*) as signals, {r6('avg(fwd)')} as mean_fwd, {r6('avg(case when fwd>0 then 1.0 else 0.0 end)')} as hit from bk where decided=1 and coalesce(exposure,0.0)=0 and fwd is not null group by symbol",
 )
 def win_28_buy_signal_return(spark, sf_dir):
-    x = perf.backtest(m.indexed(spark, sf_dir).withColumn("want", F.when(F.col("close") > F.lag("close", 20).over(BY_DATE), 1.0).otherwise(0.0)), every=5, delay=1)
-    x = x.withColumn("fwd", F.lead("close", 6).over(BY_DATE) / F.lead("close", 1).over(BY_DATE) - 1).filter("decided = 1 and exposure = 0 and fwd is not null")
+    x = perf.backtest(m.indexed(spark, sf_dir).withColumn("want", F.when(F.col("close") > F.lag("close", 20).over(by_date()), 1.0).otherwise(0.0)), every=5, delay=1)
+    x = x.withColumn("fwd", F.lead("close", 6).over(by_date()) / F.lead("close", 1).over(by_date()) - 1).filter("decided = 1 and exposure = 0 and fwd is not null")
     return x.groupBy("symbol").agg(F.count("*").alias("signals"), rounded(F.avg("fwd")).alias("mean_fwd"), rounded(F.avg(F.when(F.col("fwd") > 0, 1.0).otherwise(0.0))).alias("hit"))
 
 
@@ -205,7 +205,7 @@ _DEC = "q as (select *, cast(ceil(10.0*row_number() over (partition by symbol or
 def agg_26_deciles(spark, sf_dir):
     x = _predictions(spark, sf_dir)
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy("score", "date"))
-    x = x.withColumn("decile", (F.ceil(10.0 * rank / F.count("*").over(ta.ALL)) - 1).cast("int"))
+    x = x.withColumn("decile", (F.ceil(10.0 * rank / F.count("*").over(ta.all_bars())) - 1).cast("int"))
     return x.groupBy("symbol", "decile").agg(F.count("*").alias("n"), rounded(F.avg("fwd")).alias("mean_fwd"), rounded(F.min("score")).alias("from_score"))
 
 
@@ -216,7 +216,7 @@ def agg_26_deciles(spark, sf_dir):
 def agg_26_welch_spread(spark, sf_dir):
     x = _predictions(spark, sf_dir)
     rank = F.row_number().over(Window.partitionBy("symbol").orderBy("score", "date"))
-    x = x.withColumn("decile", (F.ceil(10.0 * rank / F.count("*").over(ta.ALL)) - 1).cast("int"))
+    x = x.withColumn("decile", (F.ceil(10.0 * rank / F.count("*").over(ta.all_bars())) - 1).cast("int"))
     top, low = F.when(F.col("decile") == 9, F.col("fwd")), F.when(F.col("decile") == 0, F.col("fwd"))
     g = x.agg(F.avg(top).alias("ta"), F.avg(low).alias("ba"), F.var_samp(top).alias("tv"), F.var_samp(low).alias("bv"), F.count(top).alias("tn"), F.count(low).alias("bn"))
     return g.select(rounded(F.col("ta") - F.col("ba")).alias("spread"), rounded((F.col("ta") - F.col("ba")) / F.sqrt(F.col("tv") / F.col("tn") + F.col("bv") / F.col("bn"))).alias("welch_t"), F.col("tn").alias("n_top"))
@@ -253,7 +253,7 @@ _VF = f"vf as (select symbol, i, var_pop(ret) {over(21)} as f, var_pop(ret) over
 
 
 def _vol_grid(spark, sf_dir):
-    x = m.indexed(spark, sf_dir).withColumn("f", F.var_pop("ret").over(last(21))).withColumn("rv", F.var_pop("ret").over(BY_DATE.rowsBetween(1, 21)))
+    x = m.indexed(spark, sf_dir).withColumn("f", F.var_pop("ret").over(last(21))).withColumn("rv", F.var_pop("ret").over(by_date().rowsBetween(1, 21)))
     return x.filter("i >= 42 and i < n - 21 and i % 21 = 0 and f > 0 and rv > 0")
 
 
@@ -297,9 +297,9 @@ def agg_32_correlations(spark, sf_dir):
 @query("sta_03_newey_west", f"with {_RET}, dm as (select symbol, date, ret-avg(ret) over (partition by symbol) as d from rt), l as (select symbol, d, lag(d,1) over w as d1, lag(d,2) over w as d2, lag(d,3) over w as d3 from dm{WIN}) select symbol, floor((sum(d*d)/count(*)+2*(0.75*sum(d*d1)/count(*)+0.5*sum(d*d2)/count(*)+0.25*sum(d*d3)/count(*)))*1e10+0.5)/1e10 as lrv from l group by symbol")
 def sta_03_newey_west(spark, sf_dir):
     """Bartlett weights over three lags."""
-    x = m.indexed(spark, sf_dir).filter("ret is not null").withColumn("d", F.col("ret") - F.avg("ret").over(ta.ALL))
+    x = m.indexed(spark, sf_dir).filter("ret is not null").withColumn("d", F.col("ret") - F.avg("ret").over(ta.all_bars()))
     for k in (1, 2, 3):
-        x = x.withColumn(f"d{k}", F.lag("d", k).over(BY_DATE))
+        x = x.withColumn(f"d{k}", F.lag("d", k).over(by_date()))
     total = F.sum(F.col("d") * F.col("d")) / F.count("*")
     for k in (1, 2, 3):
         total = total + 2 * (1 - k / 4) * F.sum(F.col("d") * F.col(f"d{k}")) / F.count("*")
@@ -314,7 +314,7 @@ def sta_04_diebold_mariano(spark, sf_dir):
     """Squared-error loss of the score against that of predicting 0."""
     x = _predictions(spark, sf_dir)
     loss = (F.col("score") - F.col("fwd")) * (F.col("score") - F.col("fwd")) - F.col("fwd") * F.col("fwd")
-    x = x.withColumn("d", loss).withColumn("a", F.avg("d").over(ta.ALL)).withColumn("c", F.col("d") - F.col("a")).withColumn("c1", F.lag("c").over(BY_DATE))
+    x = x.withColumn("d", loss).withColumn("a", F.avg("d").over(ta.all_bars())).withColumn("c", F.col("d") - F.col("a")).withColumn("c1", F.lag("c").over(by_date()))
     n = F.count("*")
     var = (F.sum(F.col("c") * F.col("c")) / n + F.sum(F.col("c") * F.col("c1")) / n) / n
     return x.groupBy("symbol").agg(n.alias("n"), rounded(F.max("a") / F.sqrt(var)).alias("dm")).filter("n > 10")

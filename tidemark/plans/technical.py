@@ -9,7 +9,7 @@ from tidemark.functions.numeric import clip, rounded
 from tidemark.operators import technical as ta
 from tidemark.plans.registry import query
 from tidemark.sources import market as m
-from tidemark.sources.market import BARS_SQL, BY_DATE, INDEXED_SQL, MARKET_SQL, last
+from tidemark.sources.market import BARS_SQL, by_date, INDEXED_SQL, MARKET_SQL, last
 
 W = "over (partition by symbol order by date rows between {} preceding and current row)"
 
@@ -152,15 +152,15 @@ _MKT5 = f"mk as (select x.*, last_value(mclose ignore nulls) over (partition by
 )
 def win_13_relative_momentum(spark, sf_dir):
     x = m.indexed(spark, sf_dir).join(m.market(spark, sf_dir), "date", "left")
-    x = x.withColumn("mc", F.last("mclose", ignorenulls=True).over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)))
-    own, other = ta.momentum(5), F.col("mc") / F.lag("mc", 5).over(BY_DATE) - 1
+    x = x.withColumn("mc", F.last("mclose", ignorenulls=True).over(by_date().rowsBetween(Window.unboundedPreceding, 0)))
+    own, other = ta.momentum(5), F.col("mc") / F.lag("mc", 5).over(by_date()) - 1
     return x.select("symbol", "date", F.when((own - other).isNotNull(), rounded(clip(own - other, -0.5, 0.5))).alias("rel5"))
 
 
 @query("join_01_market_ffill", f"with {INDEXED_SQL}, {MARKET_SQL}, {_MKT5} select symbol, date, close, mc from mk")
 def join_01_market_ffill(spark, sf_dir):
     x = m.indexed(spark, sf_dir).join(m.market(spark, sf_dir), "date", "left")
-    return x.select("symbol", "date", "close", F.last("mclose", ignorenulls=True).over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)).alias("mc"))
+    return x.select("symbol", "date", "close", F.last("mclose", ignorenulls=True).over(by_date().rowsBetween(Window.unboundedPreceding, 0)).alias("mc"))
 
 
 @query(
@@ -232,12 +232,12 @@ def win_19_regime(spark, sf_dir):
 
 @query("win_20_drawdown", f"with {INDEXED_SQL} select symbol, date, max(close) over (partition by symbol order by date rows between unbounded preceding and current row) as peak, {r6('close/max(close) over (partition by symbol order by date rows between unbounded preceding and current row)-1')} as drawdown from ix")
 def win_20_drawdown(spark, sf_dir):
-    return m.indexed(spark, sf_dir).select("symbol", "date", F.max("close").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)).alias("peak"), rounded(ta.drawdown()).alias("drawdown"))
+    return m.indexed(spark, sf_dir).select("symbol", "date", F.max("close").over(by_date().rowsBetween(Window.unboundedPreceding, 0)).alias("peak"), rounded(ta.drawdown()).alias("drawdown"))
 
 
 @query("win_21_equity", f"with {INDEXED_SQL} select symbol, date, floor(exp(sum(ln(1+coalesce(ret,0.0))) over (partition by symbol order by date))*1e6+0.5001)/1e6 as equity from ix")
 def win_21_equity(spark, sf_dir):
-    growth = F.exp(F.sum(F.log(1 + F.coalesce("ret", F.lit(0.0)))).over(BY_DATE))
+    growth = F.exp(F.sum(F.log(1 + F.coalesce("ret", F.lit(0.0)))).over(by_date()))
     return m.indexed(spark, sf_dir).select("symbol", "date", (F.floor(growth * 1e6 + 0.5001) / 1e6).alias("equity"))
 
 
@@ -257,13 +257,13 @@ def win_23_sma_crossover(spark, sf_dir):
     x = m.indexed(spark, sf_dir)
     fast, slow = F.avg("close").over(last(20)), F.avg("close").over(last(50))
     x = x.withColumn("e", F.when((F.col("i") >= 49) & (fast > slow), 1.0).otherwise(0.0)).withColumn("nxt", ta.forward_return(1))
-    x = x.withColumn("t", F.abs(F.col("e") - F.coalesce(F.lag("e").over(BY_DATE), F.lit(0.0)))).filter("nxt is not null")
+    x = x.withColumn("t", F.abs(F.col("e") - F.coalesce(F.lag("e").over(by_date()), F.lit(0.0)))).filter("nxt is not null")
     return x.groupBy("symbol").agg(rounded(F.exp(F.sum(F.log(1 + F.col("e") * F.col("nxt")))) - 1).alias("total"), F.count_if(F.col("t") > 0).alias("trades"), rounded(F.avg("e")).alias("exposure"))
 
 
 @query("win_24_tsmom", f"with {INDEXED_SQL} select symbol, date, case when {lag(21)}/{lag(273)}-1>0 then 1 else 0 end as signal from ix{WIN} qualify {lag(273)} is not null")
 def win_24_tsmom(spark, sf_dir):
-    x = m.indexed(spark, sf_dir).withColumn("past", F.lag("close", 273).over(BY_DATE)).withColumn("near", F.lag("close", 21).over(BY_DATE))
+    x = m.indexed(spark, sf_dir).withColumn("past", F.lag("close", 273).over(by_date())).withColumn("near", F.lag("close", 21).over(by_date()))
     return x.filter("past is not null").select("symbol", "date", F.when(F.col("near") / F.col("past") - 1 > 0, 1).otherwise(0).alias("signal"))
 
 
@@ -277,7 +277,7 @@ _VT = "vt as (select *, case when i>=21 then stddev_pop(ret) over (partition by
 def win_25_vol_target(spark, sf_dir):
     x = m.indexed(spark, sf_dir).withColumn("rv", ta.realised_vol(20, inclusive=False)).filter("rv is not null")
     x = x.withColumn("ex", clip(0.01 / F.greatest("rv", F.lit(1e-8)), 0, 1.5))
-    return x.select("symbol", "date", rounded(F.col("ex")).alias("exposure"), rounded(F.coalesce(F.lag("ex").over(BY_DATE), F.col("ex"))).alias("lagged"), rounded(F.avg("ex").over(ta.ALL)).alias("matched"))
+    return x.select("symbol", "date", rounded(F.col("ex")).alias("exposure"), rounded(F.coalesce(F.lag("ex").over(by_date()), F.col("ex"))).alias("lagged"), rounded(F.avg("ex").over(ta.all_bars())).alias("matched"))
 
 
 @query(
@@ -287,7 +287,7 @@ def win_25_vol_target(spark, sf_dir):
 def win_26_simulate(spark, sf_dir):
     x = m.indexed(spark, sf_dir)
     x = x.withColumn("e", F.when((F.col("i") >= 49) & (F.avg("close").over(last(20)) > F.avg("close").over(last(50))), 1.0).otherwise(0.0)).withColumn("nxt", ta.forward_return(1))
-    turn = F.abs(F.col("e") - F.coalesce(F.lag("e").over(BY_DATE), F.lit(0.0)))
+    turn = F.abs(F.col("e") - F.coalesce(F.lag("e").over(by_date()), F.lit(0.0)))
     x = x.withColumn("net", F.col("e") * F.col("nxt") + (1 - F.col("e")) * 0.04 / 252 - 0.001 * turn).filter("nxt is not null")
     return x.groupBy("symbol").agg(rounded(F.sum("net")).alias("net"), rounded(F.avg("net") * 252).alias("yearly"))
 
@@ -301,7 +301,7 @@ def win_30_ewma_variance(spark, sf_dir):
 @query("win_31_variance_forecasts", f"with {INDEXED_SQL} select symbol, date, floor(var_pop(ret) {over(21)}*1e10+0.5)/1e10 as rw, floor(var_pop(ret) over (partition by symbol order by date rows between unbounded preceding and current row)*1e10+0.5)/1e10 as mean_var from ix qualify i>=21")
 def win_31_variance_forecasts(spark, sf_dir):
     x = m.indexed(spark, sf_dir)
-    x = x.select("symbol", "date", "i", rounded(F.var_pop("ret").over(last(21)), 10).alias("rw"), rounded(F.var_pop("ret").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)), 10).alias("mean_var"))
+    x = x.select("symbol", "date", "i", rounded(F.var_pop("ret").over(last(21)), 10).alias("rw"), rounded(F.var_pop("ret").over(by_date().rowsBetween(Window.unboundedPreceding, 0)), 10).alias("mean_var"))
     return x.filter("i >= 21").drop("i")
 
 
@@ -366,12 +366,12 @@ def win_40_market_adapter(spark, sf_dir):
 
 @query("win_41_rebased", f"with {INDEXED_SQL} select symbol, date, {r6('(close/first_value(close) over w-1)*100')} as pct from ix{WIN}")
 def win_41_rebased(spark, sf_dir):
-    return m.indexed(spark, sf_dir).select("symbol", "date", rounded((F.col("close") / F.first("close").over(BY_DATE) - 1) * 100).alias("pct"))
+    return m.indexed(spark, sf_dir).select("symbol", "date", rounded((F.col("close") / F.first("close").over(by_date()) - 1) * 100).alias("pct"))
 
 
 @query("win_43_breach", f"with {INDEXED_SQL} select symbol, date, case when min(close) over (partition by symbol order by date rows between 1 following and 21 following)/close<0.95 then 1 else 0 end as breached from ix where n>21 qualify row_number() over (partition by symbol order by date desc)>21")
 def win_43_breach(spark, sf_dir):
-    low = F.min("close").over(BY_DATE.rowsBetween(1, 21))
+    low = F.min("close").over(by_date().rowsBetween(1, 21))
     x = m.indexed(spark, sf_dir).withColumn("low21", low).filter("i < n - 21")
     return x.select("symbol", "date", F.when(F.col("low21") / F.col("close") < 0.95, 1).otherwise(0).alias("breached"))
 
@@ -418,7 +418,7 @@ def flt_10_point_in_time(spark, sf_dir):
 
 @query("join_05_horizon_offset", f"with {INDEXED_SQL} select a.symbol, a.date, a.close, b.date as exit_date, b.close as exit_close, {r6('b.close/a.close-1')} as realised from ix a join ix b on a.symbol=b.symbol and b.i=a.i+5 where a.i%10=0")
 def join_05_horizon_offset(spark, sf_dir):
-    x = m.indexed(spark, sf_dir).withColumn("exit_date", F.lead("date", 5).over(BY_DATE)).withColumn("exit_close", F.lead("close", 5).over(BY_DATE))
+    x = m.indexed(spark, sf_dir).withColumn("exit_date", F.lead("date", 5).over(by_date())).withColumn("exit_close", F.lead("close", 5).over(by_date()))
     return x.filter("i % 10 = 0 and exit_close is not null").select("symbol", "date", "close", "exit_date", "exit_close", rounded(F.col("exit_close") / F.col("close") - 1).alias("realised"))
 
 

@@ -13,7 +13,9 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.numeric import rounded
 
-BY_DATE = Window.partitionBy("symbol").orderBy("date")
+def by_date():
+    """Each symbol's bars in order."""
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def last(n: int):
     """The current bar and the n - 1 before it."""
-    return BY_DATE.rowsBetween(-(n - 1), 0)
+    return by_date().rowsBetween(-(n - 1), 0)
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +38,10 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     av, sc = F.col("s").cast("double") / F.col("n"), F.lit(0.5) + F.lit(0.5) * (F.col("k") % 3)
     days = days.withColumn("av", av).withColumn("sc", sc).withColumn("r", F.col("sc") * (F.col("av") / 100 - 0.05))
-    close = rounded(100 * F.exp(F.sum(F.log(1 + F.col("r"))).over(BY_DATE)), 4)
+    close = rounded(100 * F.exp(F.sum(F.log(1 + F.col("r"))).over(by_date())), 4)
     priced = days.withColumn("close", close)
     return priced.select(
-        "symbol", "k", "date", F.coalesce(F.lag("close").over(BY_DATE), F.col("close")).alias("open"),
+        "symbol", "k", "date", F.coalesce(F.lag("close").over(by_date()), F.col("close")).alias("open"),
         rounded(F.col("close") * (1 + 0.5 * F.col("sc") * (F.col("mx") - F.col("av")) / 100), 4).alias("high"),
         rounded(F.col("close") * (1 - 0.5 * F.col("sc") * (F.col("av") - F.col("mn")) / 100), 4).alias("low"),
         "close", "volume",
@@ -63,8 +65,8 @@ bars as (
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with i (bar number from 0), n (bars of the symbol) and ret (simple return)."""
     b = bars(spark, sf_dir)
-    before = F.lag("close").over(BY_DATE)
-    return b.withColumn("i", F.row_number().over(BY_DATE) - 1).withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).withColumn("ret", (F.col("close") - before) / before)
+    before = F.lag("close").over(by_date())
+    return b.withColumn("i", F.row_number().over(by_date()) - 1).withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).withColumn("ret", (F.col("close") - before) / before)
 
 
 INDEXED_SQL = BARS_SQL + """,
@@ -91,7 +93,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest bar of each symbol with averages, range, beta and fundamentals."""
     x = indexed(spark, sf_dir).join(market(spark, sf_dir), "date", "left")
     x = x.select(
-        "symbol", "k", "date", "close", "volume", "i", "n", F.lag("close").over(BY_DATE).alias("prev"),
+        "symbol", "k", "date", "close", "volume", "i", "n", F.lag("close").over(by_date()).alias("prev"),
         F.when(F.col("i") >= 49, F.avg("close").over(last(50))).alias("ma50"), F.when(F.col("i") >= 199, F.avg("close").over(last(200))).alias("ma200"),
         F.max("close").over(last(252)).alias("hi52"), F.min("close").over(last(252)).alias("lo52"), F.avg("volume").over(last(20)).alias("avg_volume"), "ret", "mret",
     )
