@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text a task handles at once; one longer document is its own chunk.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWER, _INVERSE = np.uint64(0x100000001B3), np.uint64(pow(0x100000001B3, -1, 1 << 64))
 

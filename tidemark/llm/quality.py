@@ -22,6 +22,8 @@ GRAMS = (2, 3, 4)
 DIMENSION, EPOCHS, RATE = 16, 4, 0.8
 #: Labelled rows that one model is fitted on, the first by hash of the id.
 MAX_TRAIN = 4000
+#: Bytes of text whose features are held at once; one byte has about four of them.
+SLICE_BYTES = 1 << 18
 #: White space (0) parts words; all other bytes keep their value, 0x20 stands for byte 0.
 LETTERS = np.arange(256, dtype=np.uint8)
 LETTERS[[0x20, 9, 10, 11, 12, 13]] = 0
@@ -95,10 +97,11 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        # The fit depends on the order of its rows, and a shuffle does not keep one.
+        table = table.sort_by([("text", "ascending"), ("label", "ascending")]).combine_chunks()
         documents, labels = [], table.column("label").to_numpy().astype(np.int64)
         for batch in table.select(["text"]).to_batches():
-            for part, offsets, body in text_chunks([batch]):
+            for part, offsets, body in text_chunks([batch], limit=SLICE_BYTES):
                 bucket, owner = features(offsets, body)
                 order = np.argsort(owner, kind="stable")
                 cuts = np.searchsorted(owner[order], np.arange(part.num_rows + 1))
@@ -135,7 +138,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text"
     schema = df.select(*[F.col(f"`{c}`") for c in names], F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, offsets, body in text_chunks(batches, text_col, 1 << 18):
+        for part, offsets, body in text_chunks(batches, text_col, SLICE_BYTES):
             bucket, owner = features(offsets, body)
             n = np.bincount(owner, minlength=part.num_rows)
             mean = np.bincount(owner, weights=odds[bucket], minlength=part.num_rows) / np.maximum(n, 1)
