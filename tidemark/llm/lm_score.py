@@ -23,6 +23,8 @@ UNIGRAM_BITS, BIGRAM_BITS = 18, 21
 SLICE = 1 << 16
 #: Weight of the bigram estimate, and what every word of the vocabulary is counted on top.
 WEIGHT, EXTRA = 0.6, 0.1
+#: Target ids (8 bytes) up to which they are broadcast to the texts; beyond, the texts are shuffled once.
+BROADCAST_IDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,7 +152,9 @@ def cross_entropy_difference(df: DataFrame, targets: DataFrame, id_col: str = "d
     Null ids are never targets; repeated rows count as often as they occur.  Without
     targets the target model is uniform.
     """
-    wanted = targets.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct()
+    wanted = materialise(targets.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct())
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     marked = df.select(F.col(id_col).alias("_own"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, F.col("_own") == F.col("_id"), "left")
     tables = materialise(count_tables(marked.select("text", F.col("_id").isNotNull().alias("target")), unigram_bits, bigram_bits))
     rows = [(r["slice"], bytes(r["counts"])) for r in tables.collect()]  # the tables' fixed size
