@@ -227,6 +227,19 @@ def test_line_templates(spark, none):
     assert line_dedup.drop_recurring_lines(none).count() == 0
 
 
+def test_line_templates_with_constant_neighbours(spark):
+    """A passage, a fixed header and lines between blank lines recur; lines of two documents do if they are long."""
+    passage = "\n".join(f"the {w} line of the shared passage" for w in ("opening", "middle", "closing"))
+    rows = [(i, f"subscribe to our weekly letter\n\n{brute.prose(i)}\n{passage}\n\nall rights are reserved\n\n{brute.prose(500 + i)}") for i in range(6)]
+    long = "this sentence of more than ten tokens stands in two documents and not in more of them"
+    rows += [(30 + i, f"{brute.prose(30 + i)}\n{long}\nonly two of these\n{brute.prose(530 + i)}") for i in range(2)]
+    got = line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert got["n_dropped"][0] == got["n_dropped"][30] == 0
+    for i in range(1, 6):
+        assert got["text"][i] == f"\n{brute.prose(i)}\n\n\n{brute.prose(500 + i)}"
+    assert got["text"][31] == f"{brute.prose(31)}\nonly two of these\n{brute.prose(531)}"
+
+
 def test_templates_generalise():
     rows = np.array([[1, 2, 3, 4, 5], [1, 2, 9, 4, 5], [1, 2, 8, 4, 5], [7, 7, 7, 7, 7]], np.uint64)
     name = line_dedup.templates(rows, 0.7)

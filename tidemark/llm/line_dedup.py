@@ -5,9 +5,9 @@ token with a digit counts as a variable field.  Within a leaf, lines that agree
 places form one template, and the places where they differ become variable fields too.
 Templates that recur across documents are dropped after their first document.
 
-Recurrence means several documents and several surroundings (lines before and after):
-boilerplate stands in ever new places, while the lines of copied documents keep theirs
-and are left to near-duplicate detection.
+Recurrence means documents of different text, whatever the lines around: copies of one
+whole document count once, so their lines are left to duplicate detection.  A long line
+recurs in two such documents already.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from tidemark.llm.common import gram_hash, materialise, mix, span_hash, text_chu
 
 #: Leading tokens of the tree's path, least share of equal places, and least tokens of a line.
 DEPTH, SIMILARITY, MIN_TOKENS = 2, 0.7, 3
-#: Documents and surroundings from which a template recurs.
-MIN_DOCS, MIN_PLACES = 3, 3
+#: Documents of different text from which a template recurs, and tokens of a line from which two are enough.
+MIN_DOCS, LONG_TOKENS = 3, 10
 #: Distinct lines of a leaf that are clustered together; larger leaves are split by hash.
 LEAF_LINES = 2048
 #: Rows (of about 100 bytes) of a table up to which it is broadcast to the scan of the texts.
@@ -73,7 +73,7 @@ def leaf_of(tokens: np.ndarray, start: np.ndarray, size: np.ndarray, depth: int)
     return leaf
 
 
-LINES = "doc_id long, line int, leaf long, hash long, place long"
+LINES = "doc_id long, line int, leaf long, hash long, content long, size int"
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
@@ -82,18 +82,15 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
             tokens, bounds, document, number = tokens_of(offsets, body)
             start, end = bounds[:-1], bounds[1:]
             hashes = run_hash(tokens, start, end)
-            same = document[1:] == document[:-1]
-            before = np.r_[np.uint64(0), np.where(same, hashes[:-1], 0)][: len(hashes)].astype(np.uint64)
-            after = np.r_[np.where(same, hashes[1:], 0), np.uint64(0)][: len(hashes)].astype(np.uint64)
             keep = end - start >= min_tokens
             leaf = leaf_of(tokens, start, end - start, depth)
-            ids = part.column(0).to_numpy(zero_copy_only=False)[document]
+            ids, content = (part.column(i).to_numpy(zero_copy_only=False)[document] for i in (0, 2))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[keep], pa.int64()), pa.array(number[keep].astype(np.int32)), *[pa.array(x[keep].view(np.int64)) for x in (leaf, hashes, mix(before * np.uint64(3) + after))]],
-                names=["doc_id", "line", "leaf", "hash", "place"],
+                [pa.array(ids[keep], pa.int64()), pa.array(number[keep].astype(np.int32)), *[pa.array(x[keep].view(np.int64)) for x in (leaf, hashes)], pa.array(content[keep], pa.int64()), pa.array((end - start)[keep].astype(np.int32))],
+                names=["doc_id", "line", "leaf", "hash", "content", "size"],
             )
 
-    return docs.mapInArrow(run, LINES)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, LINES)
 
 
 def templates(rows: np.ndarray, similarity: float) -> np.ndarray:
@@ -171,20 +168,22 @@ def _clustered(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame
     return found.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "hash").mapInArrow(cluster, "leaf long, hash long, template long")
 
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, min_places: int = MIN_PLACES) -> DataFrame:
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """doc_id and line of the lines to drop, from documents (doc_id, text)."""
     lines = materialise(_lines(docs.filter(F.col("doc_id").isNotNull()), depth, min_tokens))
-    distinct = lines.groupBy("leaf", "hash").agg(F.min(F.struct("doc_id", "line")).alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("lines"))
-    leaves = distinct.groupBy("leaf").agg(F.min("rep.doc_id").alias("low"), F.max("last").alias("high"), F.count("*").alias("n"), F.sum("lines").alias("lines"))
-    # No template of a leaf with fewer lines than it needs documents and surroundings can recur.
-    leaves = leaves.filter(F.col("lines") >= max(min_docs, min_places)).filter("low <> high" if min_docs > 1 else "true")
+    enough = F.when(F.col("size") >= long_tokens, min(2, min_docs)).otherwise(min_docs)
+    distinct = lines.groupBy("leaf", "hash").agg(F.min(F.struct("doc_id", "line")).alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("lines"), F.max("size").alias("size"))
+    leaves = distinct.groupBy("leaf").agg(F.min("rep.doc_id").alias("low"), F.max("last").alias("high"), F.count("*").alias("n"), F.sum("lines").alias("lines"), F.max("size").alias("size"))
+    # No template of a leaf with fewer lines than it needs documents can recur.
+    leaves = leaves.filter(F.col("lines") >= enough).filter("low <> high" if min_docs > 1 else "true")
     seen = materialise(distinct.join(leaves.select("leaf", "n"), "leaf").select("leaf", "hash", "n", "rep.doc_id", "rep.line"))
     blocks = F.ceil(F.col("n") / LEAF_LINES).cast("int")
     many = seen.filter("n > 1").select("doc_id", "line", "leaf", "hash", F.pmod(F.xxhash64("hash"), blocks).cast("int").alias("block"))
     named = materialise(seen.filter("n = 1").select("leaf", "hash", F.col("hash").alias("template")).unionByName(_clustered(many, docs, similarity)))
-    placed = materialise(lines.join(named, ["leaf", "hash"]).select("doc_id", "line", "template", "place"))
-    places = placed.groupBy("template", "place").agg(F.min("doc_id").alias("doc_id"))
-    recurring = places.groupBy("template").agg(F.min("doc_id").alias("first"), F.countDistinct("doc_id").alias("docs"), F.count("*").alias("places")).filter((F.col("docs") >= min_docs) & (F.col("places") >= min_places))
+    placed = materialise(lines.join(named, ["leaf", "hash"]).select("doc_id", "line", "template", "content", "size"))
+    # By template and text first, so that the rows of a frequent template are counted in many tasks.
+    contents = placed.groupBy("template", "content").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"))
+    recurring = contents.groupBy("template").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs"), F.max("size").alias("size")).filter(F.col("docs") >= enough)
     recurring = materialise(recurring.select("template", "first"))
     return placed.join(_small(recurring, recurring.count(), BROADCAST_ROWS), "template").filter("doc_id <> first").select("doc_id", "line")
 
