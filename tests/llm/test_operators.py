@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -263,6 +265,37 @@ def test_cross_entropy_difference(spark, docs, none):
     assert lm_score.cross_entropy_difference(none, good).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 20, 1 << 18])
+def test_cross_entropy_difference_by_brute_force(spark, monkeypatch, hot):
+    """Exact counts of words and pairs over the vocabulary of all words, whichever pairs are looked up without a shuffle."""
+    monkeypatch.setattr(lm_score, "HOT_PAIRS", hot)
+    monkeypatch.setattr(lm_score, "HOT_WORDS", hot)
+    texts = [brute.prose(i % 9) + " the same pair" * (i % 4) for i in range(14)]
+    good = {2, 5, 11}
+    single, context, pair = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+    for i, text in enumerate(texts):
+        words = text.split()
+        for m in (0, 1) if i in good else (0,):
+            single[m].update(words)
+            context[m].update(["^", *words[:-1]])
+            pair[m].update(zip(["^", *words[:-1]], words, strict=True))
+
+    def loss(m, text):
+        words, out = text.split(), 0.0
+        for last, word in zip(["^", *words[:-1]], words, strict=True):
+            one = (single[m][word] + 0.1) / (single[m].total() + 0.1 * len(single[0]))
+            out -= math.log(0.6 * pair[m][last, word] / context[m][last] + 0.4 * one if context[m][last] else one)
+        return out / len(words)
+
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lm_score.cross_entropy_difference(table, spark.createDataFrame([(i,) for i in good], "doc_id long")).toPandas()
+    assert len(got) == len(texts)
+    for row in got.itertuples():
+        assert row.n_tokens == len(texts[row.doc_id].split())
+        assert row.background_loss == pytest.approx(loss(0, texts[row.doc_id]), abs=1e-7)
+        assert row.target_loss == pytest.approx(loss(1, texts[row.doc_id]), abs=1e-7)
+
+
 def test_pipeline_stages_on_awkward_rows(spark, docs, none):
     import corpus_pipeline
 

@@ -1,161 +1,148 @@
 """Language-model scores by cross-entropy difference.
 
-Two bigram models, of a target and of a background, share one hashed vocabulary; a
+Two bigram models, of a target and of a background, share the vocabulary of all words; a
 document scores the mean over its words of target loss less background loss, so low
-scores read like the target.  Counts are kept in tables of fixed size (2 ** UNIGRAM_BITS
-and 2 ** BIGRAM_BITS buckets), gathered from every word of every document.
+scores read like the target.  Counts are kept for every word and every pair of words (by
+64-bit hashes) in Spark tables that grow with the input, and so are the losses of every
+pair; the texts' pairs are joined to them.  Frequent pairs and words, of which there can
+only be few, are looked up without a shuffle, with the same values.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, partitions, text_chunks
+from tidemark.llm.common import materialise, mix, text_chunks
 from tidemark.llm.decontam import words_of
 
-UNIGRAM_BITS, BIGRAM_BITS = 18, 21
-#: Buckets that travel and are summed together.
-SLICE = 1 << 16
+#: A pair is frequent from one HOT_PAIRS-th of all words on, a word from one HOT_WORDS-th, so at most so many are.
+HOT_PAIRS, HOT_WORDS = 1 << 18, 1 << 14
 #: Weight of the bigram estimate, and what every word of the vocabulary is counted on top.
 WEIGHT, EXTRA = 0.6, 0.1
 #: Target ids (8 bytes) up to which they are broadcast to the texts; beyond, the texts are shuffled once.
 BROADCAST_IDS = 1_000_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Losses are kept as whole multiples of 1 / UNIT nats, whose sums do not depend on their order.
+UNIT = 1 << 30
 
 
-def buckets(words: np.ndarray, bounds: np.ndarray, unigram_bits: int, bigram_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unigram bucket of each word and of the word before it (a start mark at first), and their bigram bucket."""
-    before = np.r_[np.uint64(0), words[:-1]][: len(words)]
+def before_of(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The word before each word, a start mark at the first of a document."""
+    before = np.r_[np.uint64(0), words[:-1]][: len(words)].astype(np.uint64)
     before[bounds[:-1][bounds[:-1] < len(words)]] = np.uint64(1)
-    pair = (before * np.uint64(3) + words) * _ODD
-    word, last = ((x * _ODD >> np.uint64(64 - unigram_bits)).astype(np.int64) for x in (words, before))
-    return word, last, (pair >> np.uint64(64 - bigram_bits)).astype(np.int64)
+    return before
 
 
-def _sparse(table: np.ndarray, first: int) -> Iterator[tuple[int, bytes]]:
-    for at in range(0, len(table), SLICE):
-        part = table[at : at + SLICE]
-        place = np.flatnonzero(part)
-        if len(place):
-            yield first + at // SLICE, np.uint32(len(place)).tobytes() + place.astype("<u2").tobytes() + part[place].astype("<u8").tobytes()
+def pair_of(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(mix(before) + words)
 
 
-def _add(table: np.ndarray, blob: bytes) -> None:
-    n = int(np.frombuffer(blob, "<u4", 1)[0])
-    table[np.frombuffer(blob, "<u2", n, 4)] += np.frombuffer(blob, "<u8", n, 4 + 2 * n).astype(np.int64)
-
-
-def count_tables(labelled: DataFrame, unigram_bits: int = UNIGRAM_BITS, bigram_bits: int = BIGRAM_BITS) -> DataFrame:
-    """slice and counts of all tables, from rows (text, target).
-
-    The tables lie one after the other: unigrams as words, unigrams as contexts and
-    bigrams of all rows, then the same of the rows with ``target``.  Every task sends its
-    own sums; they are added in two rounds, so that no task reads one slice of all tasks.
-    """
-    sizes = [1 << unigram_bits, 1 << unigram_bits, 1 << bigram_bits]
+def count_pairs(labelled: DataFrame) -> DataFrame:
+    """before, word, n and t: how often each pair stands in all rows (text, target), and in those with ``target``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(n, np.int64) for n in sizes * 2]
         for part, offsets, body in text_chunks(batches):
             words, bounds = words_of(offsets, body)
-            ids = buckets(words, bounds, unigram_bits, bigram_bits)
+            before = before_of(words, bounds)
+            _, at, of = np.unique(pair_of(before, words), return_index=True, return_inverse=True)
             target = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
-            for table, of, mine in zip(tables, ids * 2, [slice(None)] * 3 + [target] * 3, strict=True):
-                np.add.at(table, of[mine], 1)
-        first = 0
-        for table in tables:
-            rows = list(_sparse(table, first))
-            first += -(-len(table) // SLICE)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, table = None, None
-        for batch in batches:
-            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if number != at:
-                    if at is not None:
-                        yield from _batch(at, table)
-                    at, table = number, np.zeros(SLICE, np.int64)
-                _add(table, blob)
-        if at is not None:
-            yield from _batch(at, table)
-
-    def _batch(number: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for _, blob in _sparse(table, number):
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([blob], pa.binary())], names=["slice", "counts"])
-
-    kind = "slice int, counts binary"
-    sent = labelled.select("text", "target").mapInArrow(count, kind)
-    salts = max(1, partitions(labelled.sparkSession) // 16)
-    salted = sent.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(salts)))
-    some = salted.repartition("slice", "salt").sortWithinPartitions("slice").select("slice", "counts").mapInArrow(add, kind)
-    return some.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, kind)
-
-
-class Models:
-    """Log probabilities of both models from the summed tables."""
-
-    def __init__(self, rows: list[tuple[int, bytes]], unigram_bits: int = UNIGRAM_BITS, bigram_bits: int = BIGRAM_BITS):
-        self.bits = unigram_bits, bigram_bits
-        sizes = [1 << unigram_bits, 1 << unigram_bits, 1 << bigram_bits] * 2
-        room = [-(-n // SLICE) for n in sizes]
-        whole = np.zeros((sum(room), SLICE), np.int64)
-        for number, blob in rows:
-            _add(whole[number], blob)
-        edges = np.cumsum([0, *room])
-        tables = [whole[a:b].reshape(-1)[:n] for a, b, n in zip(edges[:-1], edges[1:], sizes, strict=True)]
-        self.models = [[((t[0] + EXTRA) / (t[0].sum() + EXTRA * len(t[0]))).astype(np.float32), t[1].astype(np.float32), t[2].astype(np.float32)] for t in (tables[:3], tables[3:])]
-
-    def losses(self, words: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-        """Background and target loss (nats) of each word."""
-        word, last, pair = buckets(words, bounds, *self.bits)
-        out = []
-        for single, context, pairs in self.models:
-            seen = context[last]
-            after = np.minimum(pairs[pair] / np.maximum(seen, 1), 1)
-            weight = np.where(seen > 0, WEIGHT, 0.0)
-            out.append(-np.log(weight * after + (1 - weight) * single[word]))
-        return out
-
-
-def score(df: DataFrame, rows: list[tuple[int, bytes]], text_col: str = "text", unigram_bits: int = UNIGRAM_BITS, bigram_bits: int = BIGRAM_BITS) -> DataFrame:
-    """``df`` with n_tokens, target_loss, background_loss (means, nats) and score, their difference.
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(x[at].view(np.int64)) for x in (before, words)], *[pa.array(np.bincount(x, minlength=len(at)).astype(np.int64)) for x in (of, of[target])]],
+                names=["before", "word", "n", "t"],
+            )
 
-    Null, empty or wordless text has 0 tokens, zero losses and score 0.  Long texts are
-    scored whole.  Columns of these names are replaced.
-    """
-    new = ["n_tokens", "target_loss", "background_loss", "score"]
-    names = [c for c in df.columns if c not in new]
-    schema = df.select(*[F.col(f"`{c}`") for c in names], F.lit(0).cast("long").alias(new[0]), *[F.lit(0.0).alias(c) for c in new[1:]]).schema
+    sent = labelled.select("text", "target").mapInArrow(count, "before long, word long, n long, t long")
+    return sent.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Models(rows, unigram_bits, bigram_bits)
-        for part, offsets, body in text_chunks(batches, text_col):
-            words, bounds = words_of(offsets, body)
-            n = np.diff(bounds)
-            owner = np.repeat(np.arange(part.num_rows), n)
-            back, target = (np.bincount(owner, weights=x, minlength=part.num_rows) / np.maximum(n, 1) for x in models.losses(words, bounds))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(target), pa.array(back), pa.array(target - back)], names=[*names, *new])
 
-    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+def _with_counts(pairs: DataFrame, totals: DataFrame, key: str, most: int) -> DataFrame:
+    """``pairs`` with the counts of their ``key``; those of frequent keys are broadcast, as many pairs share them."""
+    counts = [c for c in totals.columns if c != key]
+    joined = pairs.join(F.broadcast(totals.filter(F.col(counts[0]) >= most)), key, "left")
+    found = F.col(counts[0]).isNotNull()
+    return joined.filter(found).unionByName(joined.filter(~found).drop(*counts).join(totals.filter(F.col(counts[0]) < most), key))
+
 
+def _loss(count: str, context: str, single: str, total: int, vocabulary: int) -> Column:
+    weight = F.when(F.col(context) > 0, WEIGHT).otherwise(0.0)
+    after = F.col(count) / F.greatest(F.col(context), F.lit(1))
+    return F.round(-F.log(weight * after + (1 - weight) * (F.col(single) + EXTRA) / (total + EXTRA * vocabulary)) * UNIT)
 
-def cross_entropy_difference(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", unigram_bits: int = UNIGRAM_BITS, bigram_bits: int = BIGRAM_BITS) -> DataFrame:
-    """Score every row of ``df``; the background is all rows, the target those whose ids are in ``targets``.
 
-    Null ids are never targets; repeated rows count as often as they occur.  Without
-    targets the target model is uniform.
+def losses(pairs: DataFrame, total: int, target_total: int) -> DataFrame:
+    """before, word, n, and the pair's target and background loss in units."""
+    singles, contexts = (materialise(pairs.groupBy(key).agg(F.sum("n").alias(f"{key}_n"), F.sum("t").alias(f"{key}_t"))) for key in ("word", "before"))
+    vocabulary = singles.count()
+    most = max(1, math.ceil(total / HOT_WORDS))
+    full = _with_counts(_with_counts(pairs, singles, "word", most), contexts, "before", most)
+    return full.select("before", "word", "n", _loss("t", "before_t", "word_t", target_total, vocabulary).alias("target"), _loss("n", "before_n", "word_n", total, vocabulary).alias("background"))
+
+
+def text_losses(texts: DataFrame, table: DataFrame, total: int) -> DataFrame:
+    """key, n_tokens and mean losses of each distinct text, from rows (key, text) and the pairs' losses."""
+    most = max(1, math.ceil(total / HOT_PAIRS))
+    hot = table.filter(F.col("n") >= most).select("before", "word", "target", "background").toArrow()  # at most HOT_PAIRS rows
+    known = pair_of(*[hot.column(i).to_numpy().view(np.uint64) for i in range(2)])
+    order = np.argsort(known)
+    known, values = known[order], [hot.column(i).to_numpy()[order] for i in (2, 3)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a text with the sums of its frequent pairs, and one for each other pair of it."""
+        for part, offsets, body in text_chunks(batches):
+            words, bounds = words_of(offsets, body)
+            before, n = before_of(words, bounds), np.diff(bounds)
+            pair, owner = pair_of(before, words), np.repeat(np.arange(part.num_rows), n)
+            place = np.minimum(np.searchsorted(known, pair), max(0, len(known) - 1))
+            found = known[place] == pair if len(known) else np.zeros(len(pair), bool)
+            sums = [np.bincount(owner[found], weights=v[place[found]], minlength=part.num_rows) for v in values]
+            rest = np.flatnonzero(~found)
+            _, at, times = np.unique(mix(pair[rest] + mix(owner[rest].astype(np.uint64))), return_index=True, return_counts=True)
+            rest = rest[at]
+            keys, none = part.column(0), np.zeros(len(rest))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([keys, keys.take(pa.array(owner[rest]))]), pa.array(np.r_[n, np.zeros(len(rest), np.int64)], pa.int64()),
+                    pa.array(np.r_[np.zeros(len(n), np.int64), times], pa.int64()), *[pa.array(np.r_[s, none]) for s in sums],
+                    *[pa.array(np.r_[np.zeros(len(n), np.int64), x[rest].view(np.int64)]) for x in (before, words)],
+                ],
+                names=["key", "tokens", "times", "target", "background", "before", "word"],
+            )
+
+    seen = texts.select("key", "text").mapInArrow(run, "key long, tokens long, times long, target double, background double, before long, word long")
+    frequent = seen.filter("times = 0").select("key", "tokens", "target", "background")
+    rare = seen.filter("times > 0").select("key", "times", F.xxhash64("before", "word").alias("pair"))
+    rare = rare.join(table.filter(F.col("n") < most).select(F.xxhash64("before", "word").alias("pair"), "target", "background"), "pair")
+    rare = rare.groupBy("key").agg(F.lit(0).cast("long").alias("tokens"), *[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("target", "background")])
+    # Copies of a text add to the losses and the words alike, so the means are those of one.
+    both = frequent.unionByName(rare).groupBy("key").agg(F.max("tokens").alias("n_tokens"), F.sum("tokens").alias("words"), F.sum("target").alias("target"), F.sum("background").alias("background"))
+    words = F.greatest(F.col("words"), F.lit(1)) * UNIT
+    return both.select("key", "n_tokens", (F.col("target") / words).alias("target_loss"), (F.col("background") / words).alias("background_loss"))
+
+
+def cross_entropy_difference(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with n_tokens, target_loss, background_loss (means, nats) and score, their difference.
+
+    The background is all rows, the target those whose ids are in ``targets``.  Null ids
+    are never targets; repeated rows count as often as they occur.  Without targets the
+    target model is uniform.  Null, empty or wordless text has 0 tokens, zero losses and
+    score 0.  Long texts are scored whole.  Columns of these names are replaced.
     """
+    new = ["n_tokens", "target_loss", "background_loss", "score"]
+    names = [c for c in df.columns if c not in new]
     wanted = materialise(targets.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct())
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    marked = df.select(F.col(id_col).alias("_own"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, F.col("_own") == F.col("_id"), "left")
-    tables = materialise(count_tables(marked.select("text", F.col("_id").isNotNull().alias("target")), unigram_bits, bigram_bits))
-    rows = [(r["slice"], bytes(r["counts"])) for r in tables.collect()]  # the tables' fixed size
-    return score(df, rows, text_col, unigram_bits, bigram_bits)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = df.select(F.col(id_col).alias("_own"), text.alias("text")).join(wanted, F.col("_own") == F.col("_id"), "left")
+    pairs = materialise(count_pairs(marked.select("text", F.col("_id").isNotNull().alias("target"))))
+    sums = pairs.agg(F.sum("n"), F.sum("t")).first()
+    total, target_total = (int(x or 0) for x in sums)
+    table = materialise(losses(pairs, total, target_total))
+    scored = materialise(text_losses(df.select(F.xxhash64(text).alias("key"), text.alias("text")), table, total))
+    joined = df.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text).alias("_key")).join(scored.withColumnRenamed("key", "_key"), "_key", "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], *new[:3], (F.col("target_loss") - F.col("background_loss")).alias(new[3]))
