@@ -215,6 +215,20 @@ def test_nearest(spark):
     assert ann.nearest(table.filter("vec_id in (0, 1)"), F.col("id") % 50 == 0).toPandas()["vec_id"].tolist() == [1]
 
 
+def test_nearest_fills_every_query_from_small_leaves(spark, monkeypatch):
+    """Leaves of up to three vectors and a calibration of one leaf: each query still gets k rows, or all there are."""
+    monkeypatch.setattr(ann, "LEAF", 3)
+    monkeypatch.setattr(ann, "BRANCHES", 3)
+    monkeypatch.setattr(ann, "_calibrated", lambda *_: 1)
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))] + [(0, v.tolist()) for v in rng.normal(size=(3, 8))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(table, (F.col("id") % 10 == 0) & (F.col("id") > 0)).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {i: 5 for i in range(10, 300, 10)}
+    assert ann.nearest(table, F.col("id") == 0).count() == 5
+    assert ann.nearest(table.filter("vec_id in (1, 2, 3)"), F.col("id") == 1).count() == 2
+
+
 def test_line_templates(spark, none):
     rows = [(i, f"{brute.prose(i)}\nPage {i} of the printed report ends here\n{brute.prose(500 + i)}", None, None, None) for i in range(8)]
     copies = [(20 + i, f"{brute.prose(50)}\n{brute.prose(51)}\n{brute.prose(52)}", None, None, None) for i in range(6)]

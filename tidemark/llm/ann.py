@@ -3,7 +3,8 @@
 The tree is fitted on a bounded sample; every vector is dealt to a leaf.  A query pulls
 branches from a priority queue, best centroid first, and visits as many leaves as the
 calibration found enough: the true neighbours of some vectors, by brute force over all
-rows, lie in that many first leaves at the wanted recall.  Scores are exact cosines.
+rows, lie in that many first leaves at the wanted recall.  A query goes on while these leaves
+list too few rows to give k.  Scores are exact cosines.
 """
 
 from __future__ import annotations
@@ -71,11 +72,11 @@ class Tree:
                 node[mine] = kids[(rows[mine] @ self.centroids[kids].T).argmax(axis=1)]
         return self.leaf[node].astype(np.int32)
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first leaves in best-bin-first order."""
+    def visits(self, query: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves in best-bin-first order: ``most``, and more until they hold ``least`` rows by the counts ``held``."""
         near = self.centroids @ query
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < most:
+        queue, found, rows = [(0.0, 0)], [], 0
+        while queue and (len(found) < most or rows < least):
             _, node = heapq.heappop(queue)
             while self.leaf[node] < 0:
                 kids = sorted(self.children[node], key=lambda k: -near[k])
@@ -83,6 +84,7 @@ class Tree:
                     heapq.heappush(queue, (-near[kid], kid))
                 node = kids[0]
             found.append(int(self.leaf[node]))
+            rows += int(held[found[-1]]) if least else 0
         return found
 
 
@@ -153,9 +155,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     wanted = _calibrated(dealt, tree, k, total, recall)
 
     # Neighbouring leaves form parts of about equal size; a large part has several blocks.
-    held = np.zeros(max(1, tree.leaves), np.int64)
-    for row in dealt.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # one row a leaf
-        held[row["leaf"]] = row["n"]
+    held, listed = np.zeros(max(1, tree.leaves), np.int64), np.zeros(max(1, tree.leaves), np.int64)
+    for row in dealt.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect():  # one row a leaf
+        held[row["leaf"]], listed[row["leaf"]] = row["n"], row["ids"]
     part_of = np.minimum((np.cumsum(held) - held) * PARTS // max(1, total), PARTS - 1)
     blocks = np.maximum(1, -(-np.bincount(part_of, weights=held, minlength=PARTS).astype(np.int64) // BLOCK_ROWS))
     part_map = F.array(*[F.lit(int(p)) for p in part_of])
@@ -169,9 +171,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
         for batch in batches:
             rows = []
             vectors = unit(matrix(batch.column(1))) if batch.num_rows else []
+            same_id = batch.column(2).to_numpy()
             for i, vector in enumerate(vectors):
                 by_part: dict[int, list[int]] = {}
-                for leaf in tree.visits(vector, wanted):
+                for leaf in tree.visits(vector, wanted, listed, k + int(same_id[i])):
                     by_part.setdefault(int(part_of[leaf]), []).append(leaf)
                 rows += [(p, b, i, leaves) for p, leaves in by_part.items() for b in range(int(blocks[p]))]
             at = pa.array([r[2] for r in rows], pa.int64())
@@ -180,7 +183,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
                 names=["part", "block", "id", "vector", "leaves"],
             )
 
-    queries = valid.filter(is_query).select("id", "vector").mapInArrow(route, "part int, block int, id long, vector array<double>, leaves array<int>")
+    # Rows of the query's own id are never returned, so they do not count among those a query needs.
+    queries = valid.filter(is_query).select("id", "vector", F.count("*").over(Window.partitionBy("id")).alias("n")).mapInArrow(route, "part int, block int, id long, vector array<double>, leaves array<int>")
     queries = queries.select("part", "block", F.lit(1).alias("side"), "id", "vector", F.lit(None).cast("array<long>").alias("ids"), "leaves")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
