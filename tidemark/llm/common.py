@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text a task handles at once; one longer document is its own chunk.
 CHUNK_BYTES = 1 << 20
@@ -22,10 +23,12 @@ _POWER, _INVERSE = np.uint64(0x100000001B3), np.uint64(pow(0x100000001B3, -1, 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only if none is set."""
+    """The checkpoint folder of the session; where none is set, a temporary one in local mode only."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -38,6 +41,50 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables below one folder of the shared folder, which go together once nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}", 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """``df`` with a hint to broadcast it if it was counted to hold at most ``most`` rows."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of a task sorted by its first ``keys`` columns, as tables that cut no group of equal keys.
+
+    A batch is joined to what is held only when its group ends, so a long group is copied once.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(keys)]
+        if held and any(held[-1].column(c)[-1].as_py() != x[0] for c, x in enumerate(columns)):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        last = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in columns]))
+        if len(last):
+            cut = int(last[-1]) + 1
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held, batch = [], batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
