@@ -1,11 +1,16 @@
 """Language-model scores by cross-entropy difference.
 
-Two bigram models, of a target and of a background, share the vocabulary of all words; a
-document scores the mean over its words of target loss less background loss, so low
-scores read like the target.  Counts are kept for every word and every pair of words (by
-64-bit hashes) in Spark tables that grow with the input, and so are the losses of every
-pair; the texts' pairs are joined to them.  Frequent pairs and words, of which there can
-only be few, are looked up without a shuffle, with the same values.
+Two bigram models, of a target and of a background, share one vocabulary; a document scores
+the mean over its words of target loss less background loss, so low scores read like the
+target.  A word's loss mixes that of its pair (given how often the word before occurs) and of the word
+alone, both with a little added to every count.  A document is scored by the counts of all
+other documents: its own counts are taken off both models.
+
+So a pair or word that no other document has counts nothing, and the logarithms of counts
+are sums over the distinct grams (pairs and words) of a document.  Each gram of a document
+is a row, dealt by gram; where rows of several documents meet, what their counts change goes
+back to the documents.  Frequent grams, of which there can only be few, are counted before
+and looked up where the text is read, with the same values.
 """
 
 from __future__ import annotations
@@ -18,131 +23,169 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, mix, text_chunks
+from tidemark.llm.common import materialise, mix, small, text_chunks
 from tidemark.llm.decontam import words_of
 
-#: A pair is frequent from one HOT_PAIRS-th of all words on, a word from one HOT_WORDS-th, so at most so many are.
-HOT_PAIRS, HOT_WORDS = 1 << 18, 1 << 14
-#: Weight of the bigram estimate, and what every word of the vocabulary is counted on top.
-WEIGHT, EXTRA = 0.6, 0.1
-#: Target ids (8 bytes) up to which they are broadcast to the texts; beyond, the texts are shuffled once.
-BROADCAST_IDS = 1_000_000
-#: Losses are kept as whole multiples of 1 / UNIT nats, whose sums do not depend on their order.
+#: Every gram that makes one HOT-th of all is looked up; those looked up make at least a quarter of that, so 4 * HOT at most.
+HOT = 1 << 16
+#: Weight of the pair's loss, what every count is raised by, and the number of words that the raises are spread over.
+WEIGHT, EXTRA, WORDS = 0.6, 0.1, 1 << 17
+#: Rows (of 8 to 32 bytes) up to which target ids or scores are broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 300_000
+#: Losses are summed as whole multiples of 1 / UNIT nats, whose sums do not depend on their order.
 UNIT = 1 << 30
+START = np.uint64(1)
 
 
-def before_of(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The word before each word, a start mark at the first of a document."""
+def grams_of(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct grams of each document: gram, document, times, times as the word before, and whether it is a pair."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     before = np.r_[np.uint64(0), words[:-1]][: len(words)].astype(np.uint64)
-    before[bounds[:-1][bounds[:-1] < len(words)]] = np.uint64(1)
-    return before
+    before[bounds[:-1][bounds[:-1] < bounds[1:]]] = START
+    final = np.zeros(len(words), bool)
+    final[bounds[1:][bounds[:-1] < bounds[1:]] - 1] = True
+    gram, owner, final = np.r_[mix(mix(before) + words), mix(words ^ START)], np.r_[owner, owner], np.r_[final, final]
+    _, at, of, times = np.unique(mix(gram + mix(owner.astype(np.uint64))), return_index=True, return_inverse=True, return_counts=True)
+    pair = at < len(words)
+    return gram[at], owner[at], times, np.where(pair, 0, times - np.bincount(of, weights=final, minlength=len(at)).astype(np.int64)), pair
 
 
-def pair_of(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mix(mix(before) + words)
+def shrunk(grams: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` of the grams: the next largest count is taken off all, and those with none left go."""
+    if len(grams) <= most:
+        return grams, counts
+    left = counts - np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
+    return grams[left > 0], left[left > 0]
 
 
-def count_pairs(labelled: DataFrame) -> DataFrame:
-    """before, word, n and t: how often each pair stands in all rows (text, target), and in those with ``target``."""
+def added(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    grams, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return grams, np.bincount(of, weights=np.concatenate([p[1] for p in parts]), minlength=len(grams)).astype(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def frequent(marked: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[int, ...]]:
+    """The frequent grams, sorted, their counts in all rows and in the target, and the totals of words and rows of both.
+
+    Each task keeps 2 * HOT counters, from which no gram of one HOT-th of its rows can fall
+    out; grams whose counters sum to a quarter of that share are then counted exactly.
+    """
+    most = 2 * HOT
+
+    def notice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.zeros(4, np.int64)
         for part, offsets, body in text_chunks(batches):
             words, bounds = words_of(offsets, body)
-            before = before_of(words, bounds)
-            _, at, of = np.unique(pair_of(before, words), return_index=True, return_inverse=True)
-            target = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(x[at].view(np.int64)) for x in (before, words)], *[pa.array(np.bincount(x, minlength=len(at)).astype(np.int64)) for x in (of, of[target])]],
-                names=["before", "word", "n", "t"],
-            )
-
-    sent = labelled.select("text", "target").mapInArrow(count, "before long, word long, n long, t long")
-    return sent.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def _with_counts(pairs: DataFrame, totals: DataFrame, key: str, most: int) -> DataFrame:
-    """``pairs`` with the counts of their ``key``; those of frequent keys are broadcast, as many pairs share them."""
-    counts = [c for c in totals.columns if c != key]
-    joined = pairs.join(F.broadcast(totals.filter(F.col(counts[0]) >= most)), key, "left")
-    found = F.col(counts[0]).isNotNull()
-    return joined.filter(found).unionByName(joined.filter(~found).drop(*counts).join(totals.filter(F.col(counts[0]) < most), key))
-
-
-def _loss(count: str, context: str, single: str, total: int, vocabulary: int) -> Column:
-    weight = F.when(F.col(context) > 0, WEIGHT).otherwise(0.0)
-    after = F.col(count) / F.greatest(F.col(context), F.lit(1))
-    return F.round(-F.log(weight * after + (1 - weight) * (F.col(single) + EXTRA) / (total + EXTRA * vocabulary)) * UNIT)
-
-
-def losses(pairs: DataFrame, total: int, target_total: int) -> DataFrame:
-    """before, word, n, and the pair's target and background loss in units."""
-    singles, contexts = (materialise(pairs.groupBy(key).agg(F.sum("n").alias(f"{key}_n"), F.sum("t").alias(f"{key}_t"))) for key in ("word", "before"))
-    vocabulary = singles.count()
-    most = max(1, math.ceil(total / HOT_WORDS))
-    full = _with_counts(_with_counts(pairs, singles, "word", most), contexts, "before", most)
-    return full.select("before", "word", "n", _loss("t", "before_t", "word_t", target_total, vocabulary).alias("target"), _loss("n", "before_n", "word_n", total, vocabulary).alias("background"))
-
-
-def text_losses(texts: DataFrame, table: DataFrame, total: int) -> DataFrame:
-    """key, n_tokens and mean losses of each distinct text, from rows (key, text) and the pairs' losses."""
-    most = max(1, math.ceil(total / HOT_PAIRS))
-    hot = table.filter(F.col("n") >= most).select("before", "word", "target", "background").toArrow()  # at most HOT_PAIRS rows
-    known = pair_of(*[hot.column(i).to_numpy().view(np.uint64) for i in range(2)])
-    order = np.argsort(known)
-    known, values = known[order], [hot.column(i).to_numpy()[order] for i in (2, 3)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a text with the sums of its frequent pairs, and one for each other pair of it."""
+            gram, _, times, _, _ = grams_of(words, bounds)
+            held = shrunk(*added(held, shrunk(*added((gram, times)), most)), most)
+            target = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            sums += [len(words), np.diff(bounds)[target].sum(), len(target), target.sum()]
+        keep = held[1] * 4 * HOT >= 2 * sums[0]
+        gram, count = held[0][keep], held[1][keep]
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[gram, np.arange(4, dtype=np.uint64)].view(np.int64)), pa.array(np.r_[count, sums]), pa.array(np.r_[np.zeros(len(gram), bool), np.ones(4, bool)])], names=["gram", "count", "total"])
+
+    seen = materialise(marked.select("text", "target").mapInArrow(notice, "gram long, count long, total boolean").groupBy("total", "gram").agg(F.sum("count").alias("count")))
+    found = {r.gram: r["count"] for r in seen.filter("total").collect()}
+    sums = tuple(int(found.get(i, 0)) for i in range(4))
+    hot = np.sort(seen.filter(~F.col("total") & (F.col("count") * 4 * HOT >= 2 * sums[0])).select("gram").toArrow().column(0).to_numpy().view(np.uint64))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, len(hot) + 1), np.int64)
+        for part, offsets, body in text_chunks(batches):
+            gram, owner, times, _, _ = grams_of(*words_of(offsets, body))
+            place, known = _places(hot, gram)
+            target = part.column(1).to_numpy(zero_copy_only=False).astype(bool)[owner]
+            for row, use in zip(counts, (known, known & target), strict=True):
+                row += np.bincount(place[use], weights=times[use], minlength=len(row)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(hot), dtype=np.int32)), *[pa.array(row[: len(hot)]) for row in counts]], names=["place", "n", "t"])
+
+    counts = np.zeros((2, len(hot)), np.int64)
+    if len(hot):
+        exact = marked.select("text", "target").mapInArrow(count, "place int, n long, t long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
+        counts[:, exact.column(0).to_numpy()] = [exact.column(i).to_numpy() for i in (1, 2)]
+    return hot, counts, sums
+
+
+def _places(hot: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(hot):
+        return np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
+    place = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
+    return place, hot[place] == grams
+
+
+def _change(times: np.ndarray, context: np.ndarray, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """What a gram's count in other documents changes in the sum of a document's losses, in units."""
+    weight = np.where(pair, WEIGHT, 1 - WEIGHT)
+    change = WEIGHT * context * np.log(count / (EXTRA * WORDS) + 1) - weight * times * np.log(count / EXTRA + 1)
+    return np.rint(change * UNIT).astype(np.int64)
+
+
+def _change_column(times: Column, context: Column, pair: Column, count: Column) -> Column:
+    change = WEIGHT * context * F.log1p(count / (EXTRA * WORDS)) - F.when(pair, WEIGHT).otherwise(1 - WEIGHT) * times * F.log1p(count / EXTRA)
+    return F.round(change * UNIT).cast("long")
+
+
+def text_losses(marked: DataFrame) -> DataFrame:
+    """key, n_tokens and mean losses of each distinct text and kind, from rows (key, text, target)."""
+    hot, counts, sums = frequent(marked)
+    rows = marked.select("text", "target", "key")
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a text: its losses as far as totals and frequent grams go."""
         for part, offsets, body in text_chunks(batches):
             words, bounds = words_of(offsets, body)
-            before, n = before_of(words, bounds), np.diff(bounds)
-            pair, owner = pair_of(before, words), np.repeat(np.arange(part.num_rows), n)
-            place = np.minimum(np.searchsorted(known, pair), max(0, len(known) - 1))
-            found = known[place] == pair if len(known) else np.zeros(len(pair), bool)
-            sums = [np.bincount(owner[found], weights=v[place[found]], minlength=part.num_rows) for v in values]
-            rest = np.flatnonzero(~found)
-            _, at, times = np.unique(mix(pair[rest] + mix(owner[rest].astype(np.uint64))), return_index=True, return_counts=True)
-            rest = rest[at]
-            keys, none = part.column(0), np.zeros(len(rest))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([keys, keys.take(pa.array(owner[rest]))]), pa.array(np.r_[n, np.zeros(len(rest), np.int64)], pa.int64()),
-                    pa.array(np.r_[np.zeros(len(n), np.int64), times], pa.int64()), *[pa.array(np.r_[s, none]) for s in sums],
-                    *[pa.array(np.r_[np.zeros(len(n), np.int64), x[rest].view(np.int64)]) for x in (before, words)],
-                ],
-                names=["key", "tokens", "times", "target", "background", "before", "word"],
-            )
-
-    seen = texts.select("key", "text").mapInArrow(run, "key long, tokens long, times long, target double, background double, before long, word long")
-    frequent = seen.filter("times = 0").select("key", "tokens", "target", "background")
-    rare = seen.filter("times > 0").select("key", "times", F.xxhash64("before", "word").alias("pair"))
-    rare = rare.join(table.filter(F.col("n") < most).select(F.xxhash64("before", "word").alias("pair"), "target", "background"), "pair")
-    rare = rare.groupBy("key").agg(F.lit(0).cast("long").alias("tokens"), *[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("target", "background")])
+            gram, owner, times, context, pair = grams_of(words, bounds)
+            place, found = _places(hot, gram)
+            target, n = part.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds)
+            losses = []
+            for model, mine in ((1, target), (0, np.ones(len(n), bool))):
+                total, first = sums[model] - n * mine, np.maximum(sums[2 + model] - mine, 0)
+                base = WEIGHT * (np.log(first + EXTRA * WORDS) + (n - 1) * math.log(EXTRA * WORDS)) + (1 - WEIGHT) * n * np.log(total + EXTRA * WORDS) - n * math.log(EXTRA)
+                sum_ = np.where(n > 0, np.rint(base * UNIT), 0).astype(np.int64)
+                o = owner[found]
+                np.add.at(sum_, o, _change(times[found], context[found], pair[found], counts[model][place[found]] - times[found] * mine[o]))
+                losses.append(sum_)
+            yield pa.RecordBatch.from_arrays([part.column(2), pa.array(n, pa.int64()), pa.array(n, pa.int64()), *[pa.array(x) for x in losses]], names=["key", "n_tokens", "words", "target", "background"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each other gram of a text; ``info`` packs its times, times as context, kind, and whether the text is a target."""
+        for part, offsets, body in text_chunks(batches):
+            gram, owner, times, context, pair = grams_of(*words_of(offsets, body))
+            rest = np.flatnonzero(~_places(hot, gram)[1])
+            target = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[owner[rest]]
+            info = (times[rest] << 33) | (context[rest] << 2) | (pair[rest].astype(np.int64) << 1) | target
+            yield pa.RecordBatch.from_arrays([pa.array(gram[rest].view(np.int64)), part.column(2).take(pa.array(owner[rest])), pa.array(info)], names=["gram", "key", "info"])
+
+    times, target = F.shiftright("info", 33), F.col("info").bitwiseAND(1)
+    dealt = rows.mapInArrow(others, "gram long, key long, info long").repartition("gram")
+    shared = dealt.groupBy("gram").agg(F.sum(times).alias("n"), F.sum(times * target).alias("t"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    met = dealt.join(shared.hint("merge"), "gram")
+    context, pair = F.shiftright(F.col("info").bitwiseAND((1 << 33) - 1), 2), F.col("info").bitwiseAND(2) > 0
+    zero = F.lit(0).cast("long")
+    changes = met.select("key", zero.alias("n_tokens"), zero.alias("words"), _change_column(times, context, pair, F.col("t") - times * target).alias("target"), _change_column(times, context, pair, F.col("n") - times).alias("background"))
+    changes = changes.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "words", "target", "background")])
+    both = rows.mapInArrow(known, "key long, n_tokens long, words long, target long, background long").unionByName(changes)
     # Copies of a text add to the losses and the words alike, so the means are those of one.
-    both = frequent.unionByName(rare).groupBy("key").agg(F.max("tokens").alias("n_tokens"), F.sum("tokens").alias("words"), F.sum("target").alias("target"), F.sum("background").alias("background"))
-    words = F.greatest(F.col("words"), F.lit(1)) * UNIT
-    return both.select("key", "n_tokens", (F.col("target") / words).alias("target_loss"), (F.col("background") / words).alias("background_loss"))
+    both = both.groupBy("key").agg(F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("words", "target", "background")])
+    mean = lambda c: F.round(F.col(c) / (F.greatest(F.col("words"), F.lit(1)) * UNIT), 9).alias(f"{c}_loss")
+    return both.select("key", "n_tokens", mean("target"), mean("background"))
 
 
 def cross_entropy_difference(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with n_tokens, target_loss, background_loss (means, nats) and score, their difference.
 
-    The background is all rows, the target those whose ids are in ``targets``.  Null ids
-    are never targets; repeated rows count as often as they occur.  Without targets the
-    target model is uniform.  Null, empty or wordless text has 0 tokens, zero losses and
-    score 0.  Long texts are scored whole.  Columns of these names are replaced.
+    The background is all rows, the target those whose ids are in ``targets``; a row's own
+    counts are taken off the models that it is in.  Null ids are never targets; a repeated
+    row counts as another document.  Without targets the target model is uniform.  Null,
+    empty or wordless text has 0 tokens, zero losses and score 0.  Long texts are scored
+    whole.  Columns of these names are replaced.
     """
     new = ["n_tokens", "target_loss", "background_loss", "score"]
     names = [c for c in df.columns if c not in new]
     wanted = materialise(targets.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct())
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = df.select(F.col(id_col).alias("_own"), text.alias("text")).join(wanted, F.col("_own") == F.col("_id"), "left")
-    pairs = materialise(count_pairs(marked.select("text", F.col("_id").isNotNull().alias("target"))))
-    sums = pairs.agg(F.sum("n"), F.sum("t")).first()
-    total, target_total = (int(x or 0) for x in sums)
-    table = materialise(losses(pairs, total, target_total))
-    scored = materialise(text_losses(df.select(F.xxhash64(text).alias("key"), text.alias("text")), table, total))
-    joined = df.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text).alias("_key")).join(scored.withColumnRenamed("key", "_key"), "_key", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in names], *new[:3], (F.col("target_loss") - F.col("background_loss")).alias(new[3]))
+    wanted = small(wanted, wanted.count(), BROADCAST_ROWS)
+    text, kept = F.coalesce(F.col(text_col), F.lit("")), [F.col(f"`{c}`") for c in names]
+    joined = df.select(*kept).join(wanted, F.col(f"`{id_col}`") == F.col("_id"), "left").withColumn("_target", F.col("_id").isNotNull())
+    joined = joined.withColumn("_key", F.xxhash64(text, "_target"))
+    scored = materialise(text_losses(joined.select(F.col("_key").alias("key"), text.alias("text"), F.col("_target").alias("target"))))
+    joined = joined.select(*kept, "_key").join(small(scored, scored.count(), BROADCAST_ROWS).withColumnRenamed("key", "_key"), "_key", "left")
+    return joined.select(*kept, *new[:3], (F.col("target_loss") - F.col("background_loss")).alias(new[3]))
