@@ -128,6 +128,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def code_points(offsets: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 text, and the offsets among them."""
+    points = np.frombuffer(body.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    return points, np.cumsum(np.r_[0, (body & 0xC0) != 0x80])[offsets]
+
+
 _tables: list[np.ndarray] = []
 
 

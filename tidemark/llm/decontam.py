@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import gram_hash, span_hash, text_chunks, utf8, word_spans
+from tidemark.llm.common import gram_hash, materialise, span_hash, text_chunks, utf8, word_spans
 
 #: Lower-cased ASCII letters, digits and all bytes from 0x80; everything else parts words.
 LETTERS = np.zeros(256, np.uint8)
@@ -112,14 +112,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: in
     judged alike; columns of ``docs`` named as the three new ones are replaced.
 
     The benchmark's index is broadcast only up to ``block_bytes`` of text.  A larger
-    benchmark is read in blocks, each its own pass over the rows, which carry their hits.
+    benchmark is read in blocks: each is a pass of its own over the rows, which carry their
+    hits through a table of the shared folder, so driver and tasks hold one block at a time.
     """
     fields = [f for f in docs.schema.fields if f.name not in ("n_words", "hits", "hit_items")]
     names = [f.name for f in fields]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(span)), T.StructField("hit_items", T.ArrayType(T.StringType()))])
     out = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(schema["hits"].dataType).alias("hits"), F.lit(None).cast(schema["hit_items"].dataType).alias("hit_items"))
-    for block in _blocks(benchmark, item_id, item_text, block_bytes):
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    for number, block in enumerate(blocks):
         rows = [(r["item"], r["text"]) for r in block.collect()]  # at most about block_bytes
 
         def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
@@ -161,6 +163,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: in
                 )
 
         out = out.mapInArrow(run, schema)
+        if number + 1 < len(blocks):
+            out = materialise(out)
     return out
 
 

@@ -2,8 +2,10 @@
 
 For each language a suffix automaton of labelled text gives the longest match at any
 place of a document.  Parsing a document greedily into such matches takes few phrases
-in its own language and many in others; the language with the fewest phrases a letter
-wins.  The models hold equally many letters, so the counts compare as they are.
+in its own language and many in others.  A longer model has longer matches by chance alone,
+in proportion to the logarithm of its length, so phrases are normalised by it (and by the
+document's letters, which are the same for all): the language with the least entropy,
+phrases times log2 of model letters over letters, wins.
 
 The automata are stepped as dense tables over many blocks of letters at once.
 """
@@ -19,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import text_chunks
+from tidemark.llm.common import code_points, text_chunks
 
-#: Labelled documents, their largest size, and letters of text that a language's model is built from.
-MODEL_DOCS, MODEL_BYTES, MODEL_LETTERS = 60, 4000, 16_000
-#: A phrase never crosses a multiple of so many letters of a document.
+#: Labelled documents and letters of text that a language's model is built from at most, and the sizes that come first.
+MODEL_DOCS, MODEL_LETTERS, MODEL_BYTES = 60, 16_000, (200, 4000)
+#: A phrase ends at each multiple of so many letters of a document: this is part of its definition.
 BLOCK = 2048
 UNKNOWN = "und"
 
@@ -44,8 +46,7 @@ def normalised(offsets: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.nd
 
     A document does not begin with a space.
     """
-    points = np.frombuffer(body.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    at = np.cumsum(np.r_[0, (body & 0xC0) != 0x80])[offsets]
+    points, at = code_points(offsets, body)
     small = _letters()[points]
     keep = small > 0
     before = np.r_[False, keep[:-1]]
@@ -92,6 +93,8 @@ class Parser:
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
+        #: What one phrase costs by each model.
+        self.bits = np.log2([len(samples[name]) + 1 for name in self.languages])
         alphabet = sorted({ord(c) for text in samples.values() for c in text})
         #: Code of each point; the last code is for letters that no model has seen.
         self.code = np.full(0x110000, len(alphabet), np.int32)
@@ -133,15 +136,18 @@ class Parser:
 
 
 def learn(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """Sample text of each language, at most MODEL_LETTERS letters of MODEL_DOCS whole documents.
+    """Sample text of each language: the first MODEL_LETTERS letters of at most MODEL_DOCS documents.
 
-    The documents are the first by hash of the id among those of at most MODEL_BYTES
-    bytes outside ``held_out``; those of 200 bytes or more come first.
+    Documents outside ``held_out`` come by hash of the id, those of usual size
+    (MODEL_BYTES) first, then longer and then shorter ones, so that a language of long or
+    of short documents alone is learned too.  No more than MODEL_LETTERS characters of
+    any document are of use, and only those are fetched.
     """
-    text = F.col(text_col)
-    known = df.filter(F.col(lang_col).isNotNull() & text.isNotNull() & F.col(id_col).isNotNull() & ~held_out & F.octet_length(text).between(1, MODEL_BYTES))
-    rows = known.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), (F.octet_length(text) < 200).alias("short"), F.xxhash64(F.col(id_col), text).alias("draw"))
-    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("short", "draw", "text"))).filter(F.col("place") <= MODEL_DOCS)
+    text, size = F.col(text_col), F.octet_length(text_col)
+    known = df.filter(F.col(lang_col).isNotNull() & (size > 0) & F.col(id_col).isNotNull() & ~held_out)
+    kind = F.when(size < MODEL_BYTES[0], 2).when(size <= MODEL_BYTES[1], 0).otherwise(1)
+    rows = known.select(F.col(lang_col).cast("string").alias("lang"), F.substring(text, 1, MODEL_LETTERS).alias("text"), kind.alias("kind"), F.xxhash64(F.col(id_col), text).alias("draw"))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("kind", "draw", "text"))).filter(F.col("place") <= MODEL_DOCS)
     samples: dict[str, list[np.ndarray]] = {}
     for row in first.orderBy("lang", "place").collect():  # MODEL_DOCS a language
         body = np.frombuffer(row["text"].encode(), np.uint8)
@@ -157,7 +163,7 @@ def identify(df: DataFrame, samples: dict[str, str], text_col: str = "text") ->
     """``df`` with lang_pred and score (replaced if they exist).
 
     Null text, text without letters, and any text if nothing was learned: ``und`` and 0.
-    The score is the share of the winner among the inverse phrase counts; ties go to the
+    The score is the share of the winner among the inverse entropies; ties go to the
     smallest name.  Long texts are parsed whole, in blocks of BLOCK letters.
     """
     names = [c for c in df.columns if c not in ("lang_pred", "score")]
@@ -172,9 +178,9 @@ def identify(df: DataFrame, samples: dict[str, str], text_col: str = "text") ->
         for part, offsets, body in text_chunks(batches, text_col, 4 << 20):
             points, bounds = normalised(offsets, body)
             if parser.languages:
-                count = np.maximum(parser.phrases(points, bounds), 1)
-                best = count.argmin(axis=1)
-                share = (1 / count).max(axis=1) / (1 / count).sum(axis=1)
+                cost = np.maximum(parser.phrases(points, bounds), 1) * parser.bits
+                best = cost.argmin(axis=1)
+                share = (1 / cost).max(axis=1) / (1 / cost).sum(axis=1)
                 some = np.diff(bounds) > 0
                 lang = np.where(some, np.array(parser.languages, object)[best], UNKNOWN)
                 value = np.where(some, share, 0.0)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, span_hash, text_chunks, word_spans
+from tidemark.llm.common import code_points, mix, span_hash, text_chunks, word_spans
 
 BUCKETS = 1 << 17
 GRAMS = (2, 3, 4)
@@ -32,7 +32,7 @@ _SAME = mix(np.array([1 << 50], np.uint64))[0]
 
 
 def features(offsets: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and document of every feature: words and the byte n-grams within a word.
+    """Bucket and document of every feature: words and the character n-grams within a word.
 
     A word that repeats the one before it is the feature "same" instead of itself.  An
     n-gram may begin or end with the space beside its word.
@@ -44,15 +44,17 @@ def features(offsets: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndar
     same = np.r_[False, (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])][: len(words)]
     words[same] = _SAME
     found, owners = [words % np.uint64(BUCKETS)], [owner]
-    document = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    value, space = letters.astype(np.uint64), letters == 0
+    points, bounds = code_points(offsets, body)
+    document = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    value = np.where(points < 128, LETTERS[points & 127], points).astype(np.uint64)
+    space = value == 0
     for n in GRAMS:
-        size = len(letters) - n + 1
+        size = len(points) - n + 1
         if size <= 0:
             continue
         code = np.full(size, n, np.uint64)
         for i in range(n):
-            code = code * np.uint64(257) + value[i : i + size]
+            code = code * np.uint64(0x110001) + value[i : i + size]
         whole = document[:size] == document[n - 1 :]
         for i in range(1, n - 1):
             whole &= ~space[i : i + size]
