@@ -9,6 +9,7 @@ and not by the corpus, and one combination is taken as often as the stock allows
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import unicodedata
 import zlib
@@ -27,19 +28,22 @@ from tidemark.llm.common import materialise, partitions
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
-#: Entries of a worker's caches, which only save time.
-CACHED = 100_000
+#: Entries of a task's caches, which only save time.
+CACHED = 50_000
 
 
 class WordTokens(dict):
     """Ids of white-space chunks as little-endian bytes, by the tokenizer's own model.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are
-    those of its chunks.  A chunk that holds an added token goes to the tokenizer whole.
+    A tokenizer whose normalizer and pre-split are those below drops white space and never
+    merges across it, so a text's ids are those of its chunks.  A chunk that holds an added
+    token goes to the tokenizer whole, and so does any text if its file says otherwise.
     """
 
-    #: The tokenizer's fixed pre-split pattern.
+    #: The normalizer and pre-split (fixed values of the tokenizer's file) that chunks stand for.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,6 +51,8 @@ class WordTokens(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        parts = json.loads(self.tokenizer.to_str())
+        self.by_chunk = parts["normalizer"] == self.NORMALIZER and parts["pre_tokenizer"] == self.SPLIT and parts["model"]["type"] == "BPE"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(self.PATTERN).findall
         self.split_ascii = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
@@ -79,36 +85,43 @@ class WordTokens(dict):
         self.words[word] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.words.clear()
+
     def ids(self, text: str) -> bytes:
+        if not self.by_chunk:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join([self[c] for c in text.replace("\n", " ").split(" ")])
 
 
 _tokenizers: dict[str, WordTokens] = {}
-_seen: dict[bytes, list[tuple[int, int]]] = {}
 
 
-def _cut(text: str, path: str, max_tokens: int) -> list[tuple[int, int]]:
+def _cut(text: str, words: WordTokens, seen: dict[bytes, list[tuple[int, int]]], max_tokens: int) -> list[tuple[int, int]]:
     """(length, CRC) of each piece."""
-    key = hashlib.blake2b(f"{path}|{max_tokens}|{text}".encode(), digest_size=16).digest()
-    if key not in _seen:
-        if path not in _tokenizers:
-            _tokenizers[path] = WordTokens(path)
-        ids = _tokenizers[path].ids(text) + struct.pack("<I", END_ID)
-        if len(_seen) >= CACHED:
-            _seen.clear()
-        _seen[key] = [(len(p) // 4, zlib.crc32(p)) for i in range(0, len(ids), 4 * max_tokens) if (p := ids[i : i + 4 * max_tokens])]
-    return _seen[key]
+    key = hashlib.blake2b(text.encode(), digest_size=16).digest()
+    if key not in seen:
+        ids = words.ids(text) + struct.pack("<I", END_ID)
+        if len(seen) >= CACHED:
+            seen.clear()
+        seen[key] = [(len(p) // 4, zlib.crc32(p)) for i in range(0, len(ids), 4 * max_tokens) if (p := ids[i : i + 4 * max_tokens])]
+    return seen[key]
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, max_tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32.  Null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tokenizer_path not in _tokenizers:
+            _tokenizers[tokenizer_path] = WordTokens(tokenizer_path)
+        words, seen = _tokenizers[tokenizer_path], {}
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 start = 0
-                for piece, (length, crc) in enumerate(_cut(text.as_py() or "", tokenizer_path, max_tokens)):
+                for piece, (length, crc) in enumerate(_cut(text.as_py() or "", words, seen, max_tokens)):
                     rows.append((doc_id, piece, start, length, crc))
                     start += length
             columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -116,6 +129,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, max_tokens: int = 4096, id_
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        words.forget()  # the worker process lives on
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
@@ -197,4 +211,10 @@ def pack(pieces: DataFrame, max_tokens: int = 4096) -> DataFrame:
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, max_tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pieces of all documents with their sequences and offsets.
+
+    Null text is empty: its piece is the end id alone.  Documents of more than
+    ``max_tokens`` ids are cut; repeated rows and null ids are packed row by row.  An empty
+    table gives no rows.  Other columns are left alone.
+    """
     return pack(token_pieces(df, tokenizer_path, max_tokens, id_col, text_col), max_tokens)
