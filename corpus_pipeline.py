@@ -1,6 +1,8 @@
 """From raw documents to packed training sequences.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.  In each
+of them null ids, null and empty texts, repeated rows, long texts and empty tables have the
+result that the operator's docstring states; columns beyond those of documents go.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, line_dedup, near_dedup, packing, quality
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, small
 from tidemark.llm.queries import table, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,9 +31,13 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group (five-word shingles, similarity 0.8)."""
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Keeps the document with the smallest id of each group (five-word shingles, similarity 0.8).
+
+    Rows with null ids or without words stay; repeated rows of a kept id stay as they are.
+    The ids to drop are broadcast if there are few; beyond, the texts are shuffled once.
+    """
+    gone = materialise(near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct())
+    return docs.join(small(gone, gone.count(), near_dedup.BROADCAST_ROWS), "doc_id", "left_anti").select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
