@@ -12,15 +12,15 @@ from tidemark.plans.technical import WIN, lag, over, r6
 from tidemark.sources import market as m
 from tidemark.sources.market import INDEXED_SQL, last
 
-# One row per symbol and tenth bar, with what the agents know at that close.
-_EV = f"ev0 as (select symbol, date, i, n, close, ret, close/{lag(20)}-1 as mom, stddev_pop(ret) {over(21)} as sd, avg(close) {over(30)} as ma30, lead(close,5) over w/close-1 as fwd from ix{WIN}), ev as (select * from ev0 where i>=60 and i%10=0)"
+# One row per symbol and bar, with what the agents know at that close.
+_EV = f"ev0 as (select symbol, date, i, n, close, ret, close/{lag(20)}-1 as mom, stddev_pop(ret) {over(21)} as sd, avg(close) {over(30)} as ma30, lead(close,5) over w/close-1 as fwd from ix{WIN}), ev as (select * from ev0 where i>=60)"
 _HEAD = f"with {INDEXED_SQL}, {_EV}"
 
 
 def evidence(spark, sf_dir):
     x = m.indexed(spark, sf_dir)
     x = x.withColumn("mom", ta.momentum(20)).withColumn("sd", F.stddev_pop("ret").over(last(21))).withColumn("ma30", F.avg("close").over(last(30))).withColumn("fwd", ta.forward_return(5))
-    return x.filter("i >= 60 and i % 10 = 0")
+    return x.filter("i >= 60")
 
 
 _RISK = "case when sd*1.645>=0.8*0.05 then 'high' when sd*1.645>=0.45*0.05 then 'medium' else 'low' end"

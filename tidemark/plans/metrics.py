@@ -149,12 +149,12 @@ def win_29_segment_windows(spark, sf_dir):
     return x.filter("nxt is not null").groupBy("symbol", "segment").agg(rounded(F.exp(F.sum(F.log(1 + F.when(F.col("on"), F.col("nxt")).otherwise(0.0)))) - 1).alias("sma_total"))
 
 
-_PRED = f"pd as (select symbol, date, i, {lag(0)}/{lag(20)}-1 as score, lead(close,5) over w/close-1 as fwd, stddev_pop(ret) {over(21)} as sd from ix{WIN}), pp as (select * from pd where score is not null and fwd is not null and i%5=0 and i>=21)"
+_PRED = f"pd as (select symbol, date, i, {lag(0)}/{lag(20)}-1 as score, lead(close,5) over w/close-1 as fwd, stddev_pop(ret) {over(21)} as sd from ix{WIN}), pp as (select * from pd where score is not null and fwd is not null and i>=21)"
 
 
 def _predictions(spark, sf_dir):
     x = m.indexed(spark, sf_dir).withColumn("score", ta.momentum(20)).withColumn("fwd", ta.forward_return(5)).withColumn("sd", F.stddev_pop("ret").over(last(21)))
-    return x.filter("score is not null and fwd is not null and i % 5 = 0 and i >= 21")
+    return x.filter("score is not null and fwd is not null and i >= 21")
 
 
 _SIGN = "case when sign(score)=sign(fwd) then 1.0 else 0.0 end"
@@ -275,13 +275,13 @@ def agg_30_coverage_curve(spark, sf_dir):
     return perf.coverage_curve(x.withColumn("confidence", F.abs("score")), [100, 75, 50, 25, 10], ["symbol", "date"])
 
 
-@query("agg_31_rank_ic", f"with {INDEXED_SQL}, {_PRED}, {_RANKS.format(g='date')}, d as (select date, corr(rs, rf) as ic from rk group by date having count(*)>=4 and stddev_pop(rs)>0 and stddev_pop(rf)>0) select {r6('avg(ic)')} as mean_ic, {r6('avg(ic)/stddev_pop(ic)')} as icir, {r6('avg(ic)/stddev_pop(ic)*sqrt(count(*))')} as t, {r6('avg(case when ic>0 then 1.0 else 0.0 end)')} as positive, count(*) as dates from d")
+@query("agg_31_rank_ic", f"with {INDEXED_SQL}, {_PRED}, {_RANKS.format(g='date')}, d as (select date, corr(rs, rf) as ic from rk group by date having count(*)>=4 and stddev_pop(rs)>0 and stddev_pop(rf)>0) select {r6('avg(ic)')} as mean_ic, {r6('avg(ic)/stddev_pop(ic)')} as icir, {r6('avg(ic)/stddev_pop(ic)*sqrt(count(*))')} as t, {r6('avg(case when ic>1e-12 then 1.0 else 0.0 end)')} as positive, count(*) as dates from d")
 def agg_31_rank_ic(spark, sf_dir):
     x = _ranked(_predictions(spark, sf_dir), "date")
     d = x.groupBy("date").agg(F.covar_pop("rs", "rf").alias("cov"), F.stddev_pop("rs").alias("a"), F.stddev_pop("rf").alias("b"), F.count("*").alias("c")).filter("c >= 4 and a > 0 and b > 0")
     d = d.withColumn("ic", F.col("cov") / F.col("a") / F.col("b"))
     ir = F.avg("ic") / F.stddev_pop("ic")
-    return d.agg(rounded(F.avg("ic")).alias("mean_ic"), rounded(ir).alias("icir"), rounded(ir * F.sqrt(F.count("*"))).alias("t"), rounded(F.avg(F.when(F.col("ic") > 0, 1.0).otherwise(0.0))).alias("positive"), F.count("*").alias("dates"))
+    return d.agg(rounded(F.avg("ic")).alias("mean_ic"), rounded(ir).alias("icir"), rounded(ir * F.sqrt(F.count("*"))).alias("t"), rounded(F.avg(F.when(F.col("ic") > 1e-12, 1.0).otherwise(0.0))).alias("positive"), F.count("*").alias("dates"))
 
 
 _FEATS = ("score", "sd", "fwd")

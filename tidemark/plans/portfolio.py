@@ -12,12 +12,12 @@ from tidemark.plans.technical import r6
 from tidemark.sources.market import QUOTES_SQL, quotes, table
 
 # Positions: a customer's purchases by brand; amounts are summed in whole cents.
-_POS = "pos as (select o_custkey as user_id, p_brand as symbol, sum(l_quantity) as shares, cast(sum(cast(round(l_extendedprice*100) as bigint)) as double)/100 as cost from orders join lineitem on o_orderkey=l_orderkey join part on l_partkey=p_partkey where l_returnflag='N' and o_custkey%20=0 group by 1, 2)"
+_POS = "pos as (select o_custkey as user_id, p_brand as symbol, sum(l_quantity) as shares, cast(sum(cast(round(l_extendedprice*100) as bigint)) as double)/100 as cost from orders join lineitem on o_orderkey=l_orderkey join part on l_partkey=p_partkey where l_returnflag='N' group by 1, 2)"
 _VALUED = f"with {QUOTES_SQL}, {_POS}, v as (select user_id, symbol, sector, shares*price as value, cost, shares*price-cost as pnl from pos join quotes using (symbol))"
 
 
 def positions(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 20 = 0").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
     li = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'N'").select("l_orderkey", "l_partkey", "l_quantity", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     j = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
@@ -97,27 +97,27 @@ def join_04_watchlist_semi(spark, sf_dir):
     return table(spark, sf_dir, "events").join(watch, "user_id", "left_semi").select("event_id", "user_id")
 
 
-@query("join_08_watchlist_quotes", f"with {QUOTES_SQL}, wl as (select distinct o_custkey as user_id, p_brand as symbol from orders join lineitem on o_orderkey=l_orderkey join part on l_partkey=p_partkey where o_orderkey%50=0) select user_id, symbol, price, coalesce(sector, 'Unknown') as sector from wl left join quotes using (symbol)")
+@query("join_08_watchlist_quotes", f"with {QUOTES_SQL}, wl as (select distinct o_custkey as user_id, p_brand as symbol from orders join lineitem on o_orderkey=l_orderkey join part on l_partkey=p_partkey) select user_id, symbol, price, coalesce(sector, 'Unknown') as sector from wl left join quotes using (symbol)")
 def join_08_watchlist_quotes(spark, sf_dir):
     o, li, p = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
-    wl = o.filter("o_orderkey % 50 = 0").join(li, o["o_orderkey"] == li["l_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("o_custkey").alias("user_id"), F.col("p_brand").alias("symbol")).distinct()
+    wl = o.join(li, o["o_orderkey"] == li["l_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("o_custkey").alias("user_id"), F.col("p_brand").alias("symbol")).distinct()
     return wl.join(quotes(spark, sf_dir).select("symbol", "price", "sector"), "symbol", "left").select("user_id", "symbol", "price", F.coalesce("sector", F.lit("Unknown")).alias("sector"))
 
 
-@query("join_10_alerts", "with al as (select c_custkey as alert_id, case when c_custkey%2=0 then 'above' else 'below' end as direction, c_custkey%100 as threshold, ['click','view','purchase','signup','logout'][c_custkey%5+1] as kind from customer where c_custkey<=100), px as (select event_type as kind, max(value) as hi, min(value) as lo from events group by 1) select alert_id, direction from al join px using (kind) where case direction when 'above' then hi>=threshold else lo<=threshold end")
+@query("join_10_alerts", "with al as (select c_custkey as alert_id, case when c_custkey%2=0 then 'above' else 'below' end as direction, c_custkey%100 as threshold, ['click','view','purchase','signup','logout'][c_custkey%5+1] as kind from customer), px as (select event_type as kind, max(value) as hi, min(value) as lo from events group by 1) select alert_id, direction from al join px using (kind) where case direction when 'above' then hi>=threshold else lo<=threshold end")
 def join_10_alerts(spark, sf_dir):
     """Equality on the instrument, then the threshold by direction."""
     kinds = F.array(*map(F.lit, ("click", "view", "purchase", "signup", "logout")))
-    al = table(spark, sf_dir, "customer").filter("c_custkey <= 100").select(
+    al = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("alert_id"), F.when(F.col("c_custkey") % 2 == 0, "above").otherwise("below").alias("direction"), (F.col("c_custkey") % 100).alias("threshold"), F.element_at(kinds, (F.col("c_custkey") % 5 + 1).cast("int")).alias("kind"))
     px = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.max("value").alias("hi"), F.min("value").alias("lo"))
     fires = F.when(F.col("direction") == "above", F.col("hi") >= F.col("threshold")).otherwise(F.col("lo") <= F.col("threshold"))
     return al.join(px, "kind").filter(fires).select("alert_id", "direction")
 
 
-@query("set_04_missing_symbols", "select distinct p_brand as symbol from part where p_size>25 except select distinct p_brand from part join lineitem on p_partkey=l_partkey where l_orderkey%400=0")
+@query("set_04_missing_symbols", "select distinct p_brand as symbol from part where p_size>25 except select distinct p_brand from part join lineitem on p_partkey=l_partkey where l_quantity>=50 and l_discount>=0.1 and l_returnflag='R'")
 def set_04_missing_symbols(spark, sf_dir):
-    p, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").filter("l_orderkey % 400 = 0")
+    p, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.1 and l_returnflag = 'R'")
     wanted = p.filter("p_size > 25").select(F.col("p_brand").alias("symbol"))
     return wanted.subtract(p.join(li, p["p_partkey"] == li["l_partkey"]).select(F.col("p_brand").alias("symbol")))
 

@@ -60,9 +60,9 @@ def flt_03_gainers_losers(spark, sf_dir):
     return m.quotes(spark, sf_dir).filter((F.col("change_pct") != 0) & F.upper("symbol").contains("BRAND#2")).select("symbol", F.when(F.col("change_pct") > 0, "gainer").otherwise("loser").alias("tab"), "change_pct")
 
 
-@query("flt_06_dividends", Q + "select symbol, dividend_yield from quotes where dividend_yield>0 order by dividend_yield desc, symbol limit 10")
+@query("flt_06_dividends", Q + "select symbol, dividend_yield from quotes where dividend_yield>0 order by dividend_yield desc, symbol limit 30")
 def flt_06_dividends(spark, sf_dir):
-    return m.quotes(spark, sf_dir).filter("dividend_yield > 0").orderBy(F.desc("dividend_yield"), "symbol").limit(10).select("symbol", "dividend_yield")
+    return m.quotes(spark, sf_dir).filter("dividend_yield > 0").orderBy(F.desc("dividend_yield"), "symbol").limit(30).select("symbol", "dividend_yield")
 
 
 @query("agg_11_sector_heatmap", Q + f"select sector, count(*) as n, {r6('avg(change_pct)')} as avg_change, arg_max(symbol, (change_pct, symbol)) as top_gainer, arg_min(symbol, (change_pct, symbol)) as top_loser from quotes group by sector")

@@ -224,8 +224,8 @@ _REG = f"""vs as (select *, case when i>=21 then stddev_pop(ret) {over(21)} end
 def win_19_regime(spark, sf_dir):
     x = m.indexed(spark, sf_dir).withColumn("sd", ta.realised_vol(21))
     x = x.withColumn("slope", F.regr_slope(F.log("close"), F.col("i")).over(last(63))).withColumn("dd", ta.drawdown()).withColumn("past", F.collect_list("sd").over(last(252)))
-    x = x.filter("i = n - 1")
-    pct = F.size(F.filter("past", lambda v: v < F.col("sd") - 1e-9)) / F.size("past")
+    x = x.filter("i = n - 1").withColumn("pct", F.size(F.filter("past", lambda v: v < F.col("sd") - 1e-9)) / F.size("past"))
+    pct = F.col("pct")
     label = F.when((F.col("dd") <= -0.15) & (pct >= 0.8), "crisis").when(pct >= 0.8, "volatile").when(F.col("slope") > 0, "uptrend").otherwise("downtrend")
     return x.filter(F.size("past") > 0).select("symbol", rounded(F.col("sd")).alias("sd"), rounded(pct).alias("pct"), rounded(F.col("slope")).alias("slope"), rounded(F.col("dd")).alias("dd"), label.alias("regime"))
 
@@ -416,17 +416,17 @@ def flt_10_point_in_time(spark, sf_dir):
     return m.bars(spark, sf_dir).filter("date <= date'1998-06-30'").groupBy("symbol").agg(F.max("date").alias("as_of"), F.count("*").alias("bars"), F.max_by("close", "date").alias("close"))
 
 
-@query("join_05_horizon_offset", f"with {INDEXED_SQL} select a.symbol, a.date, a.close, b.date as exit_date, b.close as exit_close, {r6('b.close/a.close-1')} as realised from ix a join ix b on a.symbol=b.symbol and b.i=a.i+5 where a.i%10=0")
+@query("join_05_horizon_offset", f"with {INDEXED_SQL} select a.symbol, a.date, a.close, b.date as exit_date, b.close as exit_close, {r6('b.close/a.close-1')} as realised from ix a join ix b on a.symbol=b.symbol and b.i=a.i+5 ")
 def join_05_horizon_offset(spark, sf_dir):
     x = m.indexed(spark, sf_dir).withColumn("exit_date", F.lead("date", 5).over(by_date())).withColumn("exit_close", F.lead("close", 5).over(by_date()))
-    return x.filter("i % 10 = 0 and exit_close is not null").select("symbol", "date", "close", "exit_date", "exit_close", rounded(F.col("exit_close") / F.col("close") - 1).alias("realised"))
+    return x.filter("exit_close is not null").select("symbol", "date", "close", "exit_date", "exit_close", rounded(F.col("exit_close") / F.col("close") - 1).alias("realised"))
 
 
-@query("join_06_asof", f"with {BARS_SQL}, asks as (select distinct o_orderdate::date as day from orders where o_orderkey%97=0), s as (select distinct symbol from bars) select s.symbol, a.day, b.date, b.close from asks a cross join s asof join bars b on s.symbol=b.symbol and a.day>=b.date")
+@query("join_06_asof", f"with {BARS_SQL}, asks as (select distinct o_orderdate::date as day from orders), s as (select distinct symbol from bars) select s.symbol, a.day, b.date, b.close from asks a cross join s asof join bars b on s.symbol=b.symbol and a.day>=b.date")
 def join_06_asof(spark, sf_dir):
     """Latest bar on or before each asked day: bars and questions in one ordered stream per symbol."""
     b = m.bars(spark, sf_dir).select("symbol", "date", "close")
-    days = m.table(spark, sf_dir, "orders").filter("o_orderkey % 97 = 0").select(F.to_date("o_orderdate").alias("date")).distinct()
+    days = m.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
     asks = b.select("symbol").distinct().join(F.broadcast(days.agg(F.collect_set("date").alias("days")))).select("symbol", F.explode("days").alias("date"))
     both = b.withColumn("ask", F.lit(0)).unionByName(asks.select("symbol", "date", F.lit(None).cast("double").alias("close"), F.lit(1).alias("ask")))
     so_far = Window.partitionBy("symbol").orderBy("date", "ask").rowsBetween(Window.unboundedPreceding, 0)
