@@ -120,40 +120,6 @@ def src_16_page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).cast("long").alias("links"))
 
 
-_FLAGS = ("risk", "buy", "sell", "ai", "long", "short")
-
-
-@query("str_06_query_flags", "select conv_id, turn, " + ", ".join(f"contains(lower(text), '{f}') as f_{f}" for f in _FLAGS) + " from conversations where role='user'")
-def str_06_query_flags(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", *[F.contains(F.lower("text"), F.lit(f)).alias(f"f_{f}") for f in _FLAGS])
-
-
-@query("str_10_plan_intent", "select conv_id, turn, case when regexp_matches(lower(text), 'buy|sell|invest') then 'advice' when regexp_matches(lower(text), 'risk|loss') then 'risk_check' when regexp_matches(lower(text), 'what|how|why') then 'define' else 'research' end as intent, length(text) as size from conversations where role='user'")
-def str_10_plan_intent(spark, sf_dir):
-    low = F.lower("text")
-    intent = F.when(low.rlike("buy|sell|invest"), "advice").when(low.rlike("risk|loss"), "risk_check").when(low.rlike("what|how|why"), "define").otherwise("research")
-    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", intent.alias("intent"), F.length("text").cast("long").alias("size"))
-
-
-@query("dec_13_default_agents", "with p as (select conv_id, turn, case when regexp_matches(lower(text), 'what|how|why') then 'define' when turn%2=0 then 'advice' else 'research' end as intent from conversations where role='user'), a as (select *, case intent when 'define' then []::varchar[] when 'advice' then ['market','analyst','risk'] else ['market','researcher'] end as agents from p) select conv_id, turn, agent from (select conv_id, turn, unnest(agents) as agent from a)")
-def dec_13_default_agents(spark, sf_dir):
-    intent = F.when(F.lower("text").rlike("what|how|why"), "define").when(F.col("turn") % 2 == 0, "advice").otherwise("research")
-    agents = F.when(intent == "advice", F.array(*map(F.lit, ("market", "analyst", "risk")))).when(intent == "research", F.array(F.lit("market"), F.lit("researcher")))
-    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.explode(agents).alias("agent"))
-
-
-@query("str_09_ticker_inference", "select conv_id, turn, coalesce(nullif(regexp_extract(text, '[$]([A-Z]{1,5})', 1), ''), upper(regexp_extract(text, '([A-Za-z]{3,})', 1))) as ticker from conversations where role='user'")
-def str_09_ticker_inference(spark, sf_dir):
-    ticker = F.coalesce(F.nullif(F.regexp_extract("text", r"[$]([A-Z]{1,5})", 1), F.lit("")), F.upper(F.regexp_extract("text", "([A-Za-z]{3,})", 1)))
-    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", ticker.alias("ticker"))
-
-
-@query("str_14_source_quality", "select doc_id, case when contains(source, '1') then 1.1 when contains(source, '2') then 0.9 else 1.0 end as weight from documents")
-def str_14_source_quality(spark, sf_dir):
-    s = F.col("source")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(s.contains("1"), 1.1).when(s.contains("2"), 0.9).otherwise(1.0).alias("weight"))
-
-
 @query("str_15_stable_key", "select doc_id, substr(sha256(lang || '|' || source || '|' || doc_id), 1, 16) as key from documents")
 def str_15_stable_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.concat_ws("|", "lang", "source", F.col("doc_id").cast("string")), 256), 1, 16).alias("key"))
