@@ -55,23 +55,6 @@ def dec_04_trend_subscore(spark, sf_dir):
     return evidence(spark, sf_dir).select("symbol", "date", rounded(clip(50 + (F.col("close") / F.col("ma30") - 1) / 0.05 * 50, 0, 100)).alias("subscore"))
 
 
-_MISSING = "case when i%30=0 then null else least(greatest(50+mom*250,0),100) end"
-_SCORE = f"(({_TREND})*0.4+coalesce(({_MISSING})*0.35,0)+(100-least(sd*2000,100))*0.25)/(0.65+case when i%30=0 then 0 else 0.35 end)"
-
-
-@query("dec_05_recommendation", _HEAD + f", sc as (select symbol, date, i, {_SCORE} as score, {_RISK} as risk from ev) select symbol, date, {r6('score')} as score, case when risk='high' and score>=63 then 'hold' when score>=63 then 'buy' when score<=37 then 'sell' else 'hold' end as action, case when i%30=0 then 2 else 3 end as sources from sc")
-def dec_05_recommendation(spark, sf_dir):
-    """Missing evidence cedes its weight; high risk overrides a buy."""
-    trend = clip(50 + (F.col("close") / F.col("ma30") - 1) / 0.05 * 50, 0, 100)
-    predicted = F.when(F.col("i") % 30 != 0, clip(50 + F.col("mom") * 250, 0, 100))
-    calm = 100 - F.least(F.col("sd") * 2000, F.lit(100.0))
-    weight = 0.65 + F.when(predicted.isNull(), 0.0).otherwise(0.35)
-    x = evidence(spark, sf_dir).withColumn("score", (trend * 0.4 + F.coalesce(predicted * 0.35, F.lit(0.0)) + calm * 0.25) / weight)
-    high = F.col("sd") * 1.645 >= 0.8 * 0.05
-    action = F.when((F.col("score") >= 63) & high, "hold").when(F.col("score") >= 63, "buy").when(F.col("score") <= 37, "sell").otherwise("hold")
-    return x.select("symbol", "date", rounded(F.col("score")).alias("score"), action.alias("action"), F.when(predicted.isNull(), 2).otherwise(3).alias("sources"))
-
-
 _AGENTS = "ag as (select symbol, date, fwd, 'market' as agent, case when close>ma30 then 'up' else 'down' end as direction, 0.6 as conf, 4.0 as age, 24.0 as hl from ev union all select symbol, date, fwd, 'analyst', case when mom>0.02 then 'up' when mom<-0.02 then 'down' else 'flat' end, 0.5+least(abs(mom),0.4), 10.0, 48.0 from ev union all select symbol, date, fwd, 'risk', null, 0.8, 100.0, 2160.0 from ev)"
 _RAW = "raw as (select *, conf*power(case agent when 'market' then 0.55 when 'analyst' then 0.6 else 0.5 end, 1.5)*sqrt(greatest(0.2, power(0.5, age/hl))) as w from ag)"
 
@@ -88,25 +71,6 @@ def agents(spark, sf_dir):
     return x.withColumn("w", F.col("conf") * F.pow("rel", F.lit(1.5)) * F.sqrt(F.greatest(F.lit(0.2), F.pow(F.lit(0.5), F.col("age") / F.col("hl")))))
 
 
-@query("dec_09_weights", _HEAD + f", {_AGENTS}, {_RAW} select symbol, date, agent, {r6('w/sum(w) over (partition by symbol, date)')} as weight from raw")
-def dec_09_weights(spark, sf_dir):
-    share = F.col("w") / F.sum("w").over(Window.partitionBy("symbol", "date"))
-    return agents(spark, sf_dir).select("symbol", "date", "agent", rounded(share).alias("weight"))
-
-
-_FUSE = "fu as (select symbol, date, sum(w*case direction when 'up' then 1.0 when 'down' then -1.0 else 0.0 end) filter (direction is not null)/sum(w) filter (direction is not null) as s from raw group by 1, 2)"
-
-
-@query("dec_10_fuse", _HEAD + f", {_AGENTS}, {_RAW}, {_FUSE} select symbol, date, {r6('s')} as score, case when s>0.15 then 'buy' when s<-0.15 then 'sell' else 'hold' end as action, {r6('case when abs(s)>0.15 then 10*least(1.0, abs(s)/0.5) else 0.0 end')} as position_pct from fu")
-def dec_10_fuse(spark, sf_dir):
-    """The vote is renormalised over agents with a direction; conviction scales the position."""
-    value = F.when(F.col("direction") == "up", 1.0).when(F.col("direction") == "down", -1.0).when(F.col("direction") == "flat", 0.0)
-    voted = F.when(value.isNotNull(), F.col("w"))
-    g = agents(spark, sf_dir).groupBy("symbol", "date").agg((F.sum(voted * value) / F.sum(voted)).alias("s"))
-    s = F.col("s")
-    return g.select("symbol", "date", rounded(s).alias("score"), F.when(s > 0.15, "buy").when(s < -0.15, "sell").otherwise("hold").alias("action"), rounded(F.when(F.abs(s) > 0.15, 10 * F.least(F.lit(1.0), F.abs(s) / 0.5)).otherwise(0.0)).alias("position_pct"))
-
-
 @query("dec_11_optimizer_screen", _HEAD + f", {_AGENTS} select symbol, date, count(*) filter (direction='up')>0 and count(*) filter (direction='down')>0 as conflict, string_agg(direction, ',' order by agent) as votes from ag group by 1, 2")
 def dec_11_optimizer_screen(spark, sf_dir):
     votes = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("direction").isNotNull(), F.struct("agent", "direction")))), lambda v: v["direction"]), ",")
@@ -114,12 +78,6 @@ def dec_11_optimizer_screen(spark, sf_dir):
     return agents(spark, sf_dir).groupBy("symbol", "date").agg((up & down).alias("conflict"), votes.alias("votes"))
 
 
-@query("agg_19_agent_hit_rates", _HEAD + f", {_AGENTS} select agent, count(*) as n, count(*) filter (direction=case when fwd>0.0005 then 'up' when fwd<-0.0005 then 'down' else 'flat' end) as correct, count(*) filter (direction='flat') as flat_calls from ag where fwd is not null and direction is not null group by agent")
-def agg_19_agent_hit_rates(spark, sf_dir):
-    real = F.when(F.col("fwd") > 0.0005, "up").when(F.col("fwd") < -0.0005, "down").otherwise("flat")
-    return agents(spark, sf_dir).filter("fwd is not null and direction is not null").groupBy("agent").agg(F.count("*").alias("n"), F.count_if(F.col("direction") == real).alias("correct"), F.count_if(F.col("direction") == "flat").alias("flat_calls"))
-
-
 @query("dec_17_realised_direction", _HEAD + " select symbol, date, case when fwd>0.0005 then 'up' when fwd<-0.0005 then 'down' else 'flat' end as realised from ev where fwd is not null")
 def dec_17_realised_direction(spark, sf_dir):
     return evidence(spark, sf_dir).filter("fwd is not null").select("symbol", "date", F.when(F.col("fwd") > 0.0005, "up").when(F.col("fwd") < -0.0005, "down").otherwise("flat").alias("realised"))

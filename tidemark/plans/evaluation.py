@@ -21,11 +21,6 @@ def agg_35_intent_accuracy(spark, sf_dir):
     return g.filter("n > 5")
 
 
-@query("snk_04_manifest", f"with {BARS_SQL} select symbol, count(*) as rows, min(date) as first, max(date) as last, sum(cast(volume as bigint)) as checksum from bars group by symbol")
-def snk_04_manifest(spark, sf_dir):
-    return bars(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"), F.sum(F.col("volume").cast("long")).alias("checksum"))
-
-
 @query("snk_08_run_log", f"select event_type as action, count(*) as runs, {r6('avg(value)')} as mean_ms, min(value) as least, max(value) as most from events group by 1")
 def snk_08_run_log(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("runs"), rounded(F.avg("value")).alias("mean_ms"), F.min("value").alias("least"), F.max("value").alias("most"))

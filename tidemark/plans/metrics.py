@@ -57,18 +57,6 @@ def _strategy(spark, sf_dir):
     return x.filter("nxt is not null").withColumn("r", F.col("e") * F.col("nxt"))
 
 
-@query(
-    "agg_05_segment_metrics",
-    f"""with {INDEXED_SQL}, {_STRAT} select symbol, segment, count(*) as bars, {r6('avg(e)')} as exposure, {r6('avg(case when r>0 then 1.0 else 0.0 end) filter (e<>0)')} as win_rate,
-      {r6('(exp(sum(ln(1+r)))-1)*100')} as total_pct, case when stddev_pop(r)<1e-12 then 0.0 else {r6('sqrt(252.0)*(avg(r)-0.04/252)/stddev_pop(r)')} end as sharpe from sg group by 1, 2""",
-)
-def agg_05_segment_metrics(spark, sf_dir):
-    return _strategy(spark, sf_dir).groupBy("symbol", "segment").agg(
-        F.count("*").alias("bars"), rounded(F.avg("e")).alias("exposure"), rounded(F.avg(F.when(F.col("e") != 0, F.when(F.col("r") > 0, 1.0).otherwise(0.0)))).alias("win_rate"),
-        rounded((F.exp(F.sum(F.log(1 + F.col("r")))) - 1) * 100).alias("total_pct"), perf.sharpe_rounded(F.col("r")).alias("sharpe"),
-    )
-
-
 @query("agg_06_buy_and_hold", f"with {INDEXED_SQL}, {_STRAT} select symbol, segment, {r6('(exp(sum(ln(1+nxt)))-1)*100')} as hold_pct, {r6('(exp(sum(ln(1+r)))-1)*100')} as strategy_pct from sg group by 1, 2")
 def agg_06_buy_and_hold(spark, sf_dir):
     return _strategy(spark, sf_dir).groupBy("symbol", "segment").agg(rounded((F.exp(F.sum(F.log(1 + F.col("nxt")))) - 1) * 100).alias("hold_pct"), rounded((F.exp(F.sum(F.log(1 + F.col("r")))) - 1) * 100).alias("strategy_pct"))
@@ -192,12 +180,6 @@ def _ranked(x, group):
     return x
 
 
-@query("agg_25_prediction_skill", f"with {INDEXED_SQL}, {_PRED}, {_RANKS.format(g='symbol')} select symbol, count(*) as n, {r6(f'avg({_SIGN})')} as accuracy, {r6('corr(rs, rf)')} as spearman, {r6('corr(score, fwd)')} as pearson from rk group by symbol")
-def agg_25_prediction_skill(spark, sf_dir):
-    x = _ranked(_predictions(spark, sf_dir), "symbol")
-    return x.groupBy("symbol").agg(F.count("*").alias("n"), rounded(F.avg(F.when(F.signum("score") == F.signum("fwd"), 1.0).otherwise(0.0))).alias("accuracy"), rounded(F.corr("rs", "rf")).alias("spearman"), rounded(F.corr("score", "fwd")).alias("pearson"))
-
-
 _DEC = "q as (select *, cast(ceil(10.0*row_number() over (partition by symbol order by score, date)/count(*) over (partition by symbol))-1 as int) as decile from pp)"
 
 

@@ -40,20 +40,6 @@ def agg_20_arm_summary(spark, sf_dir):
     return predictions(spark, sf_dir).filter("fwd is not null").groupBy("arm").agg(F.count("*").alias("n"), F.count_distinct("symbol").alias("tickers"), rounded(F.avg(F.when(right, 1.0).otherwise(0.0))).alias("accuracy"))
 
 
-@query("agg_21_forward_dashboard", _LOG + " select arm, count(*) as n, count(*) filter (direction='up') as up, count(*) filter (direction='down') as down from lg group by arm")
-def agg_21_forward_dashboard(spark, sf_dir):
-    d = F.col("direction")
-    return predictions(spark, sf_dir).groupBy("arm").agg(F.count("*").alias("n"), F.count_if(d == "up").alias("up"), F.count_if(d == "down").alias("down"))
-
-
-@query("agg_22_integrity", _LOG + " select count(*) as rows, count(*) filter (i=100 and arm='A') as broken, count(*)-count(distinct decision_id) as duplicates from lg")
-def agg_22_integrity(spark, sf_dir):
-    """Tampered rows (one bar of arm A is flipped here) no longer match their seal."""
-    p = predictions(spark, sf_dir)
-    flipped = F.when((F.col("i") == 100) & (F.col("arm") == "A"), F.concat("direction", F.lit("!"))).otherwise(F.col("direction"))
-    return log.integrity(p.withColumn("direction", flipped))
-
-
 @query("join_02_outcomes", _LOG + f" select decision_id, {r6('fwd')} as realised, (fwd>0)=(direction='up') as correct from lg where fwd is not null")
 def join_02_outcomes(spark, sf_dir):
     p = predictions(spark, sf_dir)
