@@ -83,3 +83,39 @@ def jump(key: int, shards: int) -> int:
         key = (key * 2862933555777941757 + 1) % 2**64
         ahead = int((at + 1) * (2.0**31 / ((key >> 33) + 1)))
     return at
+
+
+def recurring(rows: list[tuple], depth: int, similarity: float, words: float, min_tokens: int, min_docs: int, long_tokens: int, levels: int) -> dict[int, set[int]]:
+    """doc_id -> numbers of the lines to drop, by the definition of the template tree."""
+    lines = []
+    for i, text in sorted({(r[0], r[1] or "") for r in rows if r[0] is not None}):
+        for number, line in enumerate(text.split("\n")):
+            tokens = tuple("#" if re.search("[0-9]", t) else t for t in re.split("[\x20\x09-\x0d]+", line) if t)
+            if len(tokens) >= min_tokens and sum(t != "#" for t in tokens) >= words * len(tokens):
+                lines.append((i, number, text, tokens))
+    support: dict[tuple, set] = {}
+    for _, _, text, tokens in lines:
+        for place, token in enumerate(tokens):
+            support.setdefault((len(tokens), tokens[:depth], place, token), set()).add((tokens, text))
+    holders: dict[tuple, set] = {}
+    first: dict[tuple, int] = {}
+    names: dict[tuple, list] = {}
+    for i, _, text, tokens in lines:
+        enough = min(2, min_docs) if len(tokens) >= long_tokens else min_docs
+        found = []
+        for level in range(levels):
+            kept = tuple(t if t == "#" or len(support[len(tokens), tokens[:depth], p, t]) >= enough * 4**level else None for p, t in enumerate(tokens))
+            fixed = sum(t not in ("#", None) for t in kept)
+            if fixed + kept.count("#") >= similarity * len(tokens) and fixed >= words * len(tokens):
+                found.append((tokens[:depth], kept))
+        names[tokens] = found
+        for name in set(found):
+            holders.setdefault(name, set()).add(text)
+            first[name] = min(first.get(name, i), i)
+    gone: dict[int, set[int]] = {}
+    for i, number, _, tokens in lines:
+        enough = min(2, min_docs) if len(tokens) >= long_tokens else min_docs
+        name = next((n for n in reversed(names[tokens]) if len(holders[n]) >= enough), None)
+        if name is not None and first[name] != i:
+            gone.setdefault(i, set()).add(number)
+    return gone

@@ -158,6 +158,9 @@ def test_quality(spark, none):
     test = [i for i in range(240) if i % 5 == 0]
     assert np.mean([(got["score"][i] >= 0.5) == (i % 3 > 0) for i in test]) > 0.95
     assert got["score"].between(0, 1).all() and got["score"][900] == got["score"][901]
+    # Characters, not bytes, make the n-grams: "é" and "è" share no n-gram of their own, "éa" is one of two.
+    count = lambda t: len(quality.features(np.array([0, len(t.encode())]), np.frombuffer(t.encode(), np.uint8))[0])
+    assert count("éa é") == count("xa x")
     empty = quality.train(quality.training_rows(table, labels.limit(0), "quality", held))
     assert quality.score(table, empty).filter("score = 0.5").count() == 242
     assert quality.score(none, model).count() == 0
@@ -177,6 +180,41 @@ def test_language(spark, none):
     assert set(langid.identify(table, {}).toPandas()["lang_pred"]) == {"und"}
 
 
+def test_language_of_one_short_or_of_long_documents(spark):
+    syllables = {"aa": ["ka", "to", "mi", "ra"], "bb": ["sch", "ung", "ver", "ein"], "cc": ["ox", "yl", "uz", "ep"]}
+    draw = random.Random(2)
+    text = lambda lang, n: " ".join("".join(draw.choice(syllables[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(i, text("aa", 60), "aa") for i in range(40)] + [(50, text("bb", 12), "bb"), (51, text("cc", 3000), "cc"), (52, text("cc", 2500), "cc")]
+    tests = [(100 + i, text(lang, 40), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 5)]
+    schema = "doc_id long, text string, lang string"
+    samples = langid.learn(spark.createDataFrame(rows, schema), F.lit(False))
+    assert set(samples) == {"aa", "bb", "cc"} and len(samples["bb"]) < 200 and len(samples["cc"]) == langid.MODEL_LETTERS
+    got = langid.identify(spark.createDataFrame(tests, schema), samples).toPandas()
+    assert (got["lang_pred"] == got["lang"]).all()
+
+
+def test_language_by_brute_force(spark, monkeypatch):
+    """Greedy longest matches, cut at blocks, times the bits of each model; ties to the smallest name."""
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    samples = {"x": "abracadabra banana", "y": "the cat and the dog", "z": "na"}
+    parser = langid.Parser(samples)
+    texts = ["Banana, cadabra!", "the catdog", "na na na na", "q", "an"]
+    for text in texts:
+        body = np.frombuffer(text.encode(), np.uint8)
+        points, offsets = langid.normalised(np.array([0, len(body)]), body)
+        letters, want = "".join(map(chr, points)), []
+        for model in samples.values():
+            count = 0
+            for start in range(0, len(letters), 7):
+                block, at = letters[start : start + 7], 0
+                while at < len(block):
+                    n = next((k for k in range(len(block) - at, 0, -1) if block[at : at + k] in model), 1)
+                    at, count = at + n, count + 1
+            want.append(count)
+        assert parser.phrases(points, offsets).tolist() == [want], text
+        assert parser.bits.tolist() == pytest.approx([math.log2(len(m) + 1) for m in samples.values()])
+
+
 def test_phrases_by_brute_force():
     model, text = "abracadabra", "abraxcadabrab"
     parser = langid.Parser({"x": model})
@@ -256,10 +294,27 @@ def test_line_templates_with_constant_neighbours(spark):
     assert got["text"][31] == f"{brute.prose(31)}\nonly two of these\n{brute.prose(531)}"
 
 
-def test_templates_generalise():
-    rows = np.array([[1, 2, 3, 4, 5], [1, 2, 9, 4, 5], [1, 2, 8, 4, 5], [7, 7, 7, 7, 7]], np.uint64)
-    name = line_dedup.templates(rows, 0.7)
-    assert name[0] == name[1] == name[2] != name[3]
+@pytest.mark.parametrize("leaf_lines", [4, 4096])
+def test_line_templates_by_brute_force(spark, monkeypatch, leaf_lines):
+    """Fields of many and of few values, two at once, digits, notices of five lines, copies, long and short lines."""
+    monkeypatch.setattr(line_dedup, "LEAF_LINES", leaf_lines)
+    draw = random.Random(12)
+    names, days = [f"name{chr(97 + i)}" for i in range(20)], ["Monday", "Friday", "Sunday"]
+    notice = "\n".join(f"line {w} of the notice" for w in ("one", "two", "three", "four", "five"))
+    rows = []
+    for i in range(90):
+        mine = [brute.prose(i, 12), f"the morning news was posted by {draw.choice(names)} on {draw.choice(days)}", f"Page {i} of the printed report"]
+        mine += [f"entry {i} 17 {i + 4}", notice] if i < 50 else [" ".join(draw.choice("the of a to".split()) for _ in range(4))]
+        rows.append((i, "\n".join(mine)))
+    rows += [(200 + i, rows[3][1]) for i in range(4)] + [rows[7], (None, rows[8][1]), (300, None), (301, "")]
+    limits = (line_dedup.DEPTH, line_dedup.SIMILARITY, line_dedup.WORDS, line_dedup.MIN_TOKENS, line_dedup.MIN_DOCS, line_dedup.LONG_TOKENS, line_dedup.LEVELS)
+    want = brute.recurring(rows, *limits)
+    for parts in (1, 5):
+        got = line_dedup.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts).withColumn("text", F.coalesce("text", F.lit("")))).distinct().toPandas()
+        assert {i: set(part["line"]) for i, part in got.groupby("doc_id")} == want
+    assert all(want[i] >= {4, 5, 6, 7, 8} for i in range(1, 50)) and not want.get(0)
+    # Of 60 pairs of name and day few recur by themselves, yet the line stays in its first document alone.
+    assert [i for i in range(90) if 1 not in want.get(i, ())] == [0]
 
 
 def test_cross_entropy_difference(spark, docs, none):
@@ -284,29 +339,37 @@ def test_cross_entropy_difference(spark, docs, none):
 def test_cross_entropy_difference_by_brute_force(spark, monkeypatch, hot):
     """Counts of all other documents, whichever grams are looked up and whichever are dealt."""
     monkeypatch.setattr(lm_score, "HOT", hot)
+    monkeypatch.setattr(lm_score, "LEAST", 1)
     texts = [brute.prose(i % 9) + " the same pair" * (i % 4) for i in range(14)] + ["word", "word", "alone"]
     good = {2, 5, 11, 14}
 
-    def loss(i, others):
+    everything = [w for text in texts for w in text.split()]
+
+    def loss(i, others, frequent):
         single, pair = Counter(), Counter()
         for k in others:
             words = texts[k].split()
-            single.update(words)
+            single.update(w if w in frequent else None for w in words)
             pair.update(zip(["^", *words[:-1]], words, strict=True))
         words, out = texts[i].split(), 0.0
         for last, word in zip(["^", *words[:-1]], words, strict=True):
-            context = len(others) if last == "^" else single[last]
-            out -= 0.6 * math.log((pair[last, word] + 0.1) / (context + 0.1 * lm_score.WORDS))
-            out -= 0.4 * math.log((single[word] + 0.1) / (single.total() + 0.1 * lm_score.WORDS))
+            out -= 0.6 * math.log((pair[last, word] + 0.1) / (pair.total() + 0.1 * lm_score.PAIRS))
+            out -= 0.4 * math.log((single[word if word in frequent else None] + 0.1) / (single.total() + 0.1 * (len(frequent) + 1)))
         return out / len(words)
 
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    marked = table.select(F.col("doc_id").alias("key"), "text", F.col("doc_id").isin(*good).alias("target"))
+    known = set(lm_score.frequent(marked)[0].tolist())
+    names = {w: int(lm_score.grams_of(*lm_score.words_of(np.array([0, len(w)]), np.frombuffer(w.encode(), np.uint8)))[1]) for w in set(everything)}
+    frequent = {w for w, gram in names.items() if gram in known}
+    assert hot == 1 or frequent >= {w for w, n in Counter(everything).items() if n * hot >= 2 * len(everything)}
+    assert hot < 1 << 16 or frequent == set(everything)
     got = lm_score.cross_entropy_difference(table, spark.createDataFrame([(i,) for i in good], "doc_id long")).toPandas()
     assert len(got) == len(texts)
     for row in got.itertuples():
         assert row.n_tokens == len(texts[row.doc_id].split())
-        assert row.background_loss == pytest.approx(loss(row.doc_id, set(range(len(texts))) - {row.doc_id}), abs=1e-7)
-        assert row.target_loss == pytest.approx(loss(row.doc_id, good - {row.doc_id}), abs=1e-7)
+        assert row.background_loss == pytest.approx(loss(row.doc_id, set(range(len(texts))) - {row.doc_id}, frequent), abs=1e-7)
+        assert row.target_loss == pytest.approx(loss(row.doc_id, good - {row.doc_id}, frequent), abs=1e-7)
 
 
 def test_pipeline_stages_on_awkward_rows(spark, docs, none):

@@ -1,13 +1,17 @@
 """Line deduplication with a log-template tree.
 
 Lines are parsed by a tree of fixed depth: token count, then the leading tokens, where a
-token with a digit counts as a variable field.  Within a leaf, lines that agree in most
-places form one template, and the places where they differ become variable fields too.
-Templates that recur across documents are dropped after their first document.
+token with a digit counts as a variable field.  Within a leaf a token is fixed at its place
+if enough documents hold it there, and a variable field otherwise; "enough" is the least
+number of documents that recur, and then four times that, and so on, so that fields of few
+values become variable too.  A line's template at a level is its tokens with the variable
+ones blanked; it counts if it keeps most of the line.  Templates that recur across
+documents are dropped after their first document.
 
 Recurrence means documents of different text, whatever the lines around: copies of one
 whole document count once, so their lines are left to duplicate detection.  A long line
-recurs in two such documents already.
+recurs in two such documents already.  All counts are sums over a leaf, so nothing depends
+on the order of lines or on how a leaf is dealt.
 """
 
 from __future__ import annotations
@@ -16,20 +20,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import gram_hash, materialise, mix, span_hash, text_chunks, word_spans
+from tidemark.llm.common import Scratch, materialise, mix, small, span_hash, text_chunks, word_spans
 
-#: Leading tokens of the tree's path, least share of equal places, and least tokens of a line.
-DEPTH, SIMILARITY, MIN_TOKENS = 2, 0.7, 3
+#: Leading tokens of the tree's path, least share of fixed places (digits included), and least tokens of a line.
+DEPTH, SIMILARITY, MIN_TOKENS = 3, 0.7, 3
+#: Least share of a line that must be fixed words, not fields.
+WORDS = 0.5
 #: Documents of different text from which a template recurs, and tokens of a line from which two are enough.
 MIN_DOCS, LONG_TOKENS = 3, 10
-#: Distinct lines of a leaf that are clustered together; larger leaves are split by hash.
-LEAF_LINES = 2048
-#: Rows (of about 100 bytes) of a table up to which it is broadcast to the scan of the texts.
-BROADCAST_ROWS = 200_000
-#: Dropped lines (of about 24 bytes) up to which they are broadcast to the texts; beyond, the texts are shuffled.
+#: Levels of support, each of four times the documents of the one before.
+LEVELS = 6
+#: Distinct lines of a leaf up to which they are counted in one task; the counts are the same either way.
+LEAF_LINES = 4096
+#: Rows (of 24 to 100 bytes) of a counted table up to which it is broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 300_000
+#: Dropped lines (of about 24 bytes) up to which they are broadcast to the texts; beyond, the texts are shuffled once.
 BROADCAST_LINES = 1_000_000
 FIELD = np.uint64(1)
 LETTERS = np.arange(256, dtype=np.uint8)
@@ -77,131 +85,127 @@ LINES = "doc_id long, line int, leaf long, hash long, content long, size int"
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """The lines long enough that are not mostly fields."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, offsets, body in text_chunks(batches):
             tokens, bounds, document, number = tokens_of(offsets, body)
             start, end = bounds[:-1], bounds[1:]
-            hashes = run_hash(tokens, start, end)
-            keep = end - start >= min_tokens
-            leaf = leaf_of(tokens, start, end - start, depth)
+            hashes, size = run_hash(tokens, start, end), end - start
+            words = np.cumsum(np.r_[0, tokens != FIELD])
+            keep = (size >= min_tokens) & (words[end] - words[start] >= WORDS * size)
+            leaf = leaf_of(tokens, start, size, depth)
             ids, content = (part.column(i).to_numpy(zero_copy_only=False)[document] for i in (0, 2))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[keep], pa.int64()), pa.array(number[keep].astype(np.int32)), *[pa.array(x[keep].view(np.int64)) for x in (leaf, hashes)], pa.array(content[keep], pa.int64()), pa.array((end - start)[keep].astype(np.int32))],
+                [pa.array(ids[keep], pa.int64()), pa.array(number[keep].astype(np.int32)), *[pa.array(x[keep].view(np.int64)) for x in (leaf, hashes)], pa.array(content[keep], pa.int64()), pa.array(size[keep].astype(np.int32))],
                 names=["doc_id", "line", "leaf", "hash", "content", "size"],
             )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, LINES)
 
 
-def templates(rows: np.ndarray, similarity: float) -> np.ndarray:
-    """Template number of each line of equal length, in order; the first line of a template speaks for its fixed places.
-
-    A line joins the template it agrees with in most places, if in ``similarity`` of them;
-    the places where it differs become fields of the template and agree no more.
-    """
-    fixed = np.zeros_like(rows)
-    field = np.zeros(rows.shape, bool)
-    of, count = np.zeros(len(rows), np.int64), 0
-    for i, row in enumerate(rows):
-        if count:
-            agree = ((fixed[:count] == row) & ~field[:count]).mean(axis=1)
-            best = int(agree.argmax())
-            if agree[best] >= similarity:
-                of[i] = best
-                field[best] |= fixed[best] != row
-                continue
-        fixed[count] = row
-        of[i], count = count, count + 1
-    named = np.where(field[:count], FIELD, fixed[:count])
-    name = gram_hash(named.reshape(-1), rows.shape[1], np.arange(count) * rows.shape[1])
-    return name[of]
-
-
-def _small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """``df`` with a hint to broadcast it if it was made from at most ``most`` rows."""
-    return F.broadcast(df) if rows <= most else df
-
-
-def _clustered(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """leaf, hash, template of the distinct lines ``reps`` (doc_id, line, leaf, hash, block)."""
-    by_doc = materialise(reps.groupBy("doc_id").agg(F.collect_list(F.struct("line", "leaf", "hash", "block")).alias("lines")))
-    by_doc = _small(by_doc, reps.count(), BROADCAST_ROWS)
+def _tokens(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """``lines`` (doc_id, line, leaf, hash, docs, size) with their token hashes, from the texts."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["leaf", "hash", "docs", "size"]
         for part, offsets, body in text_chunks(batches):
             tokens, bounds, document, _ = tokens_of(offsets, body)
-            first = np.searchsorted(document, np.arange(part.num_rows))
-            rows = [(w["leaf"], w["block"], w["hash"], tokens[bounds[n] : bounds[n + 1]].view(np.int64)) for i, want in enumerate(part.column(2).to_pylist()) for w in want for n in [first[i] + w["line"]]]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["leaf", "block", "hash", "tokens"])
-
-    found = docs.join(by_doc, "doc_id").select("doc_id", "text", "lines").mapInArrow(fetch, "leaf long, block int, hash long, tokens array<long>")
-
-    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            leaf, block, hashes = (table.column(i).to_numpy() for i in range(3))
-            cut = np.flatnonzero(np.r_[True, (leaf[1:] != leaf[:-1]) | (block[1:] != block[:-1])])
-            lists = table.column(3).combine_chunks()
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            name = np.zeros(len(leaf), np.uint64)
-            for a, b in zip(cut, np.r_[cut[1:], len(leaf)], strict=True):
-                size = offsets[a + 1] - offsets[a]
-                # Lines of other lengths can only be here through a hash collision; each is its own template.
-                alike = np.flatnonzero(np.diff(offsets[a : b + 1]) == size)
-                rows = values[(offsets[a + alike])[:, None] + np.arange(size)]
-                name[a:b] = hashes[a:b].view(np.uint64)
-                name[a + alike] = templates(rows, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(hashes), pa.array(name.view(np.int64))], names=["leaf", "hash", "template"])
-
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            leaf, block = held.column(0).to_numpy(), held.column(1).to_numpy()
-            done = np.flatnonzero((leaf != leaf[-1]) | (block != block[-1])) if len(leaf) else []
-            if len(done):
-                yield from solve(held.slice(0, done[-1] + 1).combine_chunks())
-                held = held.slice(done[-1] + 1).combine_chunks()
-        if held is not None and held.num_rows:
-            yield from solve(held.combine_chunks())
-
-    return found.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "hash").mapInArrow(cluster, "leaf long, hash long, template long")
+            wanted = part.column(2).combine_chunks() if isinstance(part.column(2), pa.ChunkedArray) else part.column(2)
+            owner, want = pa.compute.list_parent_indices(wanted).to_numpy(), wanted.flatten()
+            line = np.searchsorted(document, np.arange(part.num_rows))[owner] + want.field("line").to_numpy()
+            at, n = bounds[line], bounds[line + 1] - bounds[line]
+            ends = np.cumsum(n)
+            inside = np.repeat(at - (ends - n), n) + np.arange(n.sum())
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(tokens[inside].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*[want.field(c) for c in names], lists], names=[*names, "tokens"])
+
+    by_doc = lines.groupBy("doc_id").agg(F.collect_list(F.struct("line", "leaf", "hash", "docs", "size")).alias("lines"))
+    by_doc = small(by_doc, lines.count(), BROADCAST_ROWS)
+    return docs.join(by_doc, "doc_id").select("doc_id", "text", "lines").mapInArrow(fetch, "leaf long, hash long, docs long, size int, tokens array<long>")
+
+
+def _supported(lines: DataFrame, enough: Column, together: bool) -> DataFrame:
+    """leaf, hash, size and tokens (place, token, support) of lines (leaf, hash, docs, size, tokens).
+
+    Lines of small leaves meet ``together``, in one exchange by leaf; those of large leaves
+    are counted, and find their counts, by token.
+    """
+    each = lambda df: df.select("leaf", "hash", "docs", "size", F.posexplode("tokens").alias("place", "token"))
+    if together:
+        # A repeated row has its lines fetched again.
+        marked = each(lines.repartition("leaf").dropDuplicates(["leaf", "hash"])).withColumn("support", F.sum("docs").over(Window.partitionBy("leaf", "place", "token")))
+    else:
+        rows = each(lines.dropDuplicates(["leaf", "hash"]))
+        support = rows.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support"), F.max("size").alias("size"))
+        marked = rows.drop("docs").join(support.filter(F.col("support") >= enough).drop("size"), ["leaf", "place", "token"], "left")
+    tokens = F.array_sort(F.collect_list(F.struct("place", "token", F.coalesce("support", F.lit(0)).alias("support"))))
+    return marked.groupBy("leaf", "hash").agg(F.max("size").alias("size"), tokens.alias("tokens"))
+
+
+def _templates(lines: DataFrame, enough: Column, similarity: float) -> DataFrame:
+    """leaf, hash, level and template of supported lines, of the templates that keep enough of a line."""
+    field = F.lit(int(FIELD)).cast("long")
+
+    def level(k: int) -> Column:
+        least = enough * 4**k
+        # A blank is a value of its own: the hash of an array passes over nulls.
+        kept = F.transform("tokens", lambda x: F.when(x["support"] >= least, x["token"]).when(x["token"] == field, field).otherwise(F.lit(0).cast("long")))
+        words = F.size(F.filter("tokens", lambda x: (x["support"] >= least) & (x["token"] != field)))
+        fields = F.size(F.filter("tokens", lambda x: x["token"] == field))
+        counts = (words + fields >= similarity * F.col("size")) & (words >= WORDS * F.col("size"))
+        return F.when(counts, F.xxhash64("leaf", kept))
+
+    levels = F.array_distinct(F.array_compact(F.array(*[level(k) for k in range(LEVELS)])))
+    return lines.select("leaf", "hash", F.posexplode(levels).alias("level", "template"))
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """doc_id and line of the lines to drop, from documents (doc_id, text)."""
-    lines = materialise(_lines(docs.filter(F.col("doc_id").isNotNull()), depth, min_tokens))
+    work = Scratch(docs.sparkSession)
+    lines = work.table(_lines(docs.filter(F.col("doc_id").isNotNull()), depth, min_tokens))
     enough = F.when(F.col("size") >= long_tokens, min(2, min_docs)).otherwise(min_docs)
-    distinct = lines.groupBy("leaf", "hash").agg(F.min(F.struct("doc_id", "line")).alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("lines"), F.max("size").alias("size"))
-    leaves = distinct.groupBy("leaf").agg(F.min("rep.doc_id").alias("low"), F.max("last").alias("high"), F.count("*").alias("n"), F.sum("lines").alias("lines"), F.max("size").alias("size"))
+    # By line and text first, so that the rows of a frequent line are counted in many tasks.
+    texts = lines.groupBy("leaf", "hash", "content").agg(F.min(F.struct("doc_id", "line")).alias("rep"), F.max("size").alias("size"))
+    distinct = work.table(texts.groupBy("leaf", "hash").agg(F.min("rep").alias("rep"), F.count("*").alias("docs"), F.max("size").alias("size")))
+    leaves = distinct.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("docs"), F.max("size").alias("size"))
     # No template of a leaf with fewer lines than it needs documents can recur.
-    leaves = leaves.filter(F.col("lines") >= enough).filter("low <> high" if min_docs > 1 else "true")
-    seen = materialise(distinct.join(leaves.select("leaf", "n"), "leaf").select("leaf", "hash", "n", "rep.doc_id", "rep.line"))
-    blocks = F.ceil(F.col("n") / LEAF_LINES).cast("int")
-    many = seen.filter("n > 1").select("doc_id", "line", "leaf", "hash", F.pmod(F.xxhash64("hash"), blocks).cast("int").alias("block"))
-    named = materialise(seen.filter("n = 1").select("leaf", "hash", F.col("hash").alias("template")).unionByName(_clustered(many, docs, similarity)))
-    placed = materialise(lines.join(named, ["leaf", "hash"]).select("doc_id", "line", "template", "content", "size"))
-    # By template and text first, so that the rows of a frequent template are counted in many tasks.
-    contents = placed.groupBy("template", "content").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"))
-    recurring = contents.groupBy("template").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs"), F.max("size").alias("size")).filter(F.col("docs") >= enough)
-    recurring = materialise(recurring.select("template", "first"))
-    return placed.join(_small(recurring, recurring.count(), BROADCAST_ROWS), "template").filter("doc_id <> first").select("doc_id", "line")
+    leaves = work.table(leaves.filter(F.col("docs") >= enough).select("leaf", "n"))
+    seen = work.table(distinct.join(small(leaves, leaves.count(), BROADCAST_ROWS), "leaf").select("rep.doc_id", "rep.line", "leaf", "hash", "docs", "size", "n"))
+    alone = seen.filter("n = 1").select("leaf", "hash", F.lit(0).alias("level"), F.col("hash").alias("template"))
+    named = alone
+    for together in (True, False):
+        part = work.table(seen.filter(F.col("n").between(2, LEAF_LINES) if together else F.col("n") > LEAF_LINES).drop("n"))
+        if together or part.limit(1).count():
+            named = named.unionByName(_templates(_supported(_tokens(part, docs), enough, together), enough, similarity))
+    named = work.table(named)
+    near = small(named, named.count(), BROADCAST_ROWS)
+    contents = lines.join(near, ["leaf", "hash"]).groupBy("template", "content").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"))
+    recurring = contents.groupBy("template").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs"), F.max("size").alias("size"))
+    recurring = work.table(recurring.filter(F.col("docs") >= enough).select("template", "first"))
+    chosen = named.join(small(recurring, recurring.count(), BROADCAST_ROWS), "template").groupBy("leaf", "hash").agg(F.max(F.struct("level", "first"))["first"].alias("first"))
+    chosen = work.table(chosen)
+    dropped = materialise(lines.join(small(chosen, chosen.count(), BROADCAST_ROWS), ["leaf", "hash"]).filter("doc_id <> first").select("doc_id", "line"))
+    work.drop()
+    return dropped
 
 
 def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``df`` without the lines whose template recurs, plus n_lines and n_dropped (replaced if they exist).
 
-    The first document of a template (smallest id) keeps it.  Lines end at "\\n"; those with
-    fewer than ``min_tokens`` tokens are never dropped.  Null text stays null with no lines;
-    an empty text is one empty line; rows with null ids are left whole; rows that share an id
-    count as one document and must hold the same text.  Other columns are left alone.
+    The first document of a template (smallest id) keeps it; a line of several templates
+    goes by the one with most fields.  Lines end at "\\n"; those with fewer than
+    ``min_tokens`` tokens, or mostly of fields, are never dropped.  Null text stays null with
+    no lines; an empty text is one empty line; rows with null ids are left whole; rows that
+    share an id count as one document and must hold the same text.  Other columns are left
+    alone.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dropped = materialise(recurring_lines(docs, **limits))
+    dropped = recurring_lines(docs, **limits)
     gone = dropped.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
-    gone = _small(gone, dropped.count(), BROADCAST_LINES)
+    gone = small(gone, dropped.count(), BROADCAST_LINES)
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    joined = df.select(*[F.col(f"`{c}`") for c in names]).join(gone, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    joined = df.select(*[F.col(f"`{c}`") for c in names]).join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_id"), "left").drop("_id")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
     return joined.select(
