@@ -53,12 +53,19 @@ def test_recursions_on_short_and_constant_series():
 
 def test_quota_counts_only_accepted():
     frame = pd.DataFrame({"user_id": 1, "event_id": range(5), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta([0, 1, 2, 3, 25], unit="h")})
-    assert accounts.quota(frame)["accepted"].tolist() == [True, True, True, False, True]
+    both = pd.concat([frame, frame.assign(user_id=2)])
+    for cuts in ([10], [2, 8], [1] * 10):
+        batches = np.split(np.arange(10), np.cumsum(cuts)[:-1])
+        got = pd.concat(accounts.folded(dict, accounts.within_quota)(iter([both.iloc[b] for b in batches])))
+        assert got["kept"].tolist() == [True, True, True, False, True] * 2
 
 
 def test_paper_account_rejects_what_it_cannot_cover():
     frame = pd.DataFrame({"user_id": 1, "o_orderdate": pd.to_datetime(["2024-01-01"] * 3), "o_orderkey": [1, 2, 3], "l_linenumber": 1, "symbol": "S", "sell": [False, True, True], "shares": [10.0, 4.0, 7.0], "price": [100.0, 110.0, 120.0]})
-    got = accounts.paper_account(frame).iloc[0]
+    two = [frame.iloc[:2], frame.iloc[2:], frame.assign(user_id=2)]
+    got = pd.concat(accounts.accounts(iter(two))).reset_index(drop=True)
+    assert got.iloc[0].drop("user_id").equals(got.iloc[1].drop("user_id"))
+    got = got.iloc[0]
     assert (got.trades, got.rejected, got.realised, got.cash) == (2, 1, 40.0, 100_000 - 1000 + 440)
 
 

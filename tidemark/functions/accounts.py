@@ -1,7 +1,13 @@
-"""Ordered state machines of one user's rows, in pandas; imported by executors, so free of Spark."""
+"""Ordered state machines of users' rows, in pandas; imported by executors, so free of Spark.
+
+Rows come sorted by user and time, in batches that may cut a user's rows anywhere; between
+batches only the state of one user is held, however many rows it has.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 
 CASH = 100_000.0
@@ -10,42 +16,73 @@ DAY, PAUSE = pd.Timedelta(hours=24), pd.Timedelta(hours=20)
 ACCOUNT = "user_id long, cash double, holdings int, trades int, rejected int, realised double"
 
 
-def paper_account(frame: pd.DataFrame) -> pd.DataFrame:
-    """Final state after all trades in order; a trade that the account cannot cover is rejected."""
-    cash, realised, trades, rejected = CASH, 0.0, 0, 0
-    held: dict[str, tuple[float, float]] = {}
-    for row in frame.sort_values(["o_orderdate", "o_orderkey", "l_linenumber"]).itertuples():
-        shares, cost = held.get(row.symbol, (0.0, 0.0))
+def folded(start: Callable[[], dict], step: Callable[[dict, tuple], bool]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows for which ``step(state, row)`` is true are marked ``kept``; each user begins with ``start()``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, state = None, start()
+        for frame in frames:
+            kept = []
+            for row in frame.itertuples(index=False):
+                if row.user_id != user:
+                    user, state = row.user_id, start()
+                kept.append(step(state, row))
+            yield frame.assign(kept=pd.Series(kept, index=frame.index, dtype=bool))
+
+    return run
+
+
+def within_quota(state: dict, row: tuple) -> bool:
+    """Accepted while fewer than LIMIT were accepted within the 24 hours before."""
+    state["accepted"] = [t for t in state.get("accepted", []) if row.ts - t < DAY]
+    if len(state["accepted"]) >= LIMIT:
+        return False
+    state["accepted"].append(row.ts)
+    return True
+
+
+def fires(state: dict, row: tuple) -> bool:
+    """The first tick fires, then each at least 20 hours after the last that fired."""
+    if "last" in state and row.ts - state["last"] < PAUSE:
+        return False
+    state["last"] = row.ts
+    return True
+
+
+class Account:
+    """Cash and average-cost positions; a trade that the account cannot cover is rejected."""
+
+    def __init__(self, user: int):
+        self.user, self.cash, self.realised, self.trades, self.rejected, self.held = user, CASH, 0.0, 0, 0, {}
+
+    def trade(self, row: tuple) -> None:
+        shares, cost = self.held.get(row.symbol, (0.0, 0.0))
         amount = row.shares * row.price
-        if (row.sell and shares < row.shares) or (not row.sell and cash < amount):
-            rejected += 1
-            continue
-        trades += 1
+        if shares < row.shares if row.sell else self.cash < amount:
+            self.rejected += 1
+            return
+        self.trades += 1
         if row.sell:
-            cash, realised = cash + amount, realised + row.shares * (row.price - cost)
-            held[row.symbol] = (shares - row.shares, cost)
+            self.cash, self.realised = self.cash + amount, self.realised + row.shares * (row.price - cost)
+            self.held[row.symbol] = (shares - row.shares, cost)
         else:
-            cash -= amount
-            held[row.symbol] = (shares + row.shares, (shares * cost + amount) / (shares + row.shares))
-    holdings = sum(s > 0 for s, _ in held.values())
-    return pd.DataFrame([{"user_id": frame["user_id"].iloc[0], "cash": round(cash, 2), "holdings": holdings, "trades": trades, "rejected": rejected, "realised": round(realised, 2)}])
-
-
-def quota(frame: pd.DataFrame) -> pd.DataFrame:
-    """Whether each request was accepted: fewer than LIMIT accepted within the 24 hours before."""
-    frame, accepted, out = frame.sort_values(["ts", "event_id"]), [], []
-    for ts in frame["ts"]:
-        accepted = [t for t in accepted if ts - t < DAY]
-        out.append(len(accepted) < LIMIT)
-        if out[-1]:
-            accepted.append(ts)
-    return pd.DataFrame({"user_id": frame["user_id"], "event_id": frame["event_id"], "accepted": out})
-
-
-def alert_fires(frame: pd.DataFrame) -> pd.DataFrame:
-    """The ticks that fire: the first, then each at least 20 hours after the last that fired."""
-    frame, last, keep = frame.sort_values(["ts", "event_id"]), None, []
-    for ts in frame["ts"]:
-        keep.append(last is None or ts - last >= PAUSE)
-        last = ts if keep[-1] else last
-    return frame[keep]
+            self.cash -= amount
+            self.held[row.symbol] = (shares + row.shares, (shares * cost + amount) / (shares + row.shares))
+
+    def row(self) -> tuple:
+        return self.user, self.cash, sum(s > 0 for s, _ in self.held.values()), self.trades, self.rejected, self.realised
+
+
+def accounts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The final state of each user's account."""
+    now, columns = None, [c.split()[0] for c in ACCOUNT.split(", ")]
+    for frame in frames:
+        done = []
+        for row in frame.itertuples(index=False):
+            if now is None or row.user_id != now.user:
+                done += [now.row()] if now else []
+                now = Account(row.user_id)
+            now.trade(row)
+        yield pd.DataFrame(done, columns=columns)
+    if now:
+        yield pd.DataFrame([now.row()], columns=columns)

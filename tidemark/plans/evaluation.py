@@ -3,27 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.numeric import rounded
 from tidemark.plans.registry import query
+from tidemark.plans.rules import ASKS, PHRASES, asks
 from tidemark.plans.technical import r6
+from tidemark.sources import shared
 from tidemark.sources.market import BARS_SQL, bars, table
 
-_INTENT = "case when regexp_matches(lower(text), 'buy|sell|invest') then 'advice' when regexp_matches(lower(text), 'risk|loss') then 'risk_check' else 'research' end"
+_GOLD = f"with {ASKS}, p as (select case when contains(low, 'should i') or contains(low, 'buy') or contains(low, 'sell') then 'advice' else 'assess' end as intent, case (conv_id+turn)%12 when 0 then 'advice' when 4 then 'advice' when 8 then 'advice' when 2 then 'define' else 'assess' end as gold, case when (conv_id+turn)%2=0 then 'published' else 'held back' end as provenance from ask)"
 
 
-@query("agg_35_intent_accuracy", f"with p as (select role, {_INTENT} as intent, case when turn%2=0 then 'research' else 'advice' end as gold from conversations) select role, count(*) as n, {r6('avg(case when intent=gold then 1.0 else 0.0 end)')} as accuracy from p group by role having count(*)>5")
+@query("agg_35_intent_accuracy", _GOLD + f" select provenance, gold, count(*) as n, {r6('avg(case when intent=gold then 1.0 else 0.0 end)')} as recall, {r6('sum(sum(case when intent=gold then 1.0 else 0.0 end)) over (partition by provenance)/sum(count(*)) over (partition by provenance)')} as accuracy, sum(sum(case when intent=gold then 1.0 else 0.0 end)) over (partition by provenance)/sum(count(*)) over (partition by provenance)>=0.75 as passes from p group by provenance, gold")
 def agg_35_intent_accuracy(spark, sf_dir):
-    low = F.lower("text")
-    intent = F.when(low.rlike("buy|sell|invest"), "advice").when(low.rlike("risk|loss"), "risk_check").otherwise("research")
-    gold = F.when(F.col("turn") % 2 == 0, "research").otherwise("advice")
-    g = table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), rounded(F.avg(F.when(intent == gold, 1.0).otherwise(0.0))).alias("accuracy"))
-    return g.filter("n > 5")
+    """Recall of each gold intent and accuracy by where the question comes from, against a gate of three quarters."""
+    place = (F.col("conv_id") + F.col("turn")) % len(PHRASES)
+    intent = F.when(F.contains("low", F.lit("should i")) | F.contains("low", F.lit("buy")) | F.contains("low", F.lit("sell")), "advice").otherwise("assess")
+    gold = F.when(place.isin(0, 4, 8), "advice").when(place == 2, "define").otherwise("assess")
+    x = asks(spark, sf_dir).select(intent.alias("intent"), gold.alias("gold"), F.when((F.col("conv_id") + F.col("turn")) % 2 == 0, "published").otherwise("held back").alias("provenance"))
+    g = x.groupBy("provenance", "gold").agg(F.count("*").alias("n"), F.sum(F.when(F.col("intent") == F.col("gold"), 1.0).otherwise(0.0)).alias("right"))
+    all_ = Window.partitionBy("provenance")
+    accuracy = F.sum("right").over(all_) / F.sum("n").over(all_)
+    return g.select("provenance", "gold", "n", rounded(F.col("right") / F.col("n")).alias("recall"), rounded(accuracy).alias("accuracy"), (accuracy >= 0.75).alias("passes"))
 
 
 @query("snk_08_run_log", f"select event_type as action, count(*) as runs, {r6('avg(value)')} as mean_ms, min(value) as least, max(value) as most from events group by 1")
 def snk_08_run_log(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("runs"), rounded(F.avg("value")).alias("mean_ms"), F.min("value").alias("least"), F.max("value").alias("most"))
+    """Runs are appended to a CSV log, two batches here, and summed up from it."""
+    runs, path = table(spark, sf_dir, "events").select("event_id", "event_type", "value"), shared.folder(spark)
+    for batch in (runs.filter("event_id % 2 = 0"), runs.filter("event_id % 2 = 1")):
+        batch.write.mode("append").option("header", True).csv(path)
+    kept = spark.read.schema(runs.schema).option("header", True).csv(path)
+    return kept.groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("runs"), rounded(F.avg("value")).alias("mean_ms"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 @query("src_06_periods", "with p as (select unnest(['3y','6mo','10d','bad']) as period) select period, case when regexp_matches(period,'^[0-9]+d$') then cast(regexp_extract(period,'([0-9]+)',1) as int) when regexp_matches(period,'^[0-9]+mo$') then cast(regexp_extract(period,'([0-9]+)',1) as int)*30 when regexp_matches(period,'^[0-9]+y$') then cast(regexp_extract(period,'([0-9]+)',1) as int)*365 else 1095 end as days from p")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.plans.registry import query
+from tidemark.sources import shared
 from tidemark.sources.files import clean_prices
 from tidemark.sources.market import INDEXED_SQL, indexed, table
 
@@ -97,12 +98,19 @@ def join_07_lessons(spark, sf_dir):
     return known.withColumn("place", F.row_number().over(best)).filter("place <= 3").select("scope", "as_of", "place", "user_id", "seen")
 
 
-@query("snk_02_new_outcomes", "select l_orderkey as decision_id, l_extendedprice as exit_price from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as rk from lineitem) where rk = 1 and l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')")
+_FIRST = "(select l_orderkey as decision_id, arg_min(l_extendedprice, (l_linenumber, l_partkey, l_extendedprice)) as exit_price from lineitem group by 1)"
+
+
+@query("snk_02_new_outcomes", f"select * from {_FIRST}")
 def snk_02_new_outcomes(spark, sf_dir):
-    """One outcome a decision, and none for those that the store has."""
-    store = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("decision_id"))
+    """One outcome a decision: those of finished orders are stored first, and none of them is written again."""
     first = F.min(F.struct("l_linenumber", "l_partkey", "l_extendedprice"))["l_extendedprice"]
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("decision_id")).agg(first.alias("exit_price")).join(store, "decision_id", "left_anti")
+    outcomes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("decision_id")).agg(first.alias("exit_price"))
+    finished = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("decision_id"))
+    store = shared.Store(spark, shared.folder(spark), outcomes.schema, ["decision_id"])
+    store.append(outcomes.join(finished, "decision_id", "left_semi"))
+    store.append(outcomes)
+    return store.read()
 
 
 @query("snk_05_universe_hash", "select count(*) as n, sha256(string_agg(symbol, ',' order by symbol)) as hash from (select distinct p_brand as symbol from part)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.accounts import ACCOUNT, alert_fires, paper_account, quota
+from tidemark.functions.accounts import ACCOUNT, accounts, fires, folded, within_quota
 from tidemark.functions.numeric import rounded
 from tidemark.plans.registry import query
 from tidemark.plans.technical import r6
@@ -166,16 +166,36 @@ def dat_04_freshness(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", rounded(F.greatest(F.lit(0.2), F.least(F.lit(1.0), F.pow(F.lit(0.5), seconds / 3600 / 48) * live))).alias("freshness"))
 
 
-@query("stm_01_price_alerts", None)
+def in_order(df, *order):
+    """Rows dealt by user and sorted by user and ``order``, for a fold that holds one user's state."""
+    return df.repartition("user_id").sortWithinPartitions("user_id", *order)
+
+
+_ORDERED = "e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as rn from events{where})"
+
+
+@query("stm_01_price_alerts", "with recursive " + _ORDERED.format(where=" where value >= 90") + ", r as (select user_id, event_id, ts, rn, true as fired, ts as last from e where rn=1 union all select e.user_id, e.event_id, e.ts, e.rn, e.ts - r.last >= interval 20 hour, case when e.ts - r.last >= interval 20 hour then e.ts else r.last end from r join e on e.user_id=r.user_id and e.rn=r.rn+1) select user_id, event_id, ts from r where fired")
 def stm_01_price_alerts(spark, sf_dir):
-    """Daily alerts at most once in 20 hours: an ordered fold per instrument and day range."""
-    return table(spark, sf_dir, "events").filter("value >= 90").select("user_id", "event_id", "ts").groupBy("user_id").applyInPandas(alert_fires, "user_id long, event_id long, ts timestamp")
+    """Alerts at most once in 20 hours for each user: an ordered fold."""
+    ticks = table(spark, sf_dir, "events").filter("value >= 90").select("user_id", "event_id", "ts")
+    marked = in_order(ticks, "ts", "event_id").mapInPandas(folded(dict, fires), "user_id long, event_id long, ts timestamp, kept boolean")
+    return marked.filter("kept").drop("kept")
 
 
-@query("flt_16_quota", None)
+@query("flt_16_quota", "with recursive " + _ORDERED.format(where="") + ", r as (select user_id, event_id, rn, true as accepted, [ts] as kept from e where rn=1 union all select e.user_id, e.event_id, e.rn, len(list_filter(r.kept, lambda t: e.ts - t < interval 24 hour)) < 3, case when len(list_filter(r.kept, lambda t: e.ts - t < interval 24 hour)) < 3 then list_append(list_filter(r.kept, lambda t: e.ts - t < interval 24 hour), e.ts) else list_filter(r.kept, lambda t: e.ts - t < interval 24 hour) end from r join e on e.user_id=r.user_id and e.rn=r.rn+1) select user_id, event_id, accepted from r")
 def flt_16_quota(spark, sf_dir):
     """Rolling 24 hour quota of 3: accepted requests count, rejected ones do not."""
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "ts").groupBy("user_id").applyInPandas(quota, "user_id long, event_id long, accepted boolean")
+    asked = in_order(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "ts", "event_id")
+    return asked.mapInPandas(folded(dict, within_quota), "user_id long, event_id long, ts timestamp, kept boolean").select("user_id", "event_id", F.col("kept").alias("accepted"))
+
+
+@query("stm_03_message_quota", "with recursive e as (select conv_id as user_id, turn, timestamp '2024-01-01' + to_hours(turn*7) as ts, row_number() over (partition by conv_id order by turn, role) as rn, role from conversations), r as (select user_id, turn, role, rn, true as accepted, [ts] as kept from e where rn=1 union all select e.user_id, e.turn, e.role, e.rn, len(list_filter(r.kept, lambda t: e.ts - t < interval 24 hour)) < 3, case when len(list_filter(r.kept, lambda t: e.ts - t < interval 24 hour)) < 3 then list_append(list_filter(r.kept, lambda t: e.ts - t < interval 24 hour), e.ts) else list_filter(r.kept, lambda t: e.ts - t < interval 24 hour) end from r join e on e.user_id=r.user_id and e.rn=r.rn+1) select user_id, turn, role, accepted from r")
+def stm_03_message_quota(spark, sf_dir):
+    """The same quota over the turns of a conversation, seven hours apart."""
+    ts = F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours=F.col("turn") * 7)
+    asked = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("user_id"), "turn", "role", ts.alias("ts"))
+    kept = in_order(asked, "turn", "role").mapInPandas(folded(dict, within_quota), "user_id long, turn long, role string, ts timestamp, kept boolean")
+    return kept.select("user_id", "turn", "role", F.col("kept").alias("accepted"))
 
 
 @query("stm_04_call_budget", "select event_id, row_number() over (partition by cast(ts as date), event_type order by ts, event_id)<=20 as within from events")
@@ -184,13 +204,18 @@ def stm_04_call_budget(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", (F.row_number().over(w) <= 20).alias("within"))
 
 
-@query("stm_05_paper_account", None)
+_TRADES = "tr as (select o_custkey as user_id, cast(substr(p_brand, 7) as int) as k, l_returnflag='R' as sell, l_quantity as shares, p_retailprice as price, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey, l_linenumber, l_partkey, l_quantity) as rn from orders join lineitem on o_orderkey=l_orderkey join part on l_partkey=p_partkey)"
+_OK = "case when t.sell then r.held[t.k]>=t.shares else r.cash>=t.shares*t.price end"
+
+
+@query("stm_05_paper_account", f"with recursive {_TRADES}, u as (select distinct user_id from tr), r as (select user_id, cast(0 as bigint) as rn, 100000.0::double as cash, list_transform(range(25), lambda x: 0.0::double) as held, list_transform(range(25), lambda x: 0.0::double) as costs, 0 as trades, 0 as rejected, 0.0::double as realised from u union all select r.user_id, t.rn, case when {_OK} then r.cash+case when t.sell then t.shares*t.price else -t.shares*t.price end else r.cash end, list_transform(range(1, 26), lambda i: case when {_OK} and i=t.k then case when t.sell then r.held[i]-t.shares else r.held[i]+t.shares end else r.held[i] end), list_transform(range(1, 26), lambda i: case when {_OK} and i=t.k and not t.sell then (r.held[i]*r.costs[i]+t.shares*t.price)/(r.held[i]+t.shares) else r.costs[i] end), r.trades+case when {_OK} then 1 else 0 end, r.rejected+case when {_OK} then 0 else 1 end, case when {_OK} and t.sell then r.realised+t.shares*(t.price-r.costs[t.k]) else r.realised end from r join tr t on t.user_id=r.user_id and t.rn=r.rn+1), z as (select *, row_number() over (partition by user_id order by rn desc) as newest from r) select user_id, floor(cash*100+0.5)/100 as cash, cast(len(list_filter(held, lambda h: h>0)) as int) as holdings, trades, rejected, floor(realised*100+0.5)/100 as realised from z where newest=1")
 def stm_05_paper_account(spark, sf_dir):
     """Cash and average-cost positions; overspending and overselling are rejected, which feeds back."""
     o, li, p = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
     trades = o.join(li, o["o_orderkey"] == li["l_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"]).select(
-        F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderkey", "l_linenumber", F.col("p_brand").alias("symbol"), (F.col("l_returnflag") == "R").alias("sell"), F.col("l_quantity").alias("shares"), F.col("p_retailprice").alias("price"))
-    return trades.groupBy("user_id").applyInPandas(paper_account, ACCOUNT)
+        F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", F.col("p_brand").alias("symbol"), (F.col("l_returnflag") == "R").alias("sell"), F.col("l_quantity").alias("shares"), F.col("p_retailprice").alias("price"))
+    x = in_order(trades, "o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", "shares").mapInPandas(accounts, ACCOUNT)
+    return x.withColumns({c: rounded(F.col(c), 2) for c in ("cash", "realised")})
 
 
 @query("agg_17_paper_valuation", f"with {QUOTES_SQL}, {_POS} select user_id, {r6('sum(shares*price)/sum(cost)-1')} as total_return, count(*) as holdings from pos join quotes using (symbol) group by user_id")

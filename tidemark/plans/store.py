@@ -9,6 +9,8 @@ from tidemark.operators import log
 from tidemark.plans.decision import _HEAD, evidence
 from tidemark.plans.registry import query
 from tidemark.plans.technical import r6
+from tidemark.sources import shared
+from tidemark.sources.market import INDEXED_SQL, indexed
 
 _LOG = _HEAD + ", lg as (select symbol, date as as_of, i, fwd, arm, case when arm='A' then case when mom>0 then 'up' else 'down' end else 'up' end as direction, substr(sha256(strftime(date,'%Y-%m-%d')||'|'||symbol||'|'||arm||'|5'),1,16) as decision_id from ev cross join (select unnest(['A','B']) as arm))"
 
@@ -27,11 +29,22 @@ def snk_03_decision_ids(spark, sf_dir):
 
 @query("snk_01_append", _LOG + " select arm, count(*) as rows, count(distinct decision_id) as ids from lg group by arm")
 def snk_01_append(spark, sf_dir):
-    """Appending the log to its own first half adds only what is new."""
+    """The log is appended in two overlapping parts and once again whole; each key is stored once."""
     p = predictions(spark, sf_dir)
-    held = p.filter("i < 700")
-    everything = held.unionByName(log.new_rows(p, held, ["symbol", "as_of", "arm", "horizon"]))
-    return everything.groupBy("arm").agg(F.count("*").alias("rows"), F.count_distinct("decision_id").alias("ids"))
+    store = shared.Store(spark, shared.folder(spark), p.schema, ["symbol", "as_of", "arm", "horizon"])
+    for part in (p.filter("i < 700"), p.filter("i >= 600"), p):
+        store.append(part)
+    return store.read().groupBy("arm").agg(F.count("*").alias("rows"), F.count_distinct("decision_id").alias("ids"))
+
+
+@query("snk_09_resume", f"with {INDEXED_SQL} select symbol, count(*) as bars, {r6('sum(ret)')} as total from ix group by symbol")
+def snk_09_resume(spark, sf_dir):
+    """A run that stopped after some symbols goes on with the others; the result is that of one run."""
+    x = indexed(spark, sf_dir).select("symbol", "i", "ret")
+    path = shared.folder(spark)
+    shared.resumed(spark, path, x.filter("symbol < 'Brand#15'"), "symbol")
+    done = shared.resumed(spark, path, x, "symbol")
+    return done.groupBy("symbol").agg(F.count("*").alias("bars"), rounded(F.sum("ret")).alias("total"))
 
 
 @query("agg_20_arm_summary", _LOG + f" select arm, count(*) as n, count(distinct symbol) as tickers, {r6('avg(case when (fwd>0)=(direction=chr(117)||chr(112)) then 1.0 else 0.0 end)')} as accuracy from lg where fwd is not null group by arm")

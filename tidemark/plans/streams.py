@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
+from tidemark.sources import shared
 from tidemark.sources.market import table
 from tidemark.streaming.bars import session_stats, tumbling_bars
 
 
-def _drained(spark, stream, name):
-    """All output of a bounded stream, from an in-memory sink of few windows."""
-    sink = f"{name}_{uuid.uuid4().hex}"
-    running = stream.writeStream.format("memory").queryName(sink).outputMode("append").trigger(availableNow=True).start()
+def _drained(spark, stream):
+    """All output of a bounded stream, from files that the executors write; its state and progress lie beside them."""
+    path = shared.folder(spark)
+    running = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(sink)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+_LAST = "(select max(ts) from events)"
 
 
-@query("stm_ohlc_stream", None)
+@query("stm_ohlc_stream", f"select event_type as symbol, time_bucket(interval 1 hour, ts) as start, arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close, count(*) as ticks from events group by 1, 2 having time_bucket(interval 1 hour, ts) + interval 1 hour <= {_LAST} - interval 1 hour")
 def stm_ohlc_stream(spark, sf_dir):
     """Hourly bars of the event stream with a one-hour watermark; the last hour stays open."""
     schema = table(spark, sf_dir, "events").schema
     ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return _drained(spark, tumbling_bars(ticks.withColumn("ts", F.col("ts").cast("timestamp"))), "ohlc")
+    return _drained(spark, tumbling_bars(ticks.withColumn("ts", F.col("ts").cast("timestamp"))))
 
 
-@query("stm_sessions_stream", None)
+@query("stm_sessions_stream", f"with g as (select user_id, ts, value, case when ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 6 hour then 1 else 0 end as fresh, event_id from events), s as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as part from g) select user_id, min(ts) as start, max(ts) + interval 6 hour as end, count(*) as ticks, floor(sum(value)*1e6+0.5)/1e6 as total from s group by user_id, part having max(ts) + interval 6 hour <= {_LAST} - interval 1 hour")
 def stm_sessions_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return _drained(spark, session_stats(ticks.withColumn("ts", F.col("ts").cast("timestamp"))), "sessions")
+    return _drained(spark, session_stats(ticks.withColumn("ts", F.col("ts").cast("timestamp"))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.numeric import rounded
+
 
 def tumbling_bars(ticks: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     order = F.struct("ts", "event_id")
@@ -15,4 +17,4 @@ def tumbling_bars(ticks: DataFrame, width: str = "1 hour", late: str = "1 hour")
 
 def session_stats(ticks: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
     sessions = ticks.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("ticks"), F.sum("value").alias("total"))
-    return sessions.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "ticks", "total")
+    return sessions.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "ticks", rounded(F.col("total")).alias("total"))
