@@ -229,7 +229,9 @@ def test_phrases_by_brute_force():
     assert parser.phrases(points, offsets).tolist() == [[count]]
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("block_rows", [8192, 20])
+def test_nearest(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", block_rows)
     draw = np.random.default_rng(6)
     centres = draw.normal(size=(12, 16))
     vectors = [(centres[i % 12] + 0.3 * draw.normal(size=16)).astype(np.float32).tolist() for i in range(1500)]
@@ -248,6 +250,9 @@ def test_nearest(spark):
         mine = got[got["query_id"] == ids[q]].sort_values("rank")
         assert mine["rank"].tolist() == [1, 2, 3, 4, 5]
         hit, total = hit + len(set(want) & set(mine["vec_id"])), total + 5
+        place = {int(v): i for i, v in enumerate(ids)}
+        exact = [float(matrix[place[v]] @ matrix[q]) for v in mine["vec_id"]]
+        assert mine["score"].tolist() == pytest.approx(exact, abs=1e-12) and list(zip(-mine["score"], mine["vec_id"])) == sorted(zip(-mine["score"], mine["vec_id"]))
     assert hit / total >= 0.9 and set(got["query_id"]) == set(ids[ids % 50 == 0])
     assert ann.nearest(table.limit(0), F.col("id") % 50 == 0).count() == 0
     assert ann.nearest(table.filter("vec_id in (0, 1)"), F.col("id") % 50 == 0).toPandas()["vec_id"].tolist() == [1]

@@ -24,8 +24,8 @@ from tidemark.llm.common import materialise
 SAMPLE, LEAF, BRANCHES = 20_000, 64, 8
 #: Vectors used to calibrate, and the share of their true neighbours to be found.
 CALIBRATION, RECALL = 160, 0.96
-#: Parts that neighbouring leaves are joined to, and rows of one block of a part.
-PARTS, BLOCK_ROWS = 16, 8192
+#: Blocks that the leaves are dealt to at least, and rows of a block at most; a leaf alone is cut only beyond that.
+BLOCKS, BLOCK_ROWS = 16, 8192
 
 
 class Tree:
@@ -99,27 +99,28 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and vector (doubles) of the distinct rows that take part.
+    """id and vector (doubles) of the rows that take part, one for each id.
 
     Left out: null ids; vectors that are null, empty or zero, or hold null or non-finite
-    values, or are not of the commonest length (of ties, the longest).
+    values, or are not of the commonest length (of ties, the longest).  Of rows that share
+    an id the one with the smallest vector counts.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter(
         F.col("id").isNotNull() & F.exists("vector", lambda x: x != 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     )
     lengths = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
-    return rows.filter(F.size("vector") == (lengths["n"] if lengths else 0)).distinct()
+    return rows.filter(F.size("vector") == (lengths["n"] if lengths else 0)).groupBy("id").agg(F.min("vector").alias("vector"))
 
 
-def _top(score: np.ndarray, ids: list, own: int, k: int) -> list[tuple[int, float]]:
-    """The k best (id, score) of rows with equal vectors' ids, without ``own``."""
-    seen = np.flatnonzero(score > -np.inf)
+def _top(score: np.ndarray, at: np.ndarray, ids: list, own: int, k: int) -> list[tuple[int, float]]:
+    """The k best (id, score) of the rows ``at``, which stand for the ids of equal vectors, without ``own``."""
+    seen = np.arange(len(score))
     if len(seen) > k + 1:
-        least = np.partition(score[seen], len(seen) - k - 1)[len(seen) - k - 1]
-        above, level = seen[score[seen] > least], seen[score[seen] == least]
+        least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+        above, level = np.flatnonzero(score > least), np.flatnonzero(score == least)
         # Of rows at the last score only those with the smallest ids can be needed.
-        seen = np.r_[above, sorted(level, key=lambda i: ids[i][0])[: k + 1]]
-    found = sorted((-score[i], v) for i in seen.tolist() for v in ids[i] if v != own)
+        seen = np.r_[above, sorted(level, key=lambda i: ids[at[i]][0])[: k + 1]]
+    found = sorted((-score[i], v) for i in seen.tolist() for v in ids[at[i]] if v != own)
     return [(v, -s) for s, v in found[:k]]
 
 
@@ -129,7 +130,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     ``is_query`` is a condition on the column ``id``.  All rows but the query's own are
     candidates; ties go to the smaller id; fewer rows give all of them.  Equal vectors are
     indexed once with their k + 1 smallest ids, which are all that can be returned.  Rows
-    of one id with different vectors are separate rows.  An empty table gives no rows.
+    that share an id count once.  An empty table gives no rows; other columns are left alone.
+
+    Leaves that follow each other in the tree share a block; a query goes only to the blocks
+    of leaves that it visits, and there only those leaves' rows are scored.
     """
     valid = materialise(usable(df, id_col, vector_col))
     same = Window.partitionBy("key", "vector").orderBy("id")
@@ -154,50 +158,47 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     dealt = materialise(base.select("key", "vector", "ids").mapInArrow(deal, "key long, vector array<double>, ids array<long>, leaf int"))
     wanted = _calibrated(dealt, tree, k, total, recall)
 
-    # Neighbouring leaves form parts of about equal size; a large part has several blocks.
     held, listed = np.zeros(max(1, tree.leaves), np.int64), np.zeros(max(1, tree.leaves), np.int64)
     for row in dealt.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect():  # one row a leaf
         held[row["leaf"]], listed[row["leaf"]] = row["n"], row["ids"]
-    part_of = np.minimum((np.cumsum(held) - held) * PARTS // max(1, total), PARTS - 1)
-    blocks = np.maximum(1, -(-np.bincount(part_of, weights=held, minlength=PARTS).astype(np.int64) // BLOCK_ROWS))
-    part_map = F.array(*[F.lit(int(p)) for p in part_of])
-    block_map = F.array(*[F.lit(int(b)) for b in blocks])
-    data = dealt.withColumn("part", F.element_at(part_map, F.col("leaf") + 1)).select(
-        "part", F.pmod("key", F.element_at(block_map, F.col("part") + 1)).cast("int").alias("block"), F.lit(0).alias("side"),
+    most = max(1, min(BLOCK_ROWS, -(-total // BLOCKS)))
+    block_of, cuts = (np.cumsum(held) - held) // most, np.maximum(1, -(-held // BLOCK_ROWS))
+    # The first row of a block leads; what follows of a leaf that is cut has a number of its own.
+    block_map, cut_map = (F.array(*[F.lit(int(v)) for v in values]) for values in (block_of, cuts))
+    data = dealt.select(
+        F.element_at(block_map, F.col("leaf") + 1).alias("block"), F.pmod(F.xxhash64("key", F.lit(3)), F.element_at(cut_map, F.col("leaf") + 1)).cast("int").alias("cut"), F.lit(0).alias("side"),
         F.lit(0).cast("long").alias("id"), "vector", "ids", F.array("leaf").alias("leaves"),
     )
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            vectors = unit(matrix(batch.column(1))) if batch.num_rows else []
-            same_id = batch.column(2).to_numpy()
-            for i, vector in enumerate(vectors):
-                by_part: dict[int, list[int]] = {}
-                for leaf in tree.visits(vector, wanted, listed, k + int(same_id[i])):
-                    by_part.setdefault(int(part_of[leaf]), []).append(leaf)
-                rows += [(p, b, i, leaves) for p, leaves in by_part.items() for b in range(int(blocks[p]))]
+            for i, vector in enumerate(unit(matrix(batch.column(1))) if batch.num_rows else []):
+                goes: dict[tuple[int, int], list[int]] = {}
+                for leaf in tree.visits(vector, wanted, listed, k + 1):
+                    for cut in range(int(cuts[leaf])):
+                        goes.setdefault((int(block_of[leaf]), cut), []).append(leaf)
+                rows += [(*place, i, leaves) for place, leaves in goes.items()]
             at = pa.array([r[2] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array([r[3] for r in rows], pa.list_(pa.int32()))],
-                names=["part", "block", "id", "vector", "leaves"],
+                names=["block", "cut", "id", "vector", "leaves"],
             )
 
-    # Rows of the query's own id are never returned, so they do not count among those a query needs.
-    queries = valid.filter(is_query).select("id", "vector", F.count("*").over(Window.partitionBy("id")).alias("n")).mapInArrow(route, "part int, block int, id long, vector array<double>, leaves array<int>")
-    queries = queries.select("part", "block", F.lit(1).alias("side"), "id", "vector", F.lit(None).cast("array<long>").alias("ids"), "leaves")
+    queries = valid.filter(is_query).select("id", "vector").mapInArrow(route, "block int, cut int, id long, vector array<double>, leaves array<int>")
+    queries = queries.select("block", "cut", F.lit(1).alias("side"), "id", "vector", F.lit(None).cast("array<long>").alias("ids"), "leaves")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by block, data before queries; one block of data is held at a time."""
+        """Rows come by block, data before queries; one block of data is held at a time, in the order of its leaves."""
         block, held, ready = None, [], None
         for batch in batches:
-            part, number, side = (batch.column(i).to_numpy() for i in range(3))
-            cut = np.flatnonzero((part[1:] != part[:-1]) | (number[1:] != number[:-1]) | (side[1:] != side[:-1])) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(part)], strict=True):
+            first, second, side = (batch.column(i).to_numpy() for i in range(3))
+            cut = np.flatnonzero((first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (side[1:] != side[:-1])) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(first)], strict=True):
                 if a == b:
                     continue
-                if (part[a], number[a]) != block:
-                    block, held, ready = (part[a], number[a]), [], None
+                if (first[a], second[a]) != block:
+                    block, held, ready = (first[a], second[a]), [], None
                 rows = batch.slice(a, b - a)
                 if side[a] == 0:
                     held.append(rows)
@@ -206,20 +207,20 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
                     continue
                 if ready is None:
                     table = pa.Table.from_batches(held)
-                    ready = unit(matrix(table.column("vector"))), table.column("ids").to_pylist(), np.array([x[0] for x in table.column("leaves").to_pylist()])
+                    leaf = table.column("leaves").combine_chunks().flatten().to_numpy()
+                    table, leaf = table.take(pa.array(np.argsort(leaf, kind="stable"))), np.sort(leaf)
+                    ready = unit(matrix(table.column("vector"))), table.column("ids").to_pylist(), leaf
                 vectors, ids, leaf = ready
                 out = []
-                for at in range(0, rows.num_rows, 256):
-                    some = rows.slice(at, 256)
-                    scores = unit(matrix(some.column(4))) @ vectors.T
-                    for own, visited, score in zip(some.column(3).to_pylist(), some.column(6).to_pylist(), scores, strict=True):
-                        open_leaf = np.zeros(tree.leaves, bool)
-                        open_leaf[visited] = True
-                        out += [(own, v, s) for v, s in _top(np.where(open_leaf[leaf], score, -np.inf), ids, own, k)]
+                for own, query, visited in zip(rows.column(3).to_pylist(), unit(matrix(rows.column(4))), rows.column(6).to_pylist(), strict=True):
+                    bounds = zip(np.searchsorted(leaf, visited), np.searchsorted(leaf, visited, "right"), strict=True)
+                    at = np.concatenate([np.arange(x, y) for x, y in bounds])
+                    if len(at):
+                        out += [(own, v, s) for v, s in _top(vectors[at] @ query, at, ids, own, k)]
                 columns = list(zip(*out, strict=True)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    met = data.unionByName(queries).repartition("part", "block").sortWithinPartitions("part", "block", "side")
+    met = data.unionByName(queries).repartition("block", "cut").sortWithinPartitions("block", "cut", "side")
     found = met.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
