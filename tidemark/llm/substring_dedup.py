@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import _ODD, _powers, chunks, materialise, mix, text_chunks, utf8
 
-K = 16
+#: Bytes of an anchor: longer ones are met by chance less often, but stand closer together.
+K = 24
 #: Anchors that a map task gathers before it sends them on; equal fragments among them are sent once.
 FLUSH = 1 << 20
 #: Anchors that one bucket holds on average.
