@@ -34,7 +34,7 @@ MIN_DOCS, LONG_TOKENS = 3, 10
 #: Levels of support, each of four times the documents of the one before.
 LEVELS = 6
 #: Distinct lines of a leaf up to which they are counted in one task; the counts are the same either way.
-LEAF_LINES = 4096
+LEAF_LINES = 512
 #: Rows (of 24 to 100 bytes) of a counted table up to which it is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 300_000
 #: Dropped lines (of about 24 bytes) up to which they are broadcast to the texts; beyond, the texts are shuffled once.
