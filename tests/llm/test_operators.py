@@ -44,6 +44,9 @@ def test_sharding(docs, none):
         assert sorted(part["slot"]) == list(range(len(part)))
     want = sorted((zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode()) + 16) for r in rows)
     assert sorted(zip(got["text_crc32"], got["size"], strict=True)) == want
+    for row in got.itertuples():
+        key = (-1 if pd.isna(row.doc_id) else int(row.doc_id)) % 2**64
+        assert (row.shard, row.grown_shard, row.law) == (brute.jump(key, 3), brute.jump(key, 4), "key")
     assert sharding.assign_shards(none, 3).count() == 0
 
 
@@ -378,9 +381,70 @@ def test_cross_entropy_difference_by_brute_force(spark, monkeypatch, hot):
 
 
 def test_pipeline_stages_on_awkward_rows(spark, docs, none):
+    """What each stage keeps of awkward rows, and that it takes an empty table."""
+    import corpus_pipeline
+
+    rows, kept = brute.awkward(), {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "/root/testdata/sf0.001").count() == 0, name
+        out = stage(spark, docs.withColumn("hits", F.lit("clash")), "/root/testdata/sf0.001")
+        kept[name] = out.toPandas()
+        if name != "packing":
+            assert out.columns == corpus_pipeline.COLUMNS and out.count() <= len(rows)
+    assert {i for i in kept["near_dedup"]["doc_id"].dropna()} == {i for i, (_, c) in brute.components(rows, 5, 80).items() if i == c}
+    gone = brute.recurring(rows, line_dedup.DEPTH, line_dedup.SIMILARITY, line_dedup.WORDS, line_dedup.MIN_TOKENS, line_dedup.MIN_DOCS, line_dedup.LONG_TOKENS, line_dedup.LEVELS)
+    left = {int(r.doc_id): r.text for r in kept["line_dedup"].dropna(subset="doc_id").itertuples()}
+    for i, text in {(r[0], r[1]) for r in rows if r[0] is not None}:
+        lines = [line for n, line in enumerate((text or "").split("\n")) if n not in gone.get(i, ())]
+        assert (i not in left) if gone.get(i) and not "".join(lines).strip(" ") else (left[i] == (text if text is None else "\n".join(lines)))
+    assert kept["packing"]["doc_id"].nunique() == len({r[0] for r in rows if r[0] is not None})
+
+
+def test_quality_stage_drops_what_is_labelled_bad(spark, monkeypatch):
     import corpus_pipeline
 
-    for name, stage in corpus_pipeline.STAGES[1:]:
-        for table in (docs, none):
-            out = stage(spark, table, "/root/testdata/sf0.001")
-            assert out.count() <= max(1, table.count()) * 20, name
+    rows = [(i, brute.prose(i) if i % 3 else brute.prose(i).replace(" ", "$$$ "), "en", "s", None) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 240, 2)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: labels)
+    kept = {r.doc_id for r in corpus_pipeline.quality_filter(spark, spark.createDataFrame(rows, brute.COLUMNS), "").collect()}
+    good = {i for i in range(240) if i % 3}
+    assert len(kept & good) >= 0.95 * len(good) and len(kept - good) <= 4
+
+
+CONTRACT = {
+    "op1_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op2_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op3_langid": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op4_ann": "query_id bigint, rank int, vec_id bigint, score double",
+    "op5_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op6_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op7_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op8_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_contract_columns(spark, name):
+    from tidemark.llm import queries
+
+    small = "/root/testdata/sf0.001"
+    got = queries.queries()[name](spark, small)
+    kinds = dict(got.dtypes)
+    assert {c.split()[0]: c.split()[1] for c in CONTRACT[name].split(", ")}.items() <= kinds.items()
+    assert got.count() >= spark.read.parquet(f"{small}/documents.parquet").count() if name != "op4_ann" else got.count() == 5 * got.select("query_id").distinct().count()
+
+
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    """Chains of near copies without a common root, in blocks of four classes: the links found join the same components."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    draw, rows = random.Random(21), []
+    for group in range(6):
+        words = brute.prose(300 + group, 90).split(" ")
+        for copy in range(40):
+            words = list(words)
+            for at in draw.sample(range(90), 2):
+                words[at] = f"y{draw.randrange(10**6)}"
+            rows.append((1000 * group + draw.randrange(900), " ".join(words)))
+    rows = list({r[0]: r for r in rows}.values())
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).toPandas()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == brute.components(rows, 2, 80)

@@ -46,7 +46,8 @@ def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
     Only the id decides the shard.  A null text counts as no bytes (CRC 0), a null
-    id as the key -1; repeated rows keep one slot each; an empty table gives no rows.
+    id as the key -1; repeated rows keep one slot each; an empty table gives no rows.  A
+    text of any length counts whole.  Other columns are left alone.
 
     Slots are numbered in two levels, by hash bucket within the shard and by id
     within the bucket, so no task sees a whole shard.  Equal rows are counted
@@ -63,7 +64,7 @@ def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     ).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
     counted = rows.groupBy("shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard").agg(F.count("*").alias("copies"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("held")).select("shard", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+    starts = counted.groupBy("shard", "bucket").agg(F.sum("copies").alias("held")).select("shard", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("slot", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(starts, ["shard", "bucket"])
     return placed.select(
