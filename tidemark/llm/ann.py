@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, released
 
 #: Vectors that the tree is fitted on, vectors of the sample in a leaf, branches of a node.
 SAMPLE, LEAF, BRANCHES = 20_000, 64, 8
@@ -155,7 +155,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.place(unit(matrix(batch.column(1)))))], names=[*batch.schema.names, "leaf"])
 
-    dealt = materialise(base.select("key", "vector", "ids").mapInArrow(deal, "key long, vector array<double>, ids array<long>, leaf int"))
+    dealt = materialise(base.select("key", "vector", "ids").mapInArrow(released(deal), "key long, vector array<double>, ids array<long>, leaf int"))
     wanted = _calibrated(dealt, tree, k, total, recall)
 
     held, listed = np.zeros(max(1, tree.leaves), np.int64), np.zeros(max(1, tree.leaves), np.int64)
@@ -185,7 +185,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
                 names=["block", "cut", "id", "vector", "leaves"],
             )
 
-    queries = valid.filter(is_query).select("id", "vector").mapInArrow(route, "block int, cut int, id long, vector array<double>, leaves array<int>")
+    queries = valid.filter(is_query).select("id", "vector").mapInArrow(released(route), "block int, cut int, id long, vector array<double>, leaves array<int>")
     queries = queries.select("block", "cut", F.lit(1).alias("side"), "id", "vector", F.lit(None).cast("array<long>").alias("ids"), "leaves")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
     met = data.unionByName(queries).repartition("block", "cut").sortWithinPartitions("block", "cut", "side")
-    found = met.mapInArrow(search, "query_id long, vec_id long, score double")
+    found = met.mapInArrow(released(search), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -246,7 +246,7 @@ def _calibrated(dealt: DataFrame, tree: Tree, k: int, total: int, recall: float)
                 names=["query", "score", "leaf"],
             )
 
-    near = dealt.mapInArrow(brute, "query long, score double, leaf int").filter("score > -2")
+    near = dealt.mapInArrow(released(brute), "query long, score double, leaf int").filter("score > -2")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "leaf")
     truth = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query", "leaf").collect()  # k rows a query
     order = [{leaf: i + 1 for i, leaf in enumerate(tree.visits(v, tree.leaves))} for v in vectors]

@@ -7,9 +7,10 @@ of an Arrow column, so no Python code runs per document.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text a task handles at once; one longer document is its own chunk.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWER, _INVERSE = np.uint64(0x100000001B3), np.uint64(pow(0x100000001B3, -1, 1 << 64))
 
@@ -57,6 +58,21 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over the batches of a task; what it freed goes back to the system at its end, as the worker process lives on."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """``df`` with a hint to broadcast it if it was counted to hold at most ``most`` rows."""
     return F.broadcast(df) if rows <= most else df

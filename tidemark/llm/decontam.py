@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import gram_hash, materialise, span_hash, text_chunks, utf8, word_spans
+from tidemark.llm.common import gram_hash, materialise, released, span_hash, text_chunks, utf8, word_spans
 
 #: Lower-cased ASCII letters, digits and all bytes from 0x80; everything else parts words.
 LETTERS = np.zeros(256, np.uint8)
@@ -162,7 +162,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: in
                     names=[*names, "n_words", "hits", "hit_items"],
                 )
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(released(run), schema)
         if number + 1 < len(blocks):
             out = materialise(out)
     return out

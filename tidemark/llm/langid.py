@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import code_points, text_chunks
+from tidemark.llm.common import code_points, released, text_chunks
 
 #: Labelled documents and letters of text that a language's model is built from at most, and the sizes that come first.
 MODEL_DOCS, MODEL_LETTERS, MODEL_BYTES = 60, 16_000, (200, 4000)
@@ -188,4 +188,4 @@ def identify(df: DataFrame, samples: dict[str, str], text_col: str = "text") ->
                 lang, value = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(value)], names=[*names, "lang_pred", "score"])
 
-    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(released(run), schema)

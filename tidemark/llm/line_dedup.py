@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, materialise, mix, small, span_hash, text_chunks, word_spans
+from tidemark.llm.common import Scratch, materialise, mix, released, small, span_hash, text_chunks, word_spans
 
 #: Leading tokens of the tree's path, least share of fixed places (digits included), and least tokens of a line.
 DEPTH, SIMILARITY, MIN_TOKENS = 3, 0.7, 3
@@ -101,7 +101,7 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
                 names=["doc_id", "line", "leaf", "hash", "content", "size"],
             )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, LINES)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(released(run), LINES)
 
 
 def _tokens(lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def _tokens(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
     by_doc = lines.groupBy("doc_id").agg(F.collect_list(F.struct("line", "leaf", "hash", "docs", "size")).alias("lines"))
     by_doc = small(by_doc, lines.count(), BROADCAST_ROWS)
-    return docs.join(by_doc, "doc_id").select("doc_id", "text", "lines").mapInArrow(fetch, "leaf long, hash long, docs long, size int, tokens array<long>")
+    return docs.join(by_doc, "doc_id").select("doc_id", "text", "lines").mapInArrow(released(fetch), "leaf long, hash long, docs long, size int, tokens array<long>")
 
 
 def _supported(lines: DataFrame, enough: Column, together: bool) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, mix, small, text_chunks
+from tidemark.llm.common import materialise, mix, released, small, text_chunks
 from tidemark.llm.decontam import words_of
 
 #: Every gram (pair or word) that makes one HOT-th of all is looked up; those looked up make at least a quarter of that, so 4 * HOT at most.
@@ -84,7 +84,7 @@ def frequent(marked: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, tup
         gram, count = held[0][keep], held[1][keep]
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[gram, np.arange(2, dtype=np.uint64)].view(np.int64)), pa.array(np.r_[count, sums]), pa.array(np.r_[np.zeros(len(gram), bool), np.ones(2, bool)])], names=["gram", "count", "total"])
 
-    seen = materialise(marked.select("text", "target").mapInArrow(notice, "gram long, count long, total boolean").groupBy("total", "gram").agg(F.sum("count").alias("count")))
+    seen = materialise(marked.select("text", "target").mapInArrow(released(notice), "gram long, count long, total boolean").groupBy("total", "gram").agg(F.sum("count").alias("count")))
     found = {r.gram: r["count"] for r in seen.filter("total").collect()}
     sums = tuple(int(found.get(i, 0)) for i in range(2))
     hot = np.sort(seen.filter(~F.col("total") & (F.col("count") * 4 * HOT >= 2 * sums[0])).select("gram").toArrow().column(0).to_numpy().view(np.uint64))
@@ -102,7 +102,7 @@ def frequent(marked: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, tup
 
     counts, is_word = np.zeros((2, len(hot)), np.int64), np.zeros(len(hot), bool)
     if len(hot):
-        exact = marked.select("text", "target").mapInArrow(count, "place int, n long, t long, word boolean").groupBy("place").agg(F.sum("n"), F.sum("t"), F.max("word")).toArrow()
+        exact = marked.select("text", "target").mapInArrow(released(count), "place int, n long, t long, word boolean").groupBy("place").agg(F.sum("n"), F.sum("t"), F.max("word")).toArrow()
         place = exact.column(0).to_numpy()
         counts[:, place], is_word[place] = [exact.column(i).to_numpy() for i in (1, 2)], exact.column(3).to_numpy(zero_copy_only=False)
     return hot, counts, is_word, sums
@@ -155,12 +155,12 @@ def text_losses(marked: DataFrame) -> DataFrame:
 
     times, target = F.shiftright("info", 1), F.col("info").bitwiseAND(1)
     alike = Window.partitionBy("pair")
-    met = rows.mapInArrow(others, "pair long, key long, info long").withColumns({"n": F.sum(times).over(alike) - times, "t": F.sum(times * target).over(alike) - times * target}).filter("n > 0")
+    met = rows.mapInArrow(released(others), "pair long, key long, info long").withColumns({"n": F.sum(times).over(alike) - times, "t": F.sum(times * target).over(alike) - times * target}).filter("n > 0")
     change = lambda c: F.round(-WEIGHT * times * F.log1p(F.col(c) / EXTRA) * UNIT).cast("long")
     zero = F.lit(0).cast("long")
     changes = met.select("key", zero.alias("n_tokens"), zero.alias("words"), change("t").alias("target"), change("n").alias("background"))
     changes = changes.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "words", "target", "background")])
-    both = rows.mapInArrow(known, "key long, n_tokens long, words long, target long, background long").unionByName(changes)
+    both = rows.mapInArrow(released(known), "key long, n_tokens long, words long, target long, background long").unionByName(changes)
     # Copies of a text add to the losses and the words alike, so the means are those of one.
     both = both.groupBy("key").agg(F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("words", "target", "background")])
     mean = lambda c: F.round(F.col(c) / (F.greatest(F.col("words"), F.lit(1)) * UNIT), 9).alias(f"{c}_loss")

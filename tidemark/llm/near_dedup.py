@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, gram_hash, materialise, mix, runs, small, span_hash, text_chunks, word_spans
+from tidemark.llm.common import Scratch, gram_hash, materialise, mix, released, runs, small, span_hash, text_chunks, word_spans
 from tidemark.llm.components import connected_components
 
 BANDS, ROWS, BITS = 32, 5, 2
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"],
             )
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.mapInArrow(released(run), SIGNED)
 
 
 def packed_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -147,7 +147,7 @@ def _estimated(pairs: DataFrame, bits: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 
     both = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
-    return both.select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "bits_a", "bits_b").mapInArrow(released(run), "a long, b long")
 
 
 def shingle_table(docs: DataFrame, nodes: DataFrame, shingle: int, work: Scratch) -> DataFrame:
@@ -160,7 +160,7 @@ def shingle_table(docs: DataFrame, nodes: DataFrame, shingle: int, work: Scratch
 
     nodes = work.table(nodes.distinct())
     texts = docs.join(small(nodes, nodes.count(), BROADCAST_ROWS), docs["doc_id"] == nodes["node"], "left_semi")
-    return work.table(texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "node long, set binary"))
+    return work.table(texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(released(run), "node long, set binary"))
 
 
 def _blocks(rows: Column, shingles: Column) -> Column:
@@ -191,7 +191,7 @@ def star_links(pairs: DataFrame, sets: DataFrame, percent: int, work: Scratch) -
     members = pairs.join(small(wide, wide.count(), BROADCAST_ROWS), "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), F.lit(1).alias("side"), F.col("b").alias("node"))
     roots = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), F.col("a").alias("node"))
     dealt = members.unionByName(roots).join(sets, "node").select("a", "block", "side", "node", "set")
-    return dealt.repartition("a", "block").sortWithinPartitions("a", "block", "side").mapInArrow(run, "a long, b long")
+    return dealt.repartition("a", "block").sortWithinPartitions("a", "block", "side").mapInArrow(released(run), "a long, b long")
 
 
 CELL = ["kind", "key", "i", "j"]
@@ -249,7 +249,7 @@ def in_question(rows: DataFrame, least: float, percent: int, work: Scratch) -> D
                 yield from cell.select(columns).filter(pa.array(live)).combine_chunks().to_batches()
 
     schema = "kind int, key long, side int, node long, component long, size long, bits binary"
-    found = _cells(rows, work).select(*CELL, "side", "own", "node", "component", "size", "bits").mapInArrow(run, schema)
+    found = _cells(rows, work).select(*CELL, "side", "own", "node", "component", "size", "bits").mapInArrow(released(run), schema)
     return found.groupBy("kind", "key", "side", "node").agg(*[F.first(c).alias(c) for c in ("component", "size", "bits")])
 
 
@@ -286,7 +286,7 @@ def forest(rows: DataFrame, sets: DataFrame, least: float, percent: int, work: S
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     dealt = _cells(rows.join(sets, "node"), work)
-    return dealt.select(*CELL, "side", "own", "node", "component", "size", "bits", "set").mapInArrow(run, "a long, b long")
+    return dealt.select(*CELL, "side", "own", "node", "component", "size", "bits", "set").mapInArrow(released(run), "a long, b long")
 
 
 def undecided(buckets: DataFrame, labels: DataFrame, bits: DataFrame, work: Scratch) -> DataFrame:

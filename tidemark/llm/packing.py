@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import materialise, partitions
+from tidemark.llm.common import materialise, partitions, released
 
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -131,7 +131,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, max_tokens: int = 4096, id_
             )
         words.forget()  # the worker process lives on
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), PIECES)
 
 
 def fullest(counts: np.ndarray, capacity: int) -> dict[int, int]:
@@ -207,7 +207,7 @@ def pack(pieces: DataFrame, max_tokens: int = 4096) -> DataFrame:
             at = np.searchsorted(keys, length << 44 | rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(first[at] + rank - base[at]), pa.array(offset[at])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, PACKED)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(released(run), PACKED)
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, max_tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import code_points, mix, span_hash, text_chunks, word_spans
+from tidemark.llm.common import code_points, mix, released, span_hash, text_chunks, word_spans
 
 BUCKETS = 1 << 17
 GRAMS = (2, 3, 4)
@@ -147,4 +147,4 @@ def score(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text"
             value = 1 / (1 + np.exp(-np.clip(np.where(n > 0, mean, bias), -50, 50)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], names=[*names, "score"])
 
-    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(released(run), schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _ODD, _powers, chunks, materialise, mix, text_chunks, utf8
+from tidemark.llm.common import _ODD, _powers, chunks, materialise, mix, released, text_chunks, utf8
 
 #: Bytes of an anchor: longer ones are met by chance less often, but stand closer together.
 K = 24
@@ -310,7 +310,7 @@ def repeated_spans(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
         if rows:
             yield from _send(rows, buckets, length)
 
-    sent = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).mapInArrow(send, "bucket long, kind int, blob binary")
+    sent = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).mapInArrow(released(send), "bucket long, kind int, blob binary")
     found = materialise(sent.groupBy("bucket").applyInArrow(lambda t: _meet(t, length), FOUND))
 
     edges = found.filter("edge").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "last", "place")).alias("edges"))
@@ -331,7 +331,7 @@ def repeated_spans(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
                 fragments = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(copied)])
                 yield pa.RecordBatch.from_arrays([pa.array((gram % np.uint64(buckets)).astype(np.int64)), pa.array(ids), pa.array(start), pa.array(last), pa.array(place), fragments], names=["bucket", "doc", "start", "last", "place", "fragment"])
 
-    fragments = docs.join(edges, "doc_id").select("doc_id", "text", "edges").mapInArrow(cut, "bucket long, doc long, start long, last long, place long, fragment binary")
+    fragments = docs.join(edges, "doc_id").select("doc_id", "text", "edges").mapInArrow(released(cut), "bucket long, doc long, start long, last long, place long, fragment binary")
     resolved = fragments.groupBy("bucket").applyInArrow(lambda t: _resolve(t, length, k), "doc long, start long, end long")
     whole = found.filter("not edge").select("doc", "start", (F.col("last") + length).alias("end"))
     spans = whole.unionByName(resolved).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -352,7 +352,7 @@ def removal_report(found: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", "text", "spans").mapInArrow(released(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def kept(text: np.ndarray, spans: pa.ListScalar) -> tuple[bytes, int]:
