@@ -118,19 +118,6 @@ def mth_04_information_ratio(spark, sf_dir):
     return evidence(spark, sf_dir).select("symbol", "date", rounded(ir).alias("ir"), (F.abs(ir) < 0.1).alias("abstain"))
 
 
-@query("mth_07_forecast_path", _HEAD + f" select symbol, step, {r6('close*(1+mom*(1-power(1-step/10.0,2)))')} as price from ev cross join (select unnest(generate_series(1,10)) as step) where i=(select max(i) from ev e2 where e2.symbol=ev.symbol)")
-def mth_07_forecast_path(spark, sf_dir):
-    x = evidence(spark, sf_dir).groupBy("symbol").agg(F.max_by(F.struct("close", "mom"), "i").alias("l")).select("symbol", "l.*", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("step"))
-    return x.select("symbol", F.col("step").cast("long").alias("step"), rounded(F.col("close") * (1 + F.col("mom") * (1 - F.pow(1 - F.col("step") / 10.0, F.lit(2.0))))).alias("price"))
-
-
-@query("mth_08_scenarios", _HEAD + f", l as (select * from ev qualify row_number() over (partition by symbol order by i desc)=1) select symbol, scenario, {r6('close*(1+k*sd*sqrt(5.0))')} as target from l cross join (values ('bull', 1.0), ('base', 0.0), ('bear', -1.0)) t(scenario, k)")
-def mth_08_scenarios(spark, sf_dir):
-    x = evidence(spark, sf_dir).groupBy("symbol").agg(F.max_by(F.struct("close", "sd"), "i").alias("l")).select("symbol", "l.*")
-    cases = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(k).alias("k")) for n, k in (("bull", 1.0), ("base", 0.0), ("bear", -1.0))])
-    return x.select("symbol", "close", "sd", F.explode(cases).alias("c")).select("symbol", "c.scenario", rounded(F.col("close") * (1 + F.col("c.k") * F.col("sd") * F.sqrt(F.lit(5.0)))).alias("target"))
-
-
 @query("mth_14_call_verdict", _HEAD + " select symbol, date, case when fwd is null then 'pending' when mom>0.02 then case when fwd>0.01 then 'right' when fwd<-0.01 then 'wrong' else 'pending' end else case when abs(fwd)<=0.05 then 'right' else 'wrong' end end as verdict from ev")
 def mth_14_call_verdict(spark, sf_dir):
     fwd = F.col("fwd")

@@ -125,3 +125,17 @@ def snk_07_field_update(spark, sf_dir):
     """A field set inside a nested value, and a keyed delete."""
     note = F.from_json("props", "k int").withField("read", F.col("event_type") == "click")
     return table(spark, sf_dir, "events").filter("user_id % 10 <> 3").select("event_id", note.alias("note")).select("event_id", "note.k", F.col("note.read").alias("is_read"))
+
+
+_FEED = "fd as (select page_id, array_to_string(list_transform(range(1, 26), lambda i: '<item><title><![CDATA[Story ' || i || ' &amp; page ' || page_id || ' - late - Wire' || (i%3) || ']]></title><link>' || url || '</link></item>'), '') as feed from pages), it as (select page_id, unnest(regexp_extract_all(feed, '<title><!.CDATA.(.*?)..></title>', 1)[1:20]) as raw, unnest(range(1, 21)) as place from fd)"
+
+
+@query("src_16_feed_items", f"with {_FEED}, sp as (select page_id, place, string_split(replace(raw, '&amp;', '&'), ' - ') as parts from it) select page_id, cast(place as int) as place, array_to_string(parts[1:len(parts)-1], ' - ') as title, parts[len(parts)] as source from sp")
+def src_16_feed_items(spark, sf_dir):
+    """The first 20 items of a feed: CDATA, entities, and the source after the last dash."""
+    item = lambda i: F.concat(F.lit("<item><title><![CDATA[Story "), i.cast("string"), F.lit(" &amp; page "), F.col("page_id").cast("string"), F.lit(" - late - Wire"), (i % 3).cast("string"), F.lit("]]></title><link>"), F.col("url"), F.lit("</link></item>"))
+    feeds = table(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(25)), item), "").alias("feed"))
+    titles = F.slice(F.regexp_extract_all("feed", F.lit(r"<title><!\[CDATA\[(.*?)\]\]></title>"), 1), 1, 20)
+    x = feeds.select("page_id", F.posexplode(titles).alias("at", "raw")).withColumn("parts", F.split(F.replace("raw", F.lit("&amp;"), F.lit("&")), " - "))
+    title = F.array_join(F.slice("parts", F.lit(1), F.size("parts") - 1), " - ")
+    return x.select("page_id", (F.col("at") + 1).alias("place"), title.alias("title"), F.element_at("parts", -1).alias("source"))

@@ -263,3 +263,18 @@ def win_33_garch_fallback(spark, sf_dir):
     """Where no GARCH fit is to be had the forecast is the variance of the last 21 returns, at each step of the grid."""
     x = m.indexed(spark, sf_dir).withColumn("v", F.var_pop("ret").over(by_date().rowsBetween(-21, -1)))
     return x.filter("i >= 501 and (i - 501) % 21 = 0 and i < n - 21").select("symbol", "i", rounded(F.col("v"), 10).alias("variance"))
+
+
+@query("mdl_07_boosting")
+def mdl_07_boosting(spark, sf_dir):
+    """Boosted trees over all symbols, fitted on the rows before the last LAST of each; their accuracy on those."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    x = features(spark, sf_dir).filter("target is not null").withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))))
+    x = x.withColumn("rise", F.when(F.col("target") > 0, 1.0).otherwise(0.0)).repartition("symbol").sortWithinPartitions("symbol", "date")
+    rows = VectorAssembler(inputCols=list(fc.FEATURES), outputCol="features").transform(x)
+    model = GBTClassifier(labelCol="rise", maxIter=8, maxDepth=3, stepSize=0.1, seed=7).fit(rows.filter(F.col("back") > fc.LAST))
+    scored = model.transform(rows.filter(F.col("back") <= fc.LAST))
+    right = F.when(F.col("prediction") == F.col("rise"), 100.0).otherwise(0.0)
+    return scored.groupBy("symbol").agg(F.count("*").alias("samples"), rounded(F.avg(right), 4).alias("accuracy_pct"))

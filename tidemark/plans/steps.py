@@ -158,6 +158,12 @@ r as (select symbol, date, i, mom, sd, case i%4 when 0 then 'equity' when 1 then
 p as (select *, case when asset='commodity' and days<=2 then 1.4 when asset='index' and days<=2 then 1.8 when asset='crypto' then case when days<=5 then 6.5 else 12.0 end else case when days<=5 then 3.2 else 8.5 end end as cap from r)
 select symbol, date, asset, days, {r6(clip("(mom*0.72+bias)*greatest(0.35, least(days/5.0, 3.8))*greatest(0.55, 1-sd*3.4)*100", "-cap", "cap"))} as return_pct from p""")
 
+_PATH = """l as (select symbol, close, mom*100/4 as pct, greatest(0.25, sd*100*sqrt(5.0)) as band from {ev} where i=n-1), t as (select *, close*(1+pct/100) as target, close*band/100*0.18 as wave, case when pct>greatest(0.35, band*0.45) then 1 when pct<-greatest(0.35, band*0.45) then -1 else 0 end as sign from l)"""
+both("mth_07_forecast_path", "An eased path to the forecast over eight steps with two sine waves, the first along the trend; the last step is the forecast.", _PATH + f""",
+p as (select *, step/8.0 as frac from t cross join (values (1), (2), (3), (4), (5), (6), (7), (8)) as s(step))
+select symbol, step, {r6("case when step=8 then target else greatest(1.0, close+(target-close)*(1-power(1-frac, 1.4))+sin(frac*pi()*1.5)*wave*sign+sin(frac*pi()*2.6)*wave*0.35) end")} as price from p""")
+both("mth_08_scenarios", "Bull, base and bear returns around the forecast, apart by its uncertainty.", _PATH + f""" select symbol, scenario, {r6("pct+k*greatest(band*0.8, 0.25)")} as return_pct, {r6("close*(1+(pct+k*greatest(band*0.8, 0.25))/100)")} as target from t cross join (values ('bull', 1.0), ('base', 0.0), ('bear', -1.0)) as s(scenario, k)""")
+
 # --- The sealed log -------------------------------------------------------
 _LOG = """lg as (select symbol, date as as_of, i, fwd, sd, arm, case when arm='A' then case when mom>0 then 'up' else 'down' end else case when i%9=0 then 'flat' else 'up' end end as direction, least(0.95, 0.4+abs(mom)*2) as confidence, i%13=0 as degraded, cast(date as varchar(10)) || '|' || symbol || '|' || arm || '|5' as keyed from {ev} cross join (values ('A'), ('B')) as t(arm))"""
 both("agg_21_forward_dashboard", "Predictions of each arm by direction, degraded ones and mean confidence.", _LOG + f" select arm, count(*) as n, count(case when direction='up' then 1 end) as up, count(case when direction='down' then 1 end) as down, count(case when direction='flat' then 1 end) as flat, count(case when degraded then 1 end) as degraded, {r6('avg(confidence)')} as confidence from lg group by arm")
