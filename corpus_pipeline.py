@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, line_dedup, near_dedup, packing, quality
-from tidemark.llm.common import materialise, small
+from tidemark.llm.common import materialise, small, small_batches
 from tidemark.llm.queries import table, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,6 +25,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops recurring line templates; a document goes only if nothing else was in it."""
+    small_batches(spark)
     found = line_dedup.drop_recurring_lines(docs)
     changed = F.col("n_dropped") > 0
     return found.filter(~changed | (F.trim("text") != "")).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
@@ -36,6 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows with null ids or without words stay; repeated rows of a kept id stay as they are.
     The ids to drop are broadcast if there are few; beyond, the texts are shuffled once.
     """
+    small_batches(spark)
     gone = materialise(near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct())
     return docs.join(small(gone, gone.count(), near_dedup.BROADCAST_ROWS), "doc_id", "left_anti").select(COLUMNS)
 
@@ -47,6 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences of at most 4096."""
+    small_batches(spark)
     return packing.pack_documents(docs, tokenizer_path(), 4096)
 
 

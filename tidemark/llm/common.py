@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text a task handles at once; one longer document is its own chunk.
 CHUNK_BYTES = 1 << 18
+#: Bytes of rows in an Arrow batch, counted by Spark; buffers of that size lie outside the executors' heap.
+BATCH_BYTES = "2m"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWER, _INVERSE = np.uint64(0x100000001B3), np.uint64(pow(0x100000001B3, -1, 1 << 64))
 
@@ -35,6 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of BATCH_BYTES, however long their texts are; a setting of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` below the shared folder and read it back, with its own schema."""
     path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
