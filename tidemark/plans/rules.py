@@ -158,7 +158,7 @@ rule("add_07_direction_votes", "news", {
     "agent": "case doc_id%3 when 0 then 'analyst' when 1 then 'market' else 'researcher' end", "payload": "case agent when 'analyst' then case when conf>0.5 then 'up' else 'down' end when 'market' then case when conf>0.6 then 'up' when conf<0.3 then 'down' else 'sideways' end else case when conf>0.6 then 'positive' when conf<0.3 then 'negative' else 'neutral' end end",
     "vote": "case when payload in ('up', 'positive') then 'up' when payload in ('down', 'negative') then 'down' when payload in ('sideways', 'neutral', 'flat') then 'flat' end"}, "Each agent's own words for a direction become one vote.")
 rule("mth_12_eps_surprise", "news", {
-    "est": double("(doc_id%21-10)/4.0"), "act": "est*(1+((doc_id%17)-8)/100.0)", "_diff": "(act-est)/case when est=0 then 1 else abs(est) end*100", "label": "case when _diff>=3 then 'Beat' when _diff<=-3 then 'Miss' else 'In line' end", "surprise_pct": r6("_diff")}, "Earnings against the estimate, within three percent in line; an estimate of zero is taken as one.")
+    "est": double("(doc_id%21-10)/4.0"), "_act": "est*(1+((doc_id%17)-8)/100.0)", "act": r6("_act"), "_diff": "(_act-est)/case when est=0 then 1 else abs(est) end*100", "label": "case when _diff>=3 then 'Beat' when _diff<=-3 then 'Miss' else 'In line' end", "surprise_pct": r6("_diff")}, "Earnings against the estimate, within three percent in line; an estimate of zero is taken as one.")
 rule("src_18_earnings_extract", "news", {
     "payload": "'{\"earningsDate\":[{\"raw\":' || cast(1700000000+doc_id*3600 as varchar(20)) || '}],\"trailingPE\":{\"raw\":' || cast(doc_id%40 as varchar(9)) || '}}'", "next_date": "cast(regexp_extract(payload, 'earningsDate.*?raw\":([0-9]+)', 1) as bigint)", "pe": "cast(regexp_extract(payload, 'trailingPE\":.\"raw\":([0-9.]+)', 1) as double)"}, "Values that a vendor wraps as {raw: ...} are unwrapped.")
 rule("src_22_provider_filter", "news", {"_primary": "contains(lower(outlet), 'reuters') or contains(lower(outlet), 'bloomberg')", "included": "relevance>0.2", "excluded": "contains(lower(outlet), 'synthetic')", "provider": "case when included and not excluded and _primary then 'primary' when included and not excluded then 'secondary' end"}, "Keyword filters first; the secondary provider counts only for what the primary lacks.")
