@@ -6,13 +6,15 @@ table is kept and a grown shard count moves only the keys of the new shards.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import partitions
+from tidemark.llm.common import materialise, partitions, released
 
 _STEP = np.uint64(2862933555777941757)
 
@@ -30,16 +32,18 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return at
 
 
-def shard_of(key: Column, shards: int) -> Column:
-    """Shard of a long key; a null key counts as -1."""
+def with_shards(df: DataFrame, shards: int) -> DataFrame:
+    """``df`` (doc_id, size, text_crc32) with the shard of each id, and the one with one shard more; a null id counts as -1."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
 
-    @F.pandas_udf("int")
-    def of(keys: pd.Series) -> pd.Series:
-        return pd.Series(jump_hash(keys.to_numpy(np.int64).view(np.uint64), shards), index=keys.index)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).fill_null(-1).to_numpy().view(np.uint64)
+            found = [pa.array(jump_hash(keys, n).astype(np.int32)) for n in (shards, shards + 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, "shard", "grown_shard"])
 
-    return of(F.coalesce(key.cast("long"), F.lit(-1).cast("long")))
+    return df.mapInArrow(released(run), "doc_id long, size long, text_crc32 long, shard int, grown_shard int")
 
 
 def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -55,14 +59,10 @@ def assign_shards(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     """
     buckets = buckets or 4 * partitions(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        (F.octet_length(text).cast("long") + 16).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        shard_of(F.col(id_col), shards).alias("shard"),
-        shard_of(F.col(id_col), shards + 1).alias("grown_shard"),
-    ).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
-    counted = rows.groupBy("shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard").agg(F.count("*").alias("copies"))
+    sized = df.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = with_shards(sized, shards).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
+    # Both numberings read these rows, which are far smaller than the texts.
+    counted = materialise(rows.groupBy("shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard").agg(F.count("*").alias("copies")))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.groupBy("shard", "bucket").agg(F.sum("copies").alias("held")).select("shard", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
