@@ -71,8 +71,8 @@ def test_chunk_tokens_equal_the_tokenizer():
 
     tokenizer, ours = Tokenizer.from_file(tokenizer_path()), packing.WordTokens(tokenizer_path())
     draw = random.Random(3)
-    alphabet = "aZ' s9\n\t.é漢́ß<|endoftext|>\x1c İ_"
-    for _ in range(300):
+    alphabet = "aZ' s9\n\t.é漢́ß<|endoftext|>\x1c İ_" + "JK\u030c\u0307Σσς\u0391\u212a"
+    for _ in range(900):
         text = "".join(draw.choice(alphabet) for _ in range(draw.randrange(40)))
         assert np.frombuffer(ours.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 

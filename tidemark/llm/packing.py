@@ -28,16 +28,17 @@ from tidemark.llm.common import materialise, partitions, released
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
-#: Entries of a task's caches, which only save time.
-CACHED = 50_000
+#: Entries of a cache, which only saves time; a full one becomes the old one, from which what is used again comes back.
+CACHED = 120_000
 
 
 class WordTokens(dict):
     """Ids of white-space chunks as little-endian bytes, by the tokenizer's own model.
 
     A tokenizer whose normalizer and pre-split are those below drops white space and never
-    merges across it, so a text's ids are those of its chunks.  A chunk that holds an added
-    token goes to the tokenizer whole, and so does any text if its file says otherwise.
+    merges across it, so a text's ids are those of its chunks, once it is in lower case.  A
+    text that holds an added token goes to the tokenizer whole, and so does any text if the
+    file says otherwise.
     """
 
     #: The normalizer and pre-split (fixed values of the tokenizer's file) that chunks stand for.
@@ -53,47 +54,59 @@ class WordTokens(dict):
         self.model = self.tokenizer.model
         parts = json.loads(self.tokenizer.to_str())
         self.by_chunk = parts["normalizer"] == self.NORMALIZER and parts["pre_tokenizer"] == self.SPLIT and parts["model"]["type"] == "BPE"
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(added)) if added else None
         self.split = regex.compile(self.PATTERN).findall
         self.split_ascii = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if any(token in chunk for token in self.added):
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-            found = struct.pack(f"<{len(ids)}I", *ids)
-        elif chunk.isascii():
-            found = b"".join([self.words.get(w) or self.word(w) for w in self.split_ascii(chunk.lower())])
-        else:
-            lower = "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
-            found = b"".join([self.words.get(w) or self.word(w) for w in self.split(lower)])
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.spelled(chunk)
         if len(chunk) <= 40:
             if len(self) >= CACHED:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = found
         return found
 
-    def word(self, word: str) -> bytes:
-        spelled = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
-        ids = [t.id for t in self.model.tokenize(spelled)]
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.words) >= CACHED:
-            self.words.clear()
-        self.words[word] = found
+    def spelled(self, chunk: str) -> bytes:
+        if chunk.isascii():
+            words = [chunk] if chunk.isalpha() else self.split_ascii(chunk)
+        else:
+            words = self.split(chunk)
+        # A chunk of one word is kept as the chunk alone.
+        return b"".join([self.words.get(w) or self.word(w) for w in words]) if len(words) != 1 else self.word(words[0], False)
+
+    def word(self, word: str, keep: bool = True) -> bytes:
+        found = self.words.get(word) or self.old_words.get(word)
+        if not found:
+            spelled = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+            ids = [t.id for t in self.model.tokenize(spelled)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if keep:
+            if len(self.words) >= CACHED:
+                self.old_words, self.words = self.words, {}
+            self.words[word] = found
         return found
 
     def forget(self) -> None:
-        self.clear()
-        self.words.clear()
+        self.old, self.old_words = {}, {}
 
     def ids(self, text: str) -> bytes:
-        if not self.by_chunk:
+        # Only the lower case of a sigma depends on what stands beside it.
+        if not self.by_chunk or "Σ" in text or (self.added and self.added.search(text)):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join([self[c] for c in text.replace("\n", " ").split(" ")])
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        return b"".join([self[c] for c in text.lower().replace("\n", " ").split(" ")])
 
 
 _tokenizers: dict[str, WordTokens] = {}
