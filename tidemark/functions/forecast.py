@@ -96,7 +96,7 @@ def walk_forward(frame: pd.DataFrame, asset: str = "equity", expanding: bool = F
         vol = FEATURES.index("sd10")
         high = np.zeros(len(now), bool) if vol_limit is None else (fit.raw_sd[:, vol] > LEAST_SD) & (x[now, vol] > fit.mean[:, vol] + vol_limit * fit.raw_sd[:, vol])
         parts.append(pd.DataFrame({"symbol": frame["symbol"].to_numpy()[now], "i": frame["i"].to_numpy()[now], "date": frame["date"].to_numpy()[now], "ridge": ridge, "up": up, "sign": tie_break(ridge, up, typical).astype("int32"), "high_vol": high, "actual": y[now]}))
-    return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("symbol", "i", "date", "ridge", "up", "sign", "high_vol", "actual")})
+    return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in FORECAST.split(", ")], dtype=object)
 
 
 def live(frame: pd.DataFrame, asset: str = "equity") -> tuple[float, np.ndarray]:
