@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontam, langid, line_dedup, lm_score, near_dedup, packing, quality, sharding, substring_dedup
+from tidemark.llm import ann, decontam, langid, line_dedup, lm_score, near_dedup, packing, page_text, periodic_runs, quality, sharding, substring_dedup, vector_codes
 from tidemark.llm.common import small_batches
 
 
@@ -73,6 +73,19 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.cross_entropy_difference(docs, good).drop("text")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.run_report(periodic_runs.collapse_runs(docs, unroll=periodic_runs.planted))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,10 +95,32 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         op1_sharding, op2_quality, op3_langid, op4_ann, op5_suffix_dedup, op6_packing,
-        op7_decontamination, op8_near_dedup, op9_line_dedup, op10_lm_score, pipeline,
+        op7_decontamination, op8_near_dedup, op9_line_dedup, op10_lm_score, op11_vector_codes,
+        op12_page_text, op13_periodic_runs, pipeline,
     )
     return {f.__name__: f for f in found}
 
 
+#: The rounds of op11 written out: parts against entries by inner products, exact in doubles as all are small whole numbers.
+PARTS = """kept as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) v, row_number() over (order by vec_id) n from embeddings
+  where embedding is not null and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
+parts as materialized (select vec_id, label, n, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] v from kept, range(4) r(p)),
+book0 as materialized (select p, n - 1 k, v from parts where n <= 256)"""
+ASSIGN = """near{r} as materialized (
+  select vec_id, label, p, v, arg_min(k, (d, k)) k, min(d) d
+  from (select a.vec_id, a.label, a.p, a.v, b.k, list_inner_product(a.v, a.v) - 2 * list_inner_product(a.v, b.v) + list_inner_product(b.v, b.v) d from parts a join book{r} b using (p))
+  group by all)"""
+MOVE = """book{n} as materialized (
+  select b.p, b.k, coalesce(m.v, b.v) v from book{r} b left join (
+    select p, k, list(x order by j) v from (select p, k, j, floor(sum(v[j]) / count(*)) x from near{r}, (select unnest(range(1, (select max(len(v)) + 1 from parts))) j) group by p, k, j) group by p, k
+  ) m on b.p = m.p and b.k = m.k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    rounds = ", ".join(x for r in range(4) for x in (ASSIGN.format(r=r), MOVE.format(r=r, n=r + 1)))
+    codes = f"""with {PARTS}, {rounds}, {ASSIGN.format(r=4)},
+    coded as (select vec_id, label, string_agg(printf('%02x', k), '' order by p) code, sum(d)::bigint error from near4 group by vec_id, label)
+    select vec_id, code, error, sum(error) over (partition by label)::bigint label_error,
+      (select sha256(string_agg(list_aggregate(list_transform(v, lambda x: x::bigint::varchar), 'string_agg', ','), ',' order by p, k)) from book4) codebooks_sha256 from coded"""
+    return {"op11_vector_codes": codes}
