@@ -211,11 +211,12 @@ def plain_texts(rows: list[tuple]) -> list[tuple]:
 
     rows = sorted(rows, key=key)
     pages, shared = [markup.lines(r[2]) for r in rows], [set() for _ in rows]
+    outlines = [page_text.outline(x) for x in pages]
     for k in range(1, len(rows)):
         if key(rows[k])[0] and key(rows[k])[0] == key(rows[k - 1])[0]:
-            for side, more in zip((k - 1, k), page_text.shared_lines(pages[k - 1], pages[k]), strict=True):
+            for side, more in zip((k - 1, k), page_text.shared_lines(*outlines[k - 1 : k + 1]), strict=True):
                 shared[side] |= more
-    return sorted((r[0], r[1], t, len(t)) for r, t in ((r, page_text.main_text(p, s)) for r, p, s in zip(rows, pages, shared, strict=True)))
+    return sorted((r[0], r[1], t, len(t)) for r, t in ((r, page_text.main_text(p, set(o.dropped(s)))) for r, p, o, s in zip(rows, pages, outlines, shared, strict=True)))
 
 
 @pytest.mark.parametrize("parts", [1, 3, 40])

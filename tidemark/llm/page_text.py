@@ -14,19 +14,24 @@ Two pages that are copies of each other tell nothing about the template: those w
 lines are shared for more than half of the shorter, or, without article markup, for more than
 19 of 20 characters of either.
 
-Pages are dealt in ranges of (host, path, page_id), so that a large host is spread over as many
-tasks as its share asks for, and each task holds two neighbouring pages at a time.  The first and
-the last page of each task meet their neighbours of the next task in a second, small step; results
-do not depend on how pages are dealt.
+Texts stay where they are: a first pass tells, of each page, 64-bit hashes of its lines with their
+sizes and places.  These are dealt in ranges of (host, path, page_id), so that a large host is
+spread over as many tasks as its share asks for, and each task holds two neighbouring pages at a
+time.  The first and the last page of each task meet their neighbours of the next task in a second,
+small step; results do not depend on how pages are dealt.  Only pages that lose lines are told to
+the last pass, which makes the texts: by broadcast up to ``BROADCAST_ROWS``, by a shuffle beyond.
 
 Defined results: null or empty html gives an empty text; a null url, or one without a host, has no
-neighbours; repeated rows are copies of each other and each gives a row; page_id null sorts first;
-other columns are left out unless asked for by ``keep``.
+neighbours; rows repeated whole are copies of each other, each gives a row, and they lose the lines
+that any of them loses; page_id null sorts first; other columns are left out unless asked for by
+``keep``.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm import markup
-from tidemark.llm.common import materialise, released
+from tidemark.llm.common import Scratch, materialise, released, small
 
 #: Bits of alignment rows held at once; longer alignments are halved until they fit.
 HELD_BITS = 1 << 27
@@ -112,122 +117,176 @@ def _aligned(a: list[int], b: list[int]) -> Aligned:
     return p[::-1], q[::-1]
 
 
-def _is_copy(page: list[markup.Line], shared: set[int]) -> bool:
-    best = max((x.rank for x in page), default=0)
-    sizes = {i: len(x.text) for i, x in enumerate(page) if x.rank == best}
-    both, whole = sum(n for i, n in sizes.items() if i in shared), sum(sizes.values())
-    return 2 * both > whole if best else 20 * (whole - both) < whole
+@dataclass
+class Outline:
+    """A page's lines: hash of each, number of characters, rank, and boxes (``markup.Line``)."""
+
+    hashes: list[int]
+    sizes: list[int]
+    ranks: list[int]
+    inside: list[list[int]]
+
+    def best(self) -> int:
+        return max(self.ranks, default=0)
+
+    def is_copy(self, shared: set[int]) -> bool:
+        """Whether the lines shared with another page make the two copies."""
+        best = self.best()
+        sizes = {i: n for i, (n, rank) in enumerate(zip(self.sizes, self.ranks, strict=True)) if rank == best}
+        both, whole = sum(n for i, n in sizes.items() if i in shared), sum(sizes.values())
+        return 2 * both > whole if best else 20 * (whole - both) < whole
+
+    def dropped(self, shared: set[int]) -> list[int]:
+        """The article's lines that go if these lines are shared."""
+        best = self.best()
+        if not best:
+            return sorted(shared)
+        own = {box for i, boxes in enumerate(self.inside) if i not in shared for box in boxes}
+        return sorted(i for i in shared if self.ranks[i] == best and set(self.inside[i]) - own)
+
 
+def outline(page: list[markup.Line]) -> Outline:
+    hashes = [int.from_bytes(hashlib.blake2b(x.text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for x in page]
+    return Outline(hashes, [len(x.text) for x in page], [x.rank for x in page], [list(x.inside) for x in page])
 
-def shared_lines(a: list[markup.Line], b: list[markup.Line]) -> tuple[set[int], set[int]]:
+
+def shared_lines(a: Outline, b: Outline) -> tuple[set[int], set[int]]:
     """Numbers of the lines that two neighbouring pages share as template; none if they are copies."""
-    numbers: dict[str, int] = {}
-    p, q = map(set, common_lines(*([numbers.setdefault(x.text, len(numbers)) for x in page] for page in (a, b))))
-    if not p or _is_copy(a, p) or _is_copy(b, q):
+    p, q = map(set, common_lines(a.hashes, b.hashes))
+    if not p or a.is_copy(p) or b.is_copy(q):
         return set(), set()
     return p, q
 
 
-def main_text(page: list[markup.Line], shared: set[int]) -> str:
-    """The article's lines without those of the template."""
+def main_text(page: list[markup.Line], dropped: set[int]) -> str:
+    """The article's lines without those that go."""
     best = max((x.rank for x in page), default=0)
-    if not best:
-        return "\n".join(x.text for i, x in enumerate(page) if i not in shared)
-    own = {box for i, x in enumerate(page) if i not in shared for box in x.inside}
-    return "\n".join(x.text for i, x in enumerate(page) if x.rank == best and not (i in shared and set(x.inside) - own))
+    return "\n".join(x.text for i, x in enumerate(page) if x.rank == best and i not in dropped)
 
 
-LINES = "array<struct<text: string, rank: int, inside: array<int>>>"
-ADDED = f"_text string, _host string, _task int, _place int, _lines {LINES}, _shared array<int>"
-KINDS = pa.schema([
-    ("_text", pa.string()), ("_host", pa.string()), ("_task", pa.int32()), ("_place", pa.int32()),
-    ("_lines", pa.list_(pa.struct([("text", pa.string()), ("rank", pa.int32()), ("inside", pa.list_(pa.int32()))]))), ("_shared", pa.list_(pa.int32())),
+#: Pages that lose lines, above which they are joined by a shuffle.
+BROADCAST_ROWS = 300_000
+OUTLINE = "hashes array<long>, sizes array<int>, ranks array<int>, inside array<array<int>>"
+TOLD = pa.schema([
+    ("_task", pa.int32()), ("_place", pa.int32()), ("_host", pa.string()), ("_dropped", pa.list_(pa.int32())), ("_shared", pa.list_(pa.int32())),
+    ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("ranks", pa.list_(pa.int32())), ("inside", pa.list_(pa.list_(pa.int32()))),
 ])
+FIELDS = ("hashes", "sizes", "ranks", "inside")
+
+
+def _outlines(pages: DataFrame) -> DataFrame:
+    """Key, host, path and outline of each page that has a host."""
 
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [outline(markup.lines(x.as_py())) for x in batch.column(batch.schema.get_field_index("_html"))]
+            extra = [pa.array([getattr(x, name) for x in found], TOLD.field(name).type) for name in FIELDS]
+            kept = batch.select(["page_id", "_digest", "_host", "_path"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *extra], schema=pa.schema([*kept.schema, *(TOLD.field(n) for n in FIELDS)]))
 
-def _packed(page: list[markup.Line]) -> list[dict]:
-    return [{"text": x.text, "rank": x.rank, "inside": list(x.inside)} for x in page]
+    schema = StructType([*(pages.schema[c] for c in ("page_id", "_digest", "_host", "_path")), *StructType.fromDDL(OUTLINE).fields])
+    return pages.filter("_host <> ''").mapInArrow(run, schema)
 
 
-def _unpacked(lines: list[dict]) -> list[markup.Line]:
-    return [markup.Line(x["text"], x["rank"], tuple(x["inside"])) for x in lines]
+def _difference(dealt: DataFrame) -> DataFrame:
+    """Lines dropped by the neighbours within the task, where there are any.
 
+    The first page of a task (place 1) and the last (2; 3 if it is both) come with their outlines
+    instead, as they have a neighbour elsewhere.
+    """
+    schema = StructType([dealt.schema["page_id"], dealt.schema["_digest"], *StructType.fromDDL(f"_task int, _place int, _host string, _dropped array<int>, _shared array<int>, {OUTLINE}").fields])
 
-def _difference(pages: DataFrame, names: list[str]) -> DataFrame:
-    """Texts of sorted pages by their neighbours within the task; the first (place 1) and last (2, or 3 if both) keep their lines."""
-    schema = StructType([*(pages.schema[c] for c in names), *StructType.fromDDL(ADDED).fields])
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        held: tuple | None = None  # the last page: its row, host, lines, lines shared so far, place
+        held: list | None = None  # key, host, outline, lines shared so far, place
+        keys = None
 
-        def told(row: pa.RecordBatch, host: str | None, page: list, shared: set[int], place: int) -> tuple:
-            # A page at the end of a task is told again with its neighbour there; it waits as lines.
-            return row, (None if place and host else main_text(page, shared), host, task, place, _packed(page) if place and host else None, sorted(shared) if place and host else None)
-
-        def batch_of(done: list[tuple]) -> pa.RecordBatch:
-            rows = pa.Table.from_batches([r for r, _ in done]).combine_chunks()
-            extra = [pa.array(c, f.type) for c, f in zip(zip(*(x for _, x in done), strict=True), KINDS, strict=True)]
-            return pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns), *extra], schema=pa.schema([*rows.schema, *KINDS]))
+        def told(key: dict, host: str, page: Outline, shared: set[int], place: int) -> dict | None:
+            if place:
+                return {**key, "_task": task, "_place": place, "_host": host, "_dropped": None, "_shared": sorted(shared), **vars(page)}
+            gone = page.dropped(shared) if shared else []
+            return {**key, "_task": task, "_place": 0, "_host": None, "_dropped": gone, "_shared": None, **dict.fromkeys(FIELDS)} if gone else None
 
         for batch in batches:
-            htmls, hosts = batch.column(batch.schema.get_field_index("_html")), batch.column(batch.schema.get_field_index("_host")).to_pylist()
-            kept, done = batch.select(names), []
-            for k, host in enumerate(hosts):
-                page, mine = markup.lines(htmls[k].as_py()), set()
-                if held and host and held[1] == host:
+            keys = batch.select(["page_id", "_digest"])
+            done = []
+            for key, r in zip(keys.to_pylist(), batch.select(["_host", *FIELDS]).to_pylist(), strict=True):
+                host, page, mine = r.pop("_host"), Outline(**r), set()
+                if held and held[1] == host:
                     theirs, mine = shared_lines(held[2], page)
                     held[3].update(theirs)
                 if held:
                     done.append(told(*held))
-                held = (kept.slice(k, 1), host, page, mine, 0 if held else 1)
-            if done:
-                yield batch_of(done)
+                held = [key, host, page, mine, 0 if held else 1]
+            rows = [x for x in done if x]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*keys.schema, *TOLD]))
         if held:
-            yield batch_of([told(*held[:4], held[4] | 2)])
+            yield pa.RecordBatch.from_pylist([told(*held[:4], held[4] | 2)], schema=pa.schema([*keys.schema, *TOLD]))
 
-    return pages.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
-def _meet(ends: DataFrame, names: list[str]) -> DataFrame:
-    """Texts of the first and last pages of tasks, differenced with their neighbours of the task before and after."""
-    # One number a task: the order of those that hold pages with a host.
+def _meet(ends: DataFrame) -> DataFrame:
+    """Lines dropped from the first and last pages of tasks, differenced with their neighbours of the task before and after."""
+    # One number a task.
     tasks = ends.select("_task").distinct()
     order = tasks.withColumn("_before", F.lag("_task").over(Window.orderBy("_task"))).withColumn("_next", F.lead("_task").over(Window.orderBy("_task")))
-    ends = ends.withColumn("_id", F.concat_ws("/", "_task", "_place"))
     # Both sides of a seam get the number of the task before it; a page that is all of its task has two seams.
     left, right = F.when(F.col("_place") != 2, F.col("_before")), F.when((F.col("_place") != 1) & F.col("_next").isNotNull(), F.col("_task"))
     seams = ends.join(order, "_task").withColumn("_seam", F.explode(F.array_compact(F.array(left, right))))
-    own = pa.schema([("_id", pa.string()), ("_more", pa.list_(pa.int32()))])
+    own = pa.schema([("_task", pa.int32()), ("_place", pa.int32()), ("_more", pa.list_(pa.int32()))])
 
     def pair(rows: pa.Table) -> pa.Table:
         sides = sorted(rows.to_pylist(), key=lambda r: r["_task"])
-        found = shared_lines(*(_unpacked(r["_lines"]) for r in sides)) if len(sides) == 2 and sides[0]["_host"] == sides[1]["_host"] else [()] * len(sides)
-        return pa.table([pa.array([r["_id"] for r in sides], pa.string()), pa.array([sorted(x) for x in found], own.field("_more").type)], schema=own)
+        met = len(sides) == 2 and sides[0]["_host"] == sides[1]["_host"]
+        found = shared_lines(*(Outline(*(r[f] for f in FIELDS)) for r in sides)) if met else [()] * len(sides)
+        return pa.Table.from_pylist([{"_task": r["_task"], "_place": r["_place"], "_more": sorted(x)} for r, x in zip(sides, found, strict=True)], schema=own)
 
-    found = seams.select("_id", "_seam", "_task", "_host", "_lines").groupBy("_seam").applyInArrow(pair, "_id string, _more array<int>")
-    told = ends.join(found.groupBy("_id").agg(F.flatten(F.collect_list("_more")).alias("_more")), "_id", "left")
+    found = seams.select("_seam", "_task", "_place", "_host", *FIELDS).groupBy("_seam").applyInArrow(pair, "_task int, _place int, _more array<int>")
+    known = ends.join(found.groupBy("_task", "_place").agg(F.flatten(F.collect_list("_more")).alias("_more")), ["_task", "_place"], "left")
+    schema = StructType([ends.schema["page_id"], ends.schema["_digest"], ends.schema["_dropped"]])
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.select(["_lines", "_shared", "_more"]).to_pylist()
-            texts = [main_text(_unpacked(r["_lines"]), {*r["_shared"], *(r["_more"] or ())}) for r in rows]
-            kept = batch.select(names)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(texts, pa.string())], schema=pa.schema([*kept.schema, ("_text", pa.string())]))
-
-    schema = StructType([*(ends.schema[c] for c in names), *StructType.fromDDL("_text string").fields])
-    return told.select(*names, "_lines", "_shared", "_more").mapInArrow(final, schema)
+            keys = batch.select(["page_id", "_digest"])
+            gone = [Outline(*(r[f] for f in FIELDS)).dropped({*r["_shared"], *(r["_more"] or ())}) for r in batch.select([*FIELDS, "_shared", "_more"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(gone, pa.list_(pa.int32()))], schema=pa.schema([*keys.schema, TOLD.field("_dropped")]))
+
+    return known.select("page_id", "_digest", *FIELDS, "_shared", "_more").mapInArrow(final, schema).filter(F.size("_dropped") > 0)
+
+
+def template_lines(pages: DataFrame) -> DataFrame:
+    """Of the pages (page_id, _digest, _host, _path, _html) that lose lines, the numbers of these."""
+    scratch = Scratch(pages.sparkSession)
+    outlines = scratch.table(_outlines(pages)).withColumn("_tie", F.monotonically_increasing_id())
+    dealt = outlines.repartitionByRange("_host", "_path", "page_id", "_digest", "_tie").sortWithinPartitions("_host", "_path", "page_id", "_digest", "_tie")
+    told = scratch.table(_difference(dealt))
+    waits = F.col("hashes").isNotNull()
+    gone = told.filter(~waits).select("page_id", "_digest", "_dropped").union(_meet(told.filter(waits)))
+    out = materialise(gone.groupBy("page_id", "_digest").agg(F.array_distinct(F.flatten(F.collect_list("_dropped"))).alias("_dropped")))
+    scratch.drop()
+    return out
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """page_id, url, the columns of ``keep``, the main text and its number of characters."""
     names = ["page_id", "url", *keep]
     address = r"^\s*[A-Za-z][A-Za-z0-9+.-]*:/{2}(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
-    dealt = pages.select(
-        *names, F.col("html").alias("_html"), F.lower(F.regexp_extract("url", address, 1)).alias("_host"), F.regexp_extract("url", address, 2).alias("_path"), F.monotonically_increasing_id().alias("_tie")
-    )
-    dealt = dealt.repartitionByRange("_host", "_path", "page_id", "_tie").sortWithinPartitions("_host", "_path", "page_id", F.xxhash64("_html"), "_tie")
-    told = materialise(_difference(dealt, names))
-    waits = F.col("_lines").isNotNull()
-    text = told.filter(~waits).select(*names, "_text").union(_meet(told.filter(waits), names))
+    known = pages.select(*names, F.col("html").alias("_html"), F.xxhash64("url", "html").alias("_digest"))
+    gone = template_lines(known.withColumn("_host", F.lower(F.regexp_extract("url", address, 1))).withColumn("_path", F.regexp_extract("url", address, 2)))
+    gone = small(gone.withColumnRenamed("page_id", "_page").withColumnRenamed("_digest", "_key"), gone.count(), BROADCAST_ROWS)
+    told = known.join(gone, known["page_id"].eqNullSafe(gone["_page"]) & (known["_digest"] == gone["_key"]), "left")
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(markup.lines(r["_html"]), set(r["_dropped"] or ())) for r in batch.select(["_html", "_dropped"]).to_pylist()]
+            kept = batch.select(names)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(texts, pa.string())], schema=pa.schema([*kept.schema, ("_text", pa.string())]))
+
+    schema = StructType([*(known.schema[c] for c in names), *StructType.fromDDL("_text string").fields])
+    text = told.select(*names, "_html", "_dropped").mapInArrow(run, schema)
     return text.withColumn("n_chars", F.length("_text").cast("long")).withColumnRenamed("_text", "text")
