@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import rounded
@@ -10,7 +12,8 @@ from tidemark.plans.decision import _HEAD, evidence
 from tidemark.plans.registry import query
 from tidemark.plans.technical import r6
 from tidemark.sources import shared
-from tidemark.sources.market import INDEXED_SQL, indexed
+from tidemark.sources.commits import CommittedTable
+from tidemark.sources.market import INDEXED_SQL, indexed, table
 
 _LOG = _HEAD + ", lg as (select symbol, date as as_of, i, fwd, arm, case when arm='A' then case when mom>0 then 'up' else 'down' end else 'up' end as direction, substr(sha256(strftime(date,'%Y-%m-%d')||'|'||symbol||'|'||arm||'|5'),1,16) as decision_id from ev cross join (select unnest(['A','B']) as arm))"
 
@@ -37,6 +40,55 @@ def snk_01_append(spark, sf_dir):
     return store.read().groupBy("arm").agg(F.count("*").alias("rows"), F.count_distinct("decision_id").alias("ids"))
 
 
+@query("snk_01_committed_log", _LOG + " select arm, count(*) as rows, count(distinct decision_id) as ids from lg group by arm")
+def snk_01_committed_log(spark, sf_dir):
+    """The log as a committed table: three overlapping appends, each a version; what is held stays."""
+    p = shared.stored(predictions(spark, sf_dir))
+    log_table = CommittedTable(spark, shared.folder(spark), p.schema, ["decision_id"])
+    for part in (p.filter("i < 700"), p.filter("i >= 600"), p):
+        log_table.upsert(part, ["as_of"], update=False)
+    return log_table.read().groupBy("arm").agg(F.count("*").alias("rows"), F.count_distinct("decision_id").alias("ids"))
+
+
+def _order_writes(spark, sf_dir):
+    """Writes of a customer's newest order, in three parts by year."""
+    year = F.year("o_orderdate")
+    return shared.stored(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("string").alias("day"), F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("total"), F.when(year < 1996, 0).when(year < 1998, 1).otherwise(2).alias("part")))
+
+
+def _written(spark, sf_dir, update):
+    writes = _order_writes(spark, sf_dir)
+    held = CommittedTable(spark, shared.folder(spark), writes.drop("part").schema, ["user_id"], buckets=8)
+    for part in range(3):
+        held.upsert(writes.filter(F.col("part") == part), ["day", "order_id"], update)
+    return held
+
+
+_PICKED = "select user_id, max(case when place = 1 then order_id end) as order_id, max(case when place = 1 then total end) as total from (select o_custkey as user_id, o_orderkey as order_id, o_totalprice as total, row_number() over (partition by o_custkey order by o_orderdate {way}, o_orderkey {way}) as place from orders) group by user_id"
+
+
+@query("snk_06_do_update", _PICKED.format(way="desc"))
+def snk_06_do_update(spark, sf_dir):
+    """Three upserts into a committed table: the newest order of each customer stays."""
+    return _written(spark, sf_dir, True).read().select("user_id", "order_id", "total")
+
+
+@query("snk_06_do_nothing", _PICKED.format(way="asc"))
+def snk_06_do_nothing(spark, sf_dir):
+    """The same writes where a held key is left alone: the oldest order stays."""
+    return _written(spark, sf_dir, False).read().select("user_id", "order_id", "total")
+
+
+@query("snk_06_versions", f"""with w as (select o_custkey, o_orderdate, o_orderkey, o_totalprice, case when year(o_orderdate) < 1996 then 1 when year(o_orderdate) < 1998 then 2 else 3 end as part from orders),
+v as (select version, o_custkey, o_totalprice, row_number() over (partition by version, o_custkey order by o_orderdate desc, o_orderkey desc) as place from w join (select unnest([1, 2, 3]) as version) on part <= version)
+select version, count(*) as rows, floor(sum(o_totalprice)*100+0.5)/100 as total from v where place = 1 group by version""")
+def snk_06_versions(spark, sf_dir):
+    """Every version of the table can be read back."""
+    held = _written(spark, sf_dir, True)
+    parts = [held.read(v).agg(F.lit(v).alias("version"), F.count("*").alias("rows"), rounded(F.sum("total"), 2).alias("total")) for v in held.versions()]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
 @query("snk_09_resume", f"with {INDEXED_SQL} select symbol, count(*) as bars, {r6('sum(ret)')} as total from ix group by symbol")
 def snk_09_resume(spark, sf_dir):
     """A run that stopped after some symbols goes on with the others; the result is that of one run."""

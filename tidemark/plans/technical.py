@@ -110,10 +110,10 @@ def win_08_rsi_returns(spark, sf_dir):
 
 @query(
     "win_09_macd",
-    f"""with recursive {INDEXED_SQL}, seeds as (select symbol, avg(close) filter (i<12) as s12, avg(close) filter (i<26) as s26 from ix group by symbol having count(*)>=40),
-    f12 as (select symbol, cast(11 as bigint) as i, s12 as v from seeds union all select x.symbol, x.i, x.close*(2.0/13)+f12.v*(1-2.0/13) from f12 join ix x on x.symbol=f12.symbol and x.i=f12.i+1),
-    f26 as (select symbol, cast(25 as bigint) as i, s26 as v from seeds union all select x.symbol, x.i, x.close*(2.0/27)+f26.v*(1-2.0/27) from f26 join ix x on x.symbol=f26.symbol and x.i=f26.i+1),
-    lines as (select x.symbol, x.i, f12.v as f, f26.v as s, coalesce(f12.v-f26.v, 0) as line from ix x left join f12 using (symbol, i) left join f26 using (symbol, i)),
+    f"""with recursive {INDEXED_SQL}, im as materialized (select symbol, i, close from ix), seeds as (select symbol, avg(close) filter (i<12) as s12, avg(close) filter (i<26) as s26 from im group by symbol having count(*)>=40),
+    f12 as (select symbol, cast(11 as bigint) as i, s12 as v from seeds union all select x.symbol, x.i, x.close*(2.0/13)+f12.v*(1-2.0/13) from f12 join im x on x.symbol=f12.symbol and x.i=f12.i+1),
+    f26 as (select symbol, cast(25 as bigint) as i, s26 as v from seeds union all select x.symbol, x.i, x.close*(2.0/27)+f26.v*(1-2.0/27) from f26 join im x on x.symbol=f26.symbol and x.i=f26.i+1),
+    lines as materialized (select x.symbol, x.i, f12.v as f, f26.v as s, coalesce(f12.v-f26.v, 0) as line from im x left join f12 using (symbol, i) left join f26 using (symbol, i)),
     e as (select symbol, cast(0 as bigint) as i, cast(null as double) as f, cast(null as double) as s, cast(0 as double) as acc, cast(null as double) as sig from seeds
       union all
       select b.symbol, b.i, b.f, b.s, case when b.i<9 then e.acc+b.line else e.acc end,

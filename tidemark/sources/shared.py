@@ -22,6 +22,13 @@ def folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written below the shared folder and read again."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """An append-only table of Parquet files whose keys are written once."""
 
