@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.distributions import binomial_two_sided, binomial_two_sided_sql, correlation_p, t_two_sided, t_two_sided_sql
 from tidemark.functions.numeric import clip, rounded, wilson
 from tidemark.operators import performance as perf
+from tidemark.operators import significance as sig
 from tidemark.operators import technical as ta
 from tidemark.plans.registry import query
 from tidemark.plans.technical import WIN, lag, over, r6
 from tidemark.sources import market as m
+from tidemark.sources import shared
 from tidemark.sources.market import by_date, INDEXED_SQL, MARKET_SQL, last
 
 _RET = INDEXED_SQL + ", rt as (select symbol, date, i, n, close, ret from ix where ret is not null)"
@@ -288,18 +293,72 @@ def sta_03_newey_west(spark, sf_dir):
     return x.groupBy("symbol").agg(rounded(total, 10).alias("lrv"))
 
 
+_SPANS = (1, 5, 21)
+_BY_SPAN = "hz as (select symbol, date, " + lag(0) + "/" + lag(20) + "-1 as score, unnest([1, 5, 21]) as h, unnest([" + ", ".join(f"lead(close, {h}) over w/close-1" for h in _SPANS) + "]) as fwd from ix" + WIN + "), hp as (select * from hz where score is not null and fwd is not null)"
+
+
+def dm_sql(loss_a: str, loss_b: str) -> str:
+    """Lagged products by a join of row numbers."""
+    return f"""with {INDEXED_SQL}, {_BY_SPAN},
+l as materialized (select symbol, h, row_number() over (partition by symbol, h order by date) as i, {loss_a} as a, {loss_b} as b from hp),
+m as (select symbol, h, count(*) as n, avg(a) as ma, avg(b) as mb from l group by 1, 2),
+c as materialized (select symbol, h, i, a-b-(ma-mb) as c from l join m using (symbol, h)),
+v as (select x.symbol, x.h, sum(case when x.i=y.i then x.c*y.c else 2*(1-(x.i-y.i)/x.h)*x.c*y.c end) as total from c x join c y on x.symbol=y.symbol and x.h=y.h and y.i between x.i-x.h+1 and x.i group by 1, 2),
+t as (select symbol, h, n, ma, mb, (ma-mb)/sqrt(greatest(total/n, 1e-18)/n)*sqrt(greatest((n+1-2*h+h*(h-1)/n)/n, 1e-12)) as dm from m join v using (symbol, h) where n>=3)
+select symbol, h, n, {r6('ma')} as mean_a, {r6('mb')} as mean_b, {r6('dm')} as dm, {r6(t_two_sided_sql('dm', '(n-1)'))} as p_value from t"""
+
+
+def _spans(spark, sf_dir):
+    """symbol, date, score, h and the return of the h bars after."""
+    x = m.indexed(spark, sf_dir).withColumn("score", ta.momentum(20))
+    x = x.select("symbol", "date", "i", "score", *(ta.forward_return(h).alias(f"f{h}") for h in _SPANS))
+    ahead = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"f{h}").alias("fwd")) for h in _SPANS)))
+    return x.select("symbol", "date", "i", "score", ahead.alias("x")).select("symbol", "date", "i", "score", "x.h", "x.fwd").filter("score is not null and fwd is not null")
+
+
+def _compared(x, losses):
+    parts = [sig.diebold_mariano(x.filter(F.col("h") == h), ["symbol", "h"], ["date"], *losses, horizon=h).filter("n >= 3") for h in _SPANS]
+    return reduce(lambda a, b: a.union(b), parts).select("symbol", "h", "n", *(rounded(F.col(c)).alias(c) for c in ("mean_a", "mean_b", "dm", "p_value")))
+
+
+@query("sta_04_diebold_mariano", dm_sql("(score-fwd)*(score-fwd)", "fwd*fwd"))
+def sta_04_diebold_mariano(spark, sf_dir):
+    """Squared errors of the score against those of predicting 0, at three horizons."""
+    err = F.col("score") - F.col("fwd")
+    return _compared(shared.stored(_spans(spark, sf_dir)), (err * err, F.col("fwd") * F.col("fwd")))
+
+
+@query("sta_04_directional", dm_sql("case when sign(score)=sign(fwd) then 0.0 else 1.0 end", "case when fwd>0 then 0.0 else 1.0 end"))
+def sta_04_directional(spark, sf_dir):
+    """Wrong directions of the score against those of always saying up."""
+    return _compared(shared.stored(_spans(spark, sf_dir)), sig.direction_losses(F.col("score"), F.col("fwd")))
+
+
 @query(
-    "sta_04_diebold_mariano",
-    f"with {INDEXED_SQL}, {_PRED}, ls as (select symbol, date, (score-fwd)*(score-fwd)-fwd*fwd as d from pp), l as (select symbol, d-avg(d) over (partition by symbol) as c, avg(d) over (partition by symbol) as a, date from ls), g as (select symbol, c, a, lag(c) over w as c1 from l{WIN}) select symbol, count(*) as n, {r6('max(a)/sqrt((sum(c*c)/count(*)+2*0.5*sum(c*c1)/count(*))/count(*))')} as dm from g group by symbol having count(*)>10",
+    "agg_25_skill_p_values",
+    f"""with {INDEXED_SQL}, hz as (select symbol, i, {lag(0)}/{lag(20)}-1 as score, unnest([1, 5, 21]) as h, unnest([{", ".join(f"lead(close, {h}) over w/close-1" for h in _SPANS)}]) as fwd from ix{WIN}),
+s as materialized (select * from (select *, unnest([true, false]) as every from hz where score is not null and fwd is not null) where every or i%h=0),
+rk as (select *, rank() over (partition by h, every order by score)+(count(*) over (partition by h, every, score)-1)/2.0 as rs, rank() over (partition by h, every order by fwd)+(count(*) over (partition by h, every, fwd)-1)/2.0 as rf from s),
+g as (select h, every, count(*) as n, count(*) filter (sign(score)=sign(fwd)) as hits, corr(score, fwd) as pearson, corr(rs, rf) as spearman, corr(score, fwd)*sqrt((count(*)-2)/(1-power(corr(score, fwd), 2))) as tp, corr(rs, rf)*sqrt((count(*)-2)/(1-power(corr(rs, rf), 2))) as ts from rk group by 1, 2),
+b as (select h, every, count(*) filter (acc>0.5) as symbols_above from (select h, every, symbol, avg(case when sign(score)=sign(fwd) then 1.0 else 0.0 end) as acc from s group by 1, 2, 3) group by 1, 2)
+select h, every, n, hits, {r6('pearson')} as pearson, {r6(t_two_sided_sql('tp', '(n-2)'))} as pearson_p, {r6('spearman')} as spearman, {r6(t_two_sided_sql('ts', '(n-2)'))} as spearman_p, {r6(binomial_two_sided_sql('hits', 'n'))} as binomial_p, symbols_above from g join b using (h, every)""",
 )
-def sta_04_diebold_mariano(spark, sf_dir):
-    """Squared-error loss of the score against that of predicting 0."""
-    x = _predictions(spark, sf_dir)
-    loss = (F.col("score") - F.col("fwd")) * (F.col("score") - F.col("fwd")) - F.col("fwd") * F.col("fwd")
-    x = x.withColumn("d", loss).withColumn("a", F.avg("d").over(ta.all_bars())).withColumn("c", F.col("d") - F.col("a")).withColumn("c1", F.lag("c").over(by_date()))
-    n = F.count("*")
-    var = (F.sum(F.col("c") * F.col("c")) / n + F.sum(F.col("c") * F.col("c1")) / n) / n
-    return x.groupBy("symbol").agg(n.alias("n"), rounded(F.max("a") / F.sqrt(var)).alias("dm")).filter("n > 10")
+def agg_25_skill_p_values(spark, sf_dir):
+    """Exact binomial and correlation p-values of the score at three horizons, over all bars and those h apart; one scan of the bars."""
+    x = shared.stored(_spans(spark, sf_dir))
+    both = F.when(F.col("i") % F.col("h") == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    by = ["h", "every"]
+    hit = F.when(F.signum("score") == F.signum("fwd"), 1).otherwise(0)
+    # Counts and the plain correlation need no ranks.
+    s = x.withColumn("every", F.explode(both)).withColumn("hit", hit)
+    ranked = sig.with_average_rank(sig.with_average_rank(s, by, "score", "rs"), by, "fwd", "rf")
+    per = ranked.groupBy(*by, "symbol").agg(F.count("*").alias("c"), F.sum("hit").alias("k"))
+    above = per.groupBy(*by).agg(F.count_if(2 * F.col("k") > F.col("c")).alias("symbols_above"))
+    g = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.corr("score", "fwd").alias("pearson"), F.corr("rs", "rf").alias("spearman")).join(F.broadcast(above), by)
+    # Names of their own: a new column of an old name would be taken within the lambdas of the tails.
+    p = {"pearson_p": correlation_p(F.col("pearson"), F.col("n")), "spearman_p": correlation_p(F.col("spearman"), F.col("n")), "binomial_p": binomial_two_sided(F.col("hits"), F.col("n"))}
+    told = g.select("*", *(v.alias(k) for k, v in p.items()))
+    return told.select(*by, "n", "hits", *(rounded(F.col(c)).alias(c) for c in ("pearson", "pearson_p", "spearman", "spearman_p", "binomial_p")), "symbols_above")
 
 
 @query("sta_06_power", f"with {INDEXED_SQL}, {MARKET_SQL}, j as (select symbol, ret, mret from ix join market using (date) where ret is not null), p as (select symbol, corr(ret,mret) as rho, avg(mret)/stddev_pop(mret) as sb, count(*) as n from j group by symbol) select symbol, {r6('rho')} as rho, cast(ceil(power(1.959964+0.841621,2)*(2-2*rho+0.5*((0.3/sqrt(252.0)+sb)*(0.3/sqrt(252.0)+sb)+sb*sb-2*(0.3/sqrt(252.0)+sb)*sb*rho*rho))/power(0.3/sqrt(252.0),2)) as bigint) as days_needed from p")
@@ -327,6 +386,25 @@ def sta_09_paired_t(spark, sf_dir):
     return x.filter("t is not null")
 
 
+@query(
+    "sta_09_tests",
+    f"""with {INDEXED_SQL}, {_STRAT}, g as (select symbol, count(*) as n, avg(r-nxt)/nullif(stddev_samp(r-nxt), 0)*sqrt(count(*)) as tp, avg(nxt)/nullif(stddev_samp(nxt), 0)*sqrt(count(*)) as t1, count(*) filter (nxt>0) as ups,
+  avg(nxt) filter (segment='tune') as ma, avg(nxt) filter (segment='holdout') as mb, var_samp(nxt) filter (segment='tune')/count(*) filter (segment='tune') as va, var_samp(nxt) filter (segment='holdout')/count(*) filter (segment='holdout') as vb,
+  count(*) filter (segment='tune') as na, count(*) filter (segment='holdout') as nb from sg group by symbol),
+w as (select *, (ma-mb)/sqrt(va+vb) as tw, power(va+vb, 2)/(va*va/(na-1)+vb*vb/(nb-1)) as dw from g)
+select symbol, n, {r6('tp')} as paired_t, {r6(t_two_sided_sql('tp', '(n-1)'))} as paired_p, {r6('t1')} as mean_t, {r6(t_two_sided_sql('t1', '(n-1)'))} as mean_p, {r6('tw')} as welch_t, {r6('dw')} as welch_df, {r6(t_two_sided_sql('tw', 'dw'))} as welch_p, ups, {r6(binomial_two_sided_sql('ups', 'n'))} as binomial_p from w""",
+)
+def sta_09_tests(spark, sf_dir):
+    """Of each symbol: strategy against holding (paired), mean return against 0, tuning against holdout bars (Welch), rises against a coin."""
+    x = _strategy(spark, sf_dir).select("symbol", (F.col("r") - F.col("nxt")).alias("d"), "nxt", F.when(F.col("segment") == "tune", F.col("nxt")).alias("a"), F.when(F.col("segment") != "tune", F.col("nxt")).alias("b"))
+    (tp, dp), (t1, d1), (tw, dw) = sig.one_sample("d"), sig.one_sample("nxt"), sig.welch("a", "b")
+    g = x.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("nxt") > 0).alias("ups"), *(c.alias(name) for name, c in (("tp", tp), ("dp", dp), ("t1", t1), ("d1", d1), ("tw", tw), ("dw", dw))))
+    p = {name: rounded(t_two_sided(F.col(t), F.col(d))).alias(name) for name, t, d in (("paired_p", "tp", "dp"), ("mean_p", "t1", "d1"), ("welch_p", "tw", "dw"))}
+    return g.select(
+        "symbol", "n", rounded(F.col("tp")).alias("paired_t"), p["paired_p"], rounded(F.col("t1")).alias("mean_t"), p["mean_p"], rounded(F.col("tw")).alias("welch_t"), rounded(F.col("dw")).alias("welch_df"),
+        p["welch_p"], "ups", rounded(binomial_two_sided(F.col("ups"), F.col("n"))).alias("binomial_p"))
+
+
 @query("dec_07_sizing_arms", f"with {INDEXED_SQL}, {_STRAT}, arms as (select unnest(['full','fixed10','always_in']) as arm), z as (select symbol, arm, case arm when 'full' then e*nxt when 'fixed10' then 0.1*e*nxt else nxt end as x from sg cross join arms) select symbol, arm, {r6('(exp(sum(ln(1+x)))-1)*100')} as total_pct from z group by 1, 2")
 def dec_07_sizing_arms(spark, sf_dir):
     """All arms on the same windows; always-in equals buy and hold."""
