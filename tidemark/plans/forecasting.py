@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import forecast as fc
+from tidemark.functions import garch
 from tidemark.functions.numeric import clip, rounded
 from tidemark.operators import technical as ta
 from tidemark.plans.registry import query
@@ -265,6 +266,33 @@ def win_33_garch_fallback(spark, sf_dir):
     return x.filter("i >= 501 and (i - 501) % 21 = 0 and i < n - 21").select("symbol", "i", rounded(F.col("v"), 10).alias("variance"))
 
 
+_VARIANCES = "symbol string, i long, garch double, rw double, mean double, ewma double, realised double, alpha double, beta double, converged boolean"
+
+
+def variances(spark, sf_dir):
+    """Forecasts of each symbol's next 21 bars at the points of the grid; the calendar bounds a symbol's rows."""
+    # Few rows and much work: a number of partitions of their own keeps symbols from being put into one task.
+    x = m.indexed(spark, sf_dir).select("symbol", "i", "ret").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "symbol")
+    return x.groupBy("symbol").applyInPandas(lambda g: garch.garch_forecasts(g), _VARIANCES)
+
+
+@query("win_33_garch")
+def win_33_garch(spark, sf_dir):
+    """GARCH(1,1) by maximum likelihood at each point of the grid; the last 21 returns' variance where it does not converge."""
+    return variances(spark, sf_dir).select("symbol", "i", *[rounded(F.col(c), 8).alias(c) for c in ("garch", "rw", "realised")], *[rounded(F.col(c), 3).alias(c) for c in ("alpha", "beta")], "converged")
+
+
+@query("agg_29_volatility_models")
+def agg_29_volatility_models(spark, sf_dir):
+    """QLIKE and squared error of five variance forecasts on the same points, pooled over symbols; best first by QLIKE."""
+    har = m.indexed(spark, sf_dir).select("symbol", "i", "ret").groupBy("symbol").applyInPandas(lambda g: fc.har_forecasts(g), "symbol string, i long, har double, rw double, realised double")
+    both = variances(spark, sf_dir).join(har.select("symbol", "i", "har"), ["symbol", "i"]).filter("realised > 0")
+    models = F.explode(F.array(*(F.struct(F.lit(c).alias("model"), F.greatest(F.col(c), F.lit(1e-12)).alias("f")) for c in ("rw", "mean", "ewma", "har", "garch"))))
+    x = both.select("symbol", "i", "realised", models.alias("x")).select("symbol", "realised", "x.model", "x.f")
+    error = F.col("f") - F.col("realised")
+    return x.groupBy("model").agg(F.count("*").alias("n"), rounded(F.avg(F.log("f") + F.col("realised") / F.col("f"))).alias("qlike"), rounded(F.avg(error * error) * 1e8).alias("mse_e8"), rounded(F.corr("f", "realised"), 4).alias("r")).orderBy("qlike")
+
+
 @query("mdl_07_boosting")
 def mdl_07_boosting(spark, sf_dir):
     """Boosted trees over all symbols, fitted on the rows before the last LAST of each; their accuracy on those."""

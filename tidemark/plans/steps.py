@@ -216,10 +216,6 @@ both("stm_02_morning_digest", "On weekdays, once per market and day, each user's
 w as (select distinct o_custkey as user_id, p_brand as symbol from {orders} join {lineitem} on o_orderkey=l_orderkey join {part} on l_partkey=p_partkey where l_returnflag='A'), q as (select symbol, k%3 as market, cast(floor(change_pct*100+0.5) as int) as cents from {quotes}),
 j as (select user_id, market, w.symbol, cents from w join q on w.symbol=q.symbol) select user_id, market, count(*) as movers, min(symbol || case when cents>=0 then ' +' else ' ' end || cast(cents as varchar(9))) as first_mover, cast(sum(case when cents>=0 then 1 else 0 end) as bigint) as up from j group by user_id, market""")
 both("snk_05_frozen_universe", "A universe is refused if the hash of its sorted symbols is not the one on record.", "u as (select grp, count(*) as symbols, %SHA%(%JOIN%) as hash from (select distinct p_type as grp, p_brand as symbol from {part}) t group by grp), r as (select grp, symbols, case when symbols%2=0 then hash else 'changed' end as recorded, hash from u) select grp, symbols, hash, hash<>recorded as refused from r")
-both("snk_04_manifest", "Of each file: rows, first and last day, flags, and the hash of its contents; new, changed and missing ones against the manifest on record.", """
-now as (select symbol, count(*) as rows, min(date) as first_day, max(date) as last_day, max(case when abs(ret)>0.05 then 1 else 0 end) as jumps, %SHA%(cast(count(*) as varchar(20)) || '|' || cast(min(date) as varchar(10)) || '|' || cast(max(date) as varchar(10))) as hash from {ix} group by symbol),
-was as (select symbol, count(*) as rows, %SHA%(cast(count(*) as varchar(20)) || '|' || cast(min(date) as varchar(10)) || '|' || cast(max(date) as varchar(10))) as hash from {ix} where symbol<>'Brand#3' and not (symbol='Brand#5' and i=n-1) group by symbol union all select 'Brand#99', 1, 'x')
-select coalesce(n.symbol, w.symbol) as symbol, coalesce(n.rows, 0) as rows, n.first_day, n.last_day, coalesce(n.jumps, 0) as jumps, n.hash, case when w.symbol is null then 'new' when n.symbol is null then 'missing' when n.hash<>w.hash then 'mismatch' else 'ok' end as status from now n full outer join was w on n.symbol=w.symbol""")
 both("snk_06_upsert", "The newest write of a key wins; with do-nothing the first stays.", "wr as (select o_custkey as k, o_orderkey as v, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as newest, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as oldest from {orders}) select k, max(case when newest=1 then v end) as do_update, max(case when oldest=1 then v end) as do_nothing from wr group by k")
 both("src_13_ranked_sources", "Quotes of a country come from its best source; a cache counts only if it holds the country's own symbols.", """
 s as (select p_brand as symbol, p_size%4 as country, p_size%3 as source_rank, p_retailprice as price, p_partkey from {part}), ok as (select country, source_rank from s group by 1, 2 having count(distinct symbol)>=20), b as (select country, min(source_rank) as best from ok group by country)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import rounded
-from tidemark.operators import log
+from tidemark.operators import log, manifest
 from tidemark.plans.decision import _HEAD, evidence
 from tidemark.plans.registry import query
 from tidemark.plans.technical import r6
@@ -40,6 +40,28 @@ def snk_01_append(spark, sf_dir):
     return store.read().groupBy("arm").agg(F.count("*").alias("rows"), F.count_distinct("decision_id").alias("ids"))
 
 
+_DIGESTS = """{name} as (select symbol, count(*) as rows, min(date) as first_day, max(date) as last_day, count(*) filter (abs(ret) > 0.05) as jumps,
+  sha256(count(*) || '|' || sum(cast('0x' || substr(h, 1, 15) as bigint)) || '|' || sum(cast('0x' || substr(h, 17, 15) as bigint))) as digest
+  from (select symbol, date, ret, sha256(strftime(date, '%Y-%m-%d') || '|' || cast(floor(close*100+0.5) as bigint) || '|' || cast(floor(volume+0.5) as bigint)) as h from {rows}) group by symbol)"""
+
+
+@query("snk_04_manifest", f"""with {INDEXED_SQL}, old as (select symbol, date, ret, case when symbol='Brand#5' and i=n-1 then close+0.01 else close end as close, volume from ix where symbol<>'Brand#3' union all select 'Brand#99', date, ret, close, volume from ix where symbol='Brand#7'),
+{_DIGESTS.format(name='now', rows='ix')}, {_DIGESTS.format(name='was', rows='old')}
+select coalesce(n.symbol, w.symbol) as symbol, n.rows, n.first_day, n.last_day, n.jumps, n.digest, case when w.symbol is null then 'new' when n.symbol is null then 'missing' when n.digest<>w.digest then 'mismatch' else 'ok' end as status from now n full outer join was w on n.symbol=w.symbol""")
+def snk_04_manifest(spark, sf_dir):
+    """Of each symbol's bars: rows, first and last day, jumps and the digest of the contents, against a recorded manifest.
+
+    The record was taken before one symbol came, another went, and one close moved by a cent.
+    """
+    x = shared.stored(indexed(spark, sf_dir).select("symbol", "date", "i", "n", "ret", "close", "volume"))
+    content = [F.date_format("date", "yyyy-MM-dd"), F.floor(F.col("close") * 100 + 0.5), F.floor(F.col("volume") + 0.5)]
+    facts = {"first_day": F.min("date"), "last_day": F.max("date"), "jumps": F.count_if(F.abs("ret") > 0.05)}
+    moved = F.when((F.col("symbol") == "Brand#5") & (F.col("i") == F.col("n") - 1), F.col("close") + 0.01).otherwise(F.col("close"))
+    old = x.filter("symbol <> 'Brand#3'").withColumn("close", moved).union(x.filter("symbol = 'Brand#7'").withColumn("symbol", F.lit("Brand#99")))
+    now = manifest.digests(x, ["symbol"], content, facts)
+    return manifest.compared(now, manifest.digests(old, ["symbol"], content), "symbol").select("symbol", "rows", "first_day", "last_day", "jumps", "digest", "status")
+
+
 @query("snk_01_committed_log", _LOG + " select arm, count(*) as rows, count(distinct decision_id) as ids from lg group by arm")
 def snk_01_committed_log(spark, sf_dir):
     """The log as a committed table: three overlapping appends, each a version; what is held stays."""
