@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.waves import waves
 from tidemark.plans.decision import _EV, evidence
 from tidemark.plans.registry import query
 from tidemark.plans.technical import r6
@@ -231,14 +233,21 @@ def join_12_waves(spark, sf_dir):
     plans = table(spark, sf_dir, "conversations").select("conv_id").distinct()
     tasks = plans.select("conv_id", F.explode(F.array(*map(F.lit, range(1, 9)))).alias("task"))
     needs = tasks.select("conv_id", "task", F.explode(F.array_compact(F.array(*[F.when(F.col("task") > k - 1, F.floor(F.col("task") / k).cast("int")) for k in (2, 3)]))).alias("need"))
-    left, done, wave = needs, tasks.join(needs, ["conv_id", "task"], "left_anti").withColumn("wave", F.lit(0)), 0
-    while not left.isEmpty():
-        wave += 1
-        met = left.join(done.select("conv_id", F.col("task").alias("need"), F.lit(True).alias("met")), ["conv_id", "need"], "left")
-        ready = met.groupBy("conv_id", "task").agg(F.bool_and(F.coalesce("met", F.lit(False))).alias("ready")).filter("ready").select("conv_id", "task")
-        done = done.unionByName(ready.withColumn("wave", F.lit(wave)))
-        left = left.join(ready, ["conv_id", "task"], "left_anti")
-    return done
+    return waves(tasks, needs, ["conv_id"]).select("conv_id", "task", "wave")
+
+
+_SHIPMENTS = "x as (select l_partkey as part, year(l_shipdate) as yr, l_linenumber as task, l_quantity, lag(l_linenumber) over (partition by l_partkey, year(l_shipdate) order by l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) as need from lineitem)"
+
+
+@query("join_12_shipment_waves", f"""with recursive {_SHIPMENTS}, nd as materialized (select distinct part, yr, task from x where l_quantity>=5), e as materialized (select distinct part, yr, task, need from x where need is not null and need<>task and l_quantity>=5),
+p as (select nd.part, nd.yr, nd.task, 0 as depth, exists (select 1 from e left join nd m on m.part=e.part and m.yr=e.yr and m.task=e.need where m.task is null and e.part=nd.part and e.yr=nd.yr and e.task=nd.task) as bad from nd
+  union select e.part, e.yr, e.task, p.depth+1, p.bad from p join e on e.part=p.part and e.yr=p.yr and e.need=p.task where p.depth<8)
+select part, yr, task, case when max(depth)>=7 or bool_or(bad) then null else max(depth) end as wave, case when max(depth)>=7 or bool_or(bad) then 'error' else 'ok' end as status from p group by part, yr, task""")
+def join_12_shipment_waves(spark, sf_dir):
+    """Line numbers of a part's shipments in a year, each needing that of the shipment before; small shipments make no task, so needs may be missing, and cycles occur."""
+    w = Window.partitionBy("l_partkey", F.year("l_shipdate")).orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.year("l_shipdate").alias("yr"), F.col("l_linenumber").alias("task"), "l_quantity", F.lag("l_linenumber").over(w).alias("need")).filter("l_quantity >= 5")
+    return waves(x, x.filter("need <> task"), ["part", "yr"])
 
 
 both("udt_01_scenario_rows", "Each symbol's newest bar makes a row for each scenario and horizon.", f"l as (select symbol, close, sd from {{ev}} where i=n-1) select symbol, scenario, h, {r6('close*(1+k*sd*sqrt(h*1.0))')} as target from l cross join (values ('bull', 1.0), ('base', 0.0), ('bear', -1.0)) as s(scenario, k) cross join (values (1), (5), (21)) as t(h)")
