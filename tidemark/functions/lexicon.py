@@ -69,3 +69,19 @@ QUALITY = (("reuters", 1.2), ("bloomberg", 1.2), ("wall street journal", 1.16),
 
 #: Fixture lexicon for the invented prose of the test tables: token to weight.
 FIXTURE = {"ble": 2, "ing": 2, "er": 1, "en": 1, "ed": 1, "es": 1, "th": -1, "nd": -1, "ti": -1, "st": -1, "thre": -2, "ea": -2}
+
+# Words of sentiment and their weights; a word in two lists counts in both.
+STRONG_BUY_WORDS = (
+    "breakthrough exceptional outstanding record surge soar skyrocket explode dominate leadership momentum accelerate efficient strategic competitive_advantage market_leader innovation best-in-class"
+).split()
+BUY_WORDS = (
+    "beat gain growth bullish buy upgrade rally strong profit upside outperform opportunity potential upbeat thrive prosper success positive excellent improvement advance higher exceed efficient sustainable confidence conviction catalyst strength attract expansion robust"
+).split()
+HOLD_WORDS = "balanced mixed uncertain stability maintain steady neutral moderate cautious debate diverge".split()
+SELL_WORDS = (
+    "miss loss drop bearish sell downgrade decline weak risk lawsuit downside underperform challenge headwind concern uncertainty volatility pressure contraction slowdown weakness deteriorate failure negative poor bad slump turmoil shortage deficit distress"
+).split()
+STRONG_SELL_WORDS = "collapse crash plunge bankruptcy liquidation fraud scandal crisis recession depression catastrophic disaster devastating terrible awful horrible toxic poison deadly threatened".split()
+SENTIMENT = ((2, STRONG_BUY_WORDS), (1, BUY_WORDS), (-1, SELL_WORDS), (-2, STRONG_SELL_WORDS))
+#: Signs taken off both ends of a token.
+SIGNS = ".,!?;:\"'()[]{}$#@~"

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.lexicon import BEAR, BULL, FIXTURE
+from tidemark.functions.lexicon import BEAR, BULL, FIXTURE, SENTIMENT, SIGNS
 from tidemark.functions.numeric import rounded
+from tidemark.operators import sentiment
 from tidemark.plans.registry import query
 from tidemark.plans.technical import r6
 from tidemark.sources.market import table
@@ -129,3 +130,44 @@ def str_15_stable_key(spark, sf_dir):
 def agg_37_recency_polarity(spark, sf_dir):
     weight = F.pow(F.lit(0.5), (F.col("doc_id") % 240) / 72.0)
     return labelled(spark, sf_dir).groupBy("source").agg(rounded(F.sum(F.col("score") * weight) / F.sum(weight)).alias("polarity"))
+
+
+# --- Sentiment by the true lists, and by lists given as a parameter ----------
+def _quoted(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(words)) + "]"
+
+
+def _label_sql(table_name: str, columns: str, lists) -> str:
+    found = [f"len(list_intersect(tokens, {_quoted(words)}))" for _, words in lists]
+    total = " + ".join(f"{n}*({w}.0)" for n, (w, _) in zip(found, lists, strict=True))
+    return f"""tk as (select {columns}, list_distinct(list_transform(string_split_regex(coalesce(text, ''), '\\s+'), lambda t: lower(trim(t, '{SIGNS.replace("'", "''")}')))) as tokens from {table_name}),
+sc as (select {columns}, {" + ".join(found)} as hits, {total} as total from tk),
+lb as (select {columns}, cast(hits as int) as hits, case when hits>0 then total/hits else 0.0 end as score from sc),
+ll as (select *, case when score>=1.5 then 'STRONG_BUY' when score>=0.5 then 'BUY' when score>=-0.5 then 'HOLD' when score>=-1.5 then 'SELL' else 'STRONG_SELL' end as level from lb)"""
+
+
+#: The invented prose holds no word of the true lists, so the rules over many labels also run on lists of its own syllables.
+SYLLABLES = tuple((w, [k for k, v in FIXTURE.items() if v == w]) for w in (2, 1, -1, -2))
+
+
+@query("str_01_document_level", f"with {_label_sql('documents', 'doc_id', SENTIMENT)} select doc_id, hits, {r6('score')} as score, level from ll")
+def str_01_document_level(spark, sf_dir):
+    """Level of each whole document by the true lists."""
+    return sentiment.labelled(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "hits", rounded(F.col("score")).alias("score"), "level")
+
+
+@query("str_01_turn_level", f"with {_label_sql('conversations', 'conv_id, turn, role', SENTIMENT)} select conv_id, turn, role, hits, {r6('score')} as score, level from ll")
+def str_01_turn_level(spark, sf_dir):
+    """Level of each turn of a conversation by the true lists."""
+    return sentiment.labelled(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "hits", rounded(F.col("score")).alias("score"), "level")
+
+
+@query("agg_36_consensus", f"""with {_label_sql('documents', 'doc_id, source, n_chars', SYLLABLES)},
+w as (select source, level, greatest(least(n_chars/2000.0, 1.0), 0.05) as weight, case level when 'STRONG_BUY' then 2.0 when 'BUY' then 1.0 when 'HOLD' then 0.0 when 'SELL' then -1.0 else -2.0 end as value from ll),
+g as (select source, count(*) as n, count(*) filter (level='STRONG_BUY') as strong_buy, count(*) filter (level='BUY') as buy, count(*) filter (level='HOLD') as hold, count(*) filter (level='SELL') as sell, count(*) filter (level='STRONG_SELL') as strong_sell, sum(value*weight)/sum(weight) as mean, max(weight)/sum(weight) as heavy from w group by source)
+select source, n, strong_buy, buy, hold, sell, strong_sell, floor(mean*1000+0.5)/1000 as score, case when mean>=1.5 then 'STRONG_BUY' when mean>=0.5 then 'BUY' when mean>=-0.5 then 'HOLD' when mean>=-1.5 then 'SELL' else 'STRONG_SELL' end as level,
+  floor(least(0.95, 0.45+abs(mean)*0.28+greatest(strong_buy, buy, hold, sell, strong_sell)*0.2/n+heavy*0.18)*1000+0.5)/1000 as confidence from g""")
+def agg_36_consensus(spark, sf_dir):
+    """Score, level and confidence of each source's documents together, longer ones weighing more up to 2000 characters."""
+    x = sentiment.labelled(table(spark, sf_dir, "documents").select("source", "text", "n_chars"), lists=SYLLABLES)
+    return sentiment.consensus(x, ["source"], F.least(F.col("n_chars") / 2000.0, F.lit(1.0)))
