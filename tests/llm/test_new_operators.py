@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import markup, page_text, periodic_runs, vector_codes
+from tidemark.llm import ann, markup, page_text, periodic_runs, vector_codes
 
 
 def plain_runs(words: list) -> list[tuple[int, int, int]]:
@@ -265,3 +265,15 @@ def test_contract_columns(spark, name):
     assert {tuple(c.split()) for c in CONTRACT[name].split(", ")} <= set(got.dtypes)
     source = {"op11": "embeddings", "op12": "pages", "op13": "documents"}[name.split("_")[0]]
     assert got.count() == spark.read.parquet(f"{small}/{source}.parquet").count()
+
+
+def test_nearest_of_very_large_and_very_small_vectors(spark):
+    """Cosines do not depend on the size of vectors, as long as they are finite."""
+    plain = [[1.0, 0.1], [0.3, 1.0], [-1.0, 0.2], [1.0, 0.9], [0.5, -1.0], [1.0, 0.0]]
+    sizes = [1.0, 1e200, 1e-200, 1e308, 5e-320, 1e-300]
+    rows = [(i, [x * size for x in v]) for i, (v, size) in enumerate(zip(plain, sizes, strict=True))]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") >= 0, 5).collect()
+    want = {(i, j): np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) for i, a in enumerate(plain) for j, b in enumerate(plain) if i != j}
+    assert len(got) == 30
+    for r in got:
+        assert abs(r.score - want[r.query_id, r.vec_id]) < (1e-3 if 4 in (r.query_id, r.vec_id) else 1e-12)

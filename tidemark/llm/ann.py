@@ -89,6 +89,9 @@ class Tree:
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1, zero rows as they are; a power of two takes each row near 1 first, so no square overflows or vanishes."""
+    _, exponent = np.frexp(np.abs(rows).max(axis=1, initial=0.0, keepdims=True))
+    rows = np.ldexp(rows, -exponent)
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
