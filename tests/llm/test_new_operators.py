@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import unicodedata
 import zlib
 from fractions import Fraction
 from math import floor
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import ann, markup, page_text, periodic_runs, vector_codes
+from tidemark.llm import ann, markup, packing, page_text, periodic_runs, vector_codes
 
 
 def plain_runs(words: list) -> list[tuple[int, int, int]]:
@@ -277,3 +278,19 @@ def test_nearest_of_very_large_and_very_small_vectors(spark):
     assert len(got) == 30
     for r in got:
         assert abs(r.score - want[r.query_id, r.vec_id]) < (1e-3 if 4 in (r.query_id, r.vec_id) else 1e-12)
+
+
+def test_tokens_of_rare_code_points_equal_the_tokenizer():
+    """Code points alone, in a word and after a letter, unnamed ones too, and texts full of combining marks."""
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.queries import tokenizer_path
+
+    tokenizer, ours = Tokenizer.from_file(tokenizer_path()), packing.WordTokens(tokenizer_path())
+    draw = random.Random(6)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [form.format(chr(c)) for c in points[::61] for form in ("{}", "ab{}cd", "e{} x")]
+    marks = [c for c in points if unicodedata.category(chr(c))[0] == "M"]
+    texts += ["".join(chr(draw.choice(marks if draw.random() < 0.3 else points[:9000])) for _ in range(draw.randint(1, 25))) for _ in range(3000)]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ours.ids(text), "<u4").tolist() == want.ids, ascii(text)

@@ -32,13 +32,20 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 CACHED = 120_000
 
 
+def _unnamed() -> str:
+    """The code points that this Python does not name, as ranges of a character class."""
+    free = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    edge = np.flatnonzero(np.diff(np.r_[False, free, False]))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edge.reshape(-1, 2).tolist())
+
+
 class WordTokens(dict):
     """Ids of white-space chunks as little-endian bytes, by the tokenizer's own model.
 
     A tokenizer whose normalizer and pre-split are those below drops white space and never
     merges across it, so a text's ids are those of its chunks, once it is in lower case.  A
-    text that holds an added token goes to the tokenizer whole, and so does any text if the
-    file says otherwise.
+    text that holds an added token, a code point that Python does not name, or two combining
+    marks in a row goes to the tokenizer whole, and so does any text if the file says otherwise.
     """
 
     #: The normalizer and pre-split (fixed values of the tokenizer's file) that chunks stand for.
@@ -57,6 +64,8 @@ class WordTokens(dict):
         added = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(added)) if added else None
         self.split = regex.compile(self.PATTERN).findall
+        # Code points without a name here may have one in the tokenizer's tables, and marks in a row another order.
+        self.unsure = regex.compile(f"[{_unnamed()}]|\\p{{M}}\\p{{M}}")
         self.split_ascii = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -105,6 +114,9 @@ class WordTokens(dict):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         if not text.isascii():
+            if self.unsure.search(text):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                return struct.pack(f"<{len(ids)}I", *ids)
             text = unicodedata.normalize("NFC", text)
         return b"".join([self[c] for c in text.lower().replace("\n", " ").split(" ")])
 
