@@ -32,11 +32,14 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 CACHED = 120_000
 
 
-def _unnamed() -> str:
-    """The code points that this Python does not name, as ranges of a character class."""
-    free = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
-    edge = np.flatnonzero(np.diff(np.r_[False, free, False]))
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edge.reshape(-1, 2).tolist())
+#: Below it, every code point has a name and none is a combining mark.
+FIRST_MARK = 0x300
+
+
+def _unsure_points() -> np.ndarray:
+    """Of each code point: 1 if it is a combining mark, 2 if this Python does not name it."""
+    kinds = (unicodedata.category(chr(c)) for c in range(0x110000))
+    return np.fromiter((1 if k[0] == "M" else 2 if k == "Cn" else 0 for k in kinds), np.uint8, 0x110000)
 
 
 class WordTokens(dict):
@@ -65,7 +68,7 @@ class WordTokens(dict):
         self.added = regex.compile("|".join(added)) if added else None
         self.split = regex.compile(self.PATTERN).findall
         # Code points without a name here may have one in the tokenizer's tables, and marks in a row another order.
-        self.unsure = regex.compile(f"[{_unnamed()}]|\\p{{M}}\\p{{M}}")
+        self.points = _unsure_points()
         self.split_ascii = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -108,13 +111,20 @@ class WordTokens(dict):
     def forget(self) -> None:
         self.old, self.old_words = {}, {}
 
+    def unsure(self, text: str) -> bool:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if points.max() < FIRST_MARK:
+            return False
+        kind = self.points[points]
+        return bool((kind == 2).any() or (kind[1:] & kind[:-1] & 1).any())
+
     def ids(self, text: str) -> bytes:
         # Only the lower case of a sigma depends on what stands beside it.
         if not self.by_chunk or "Σ" in text or (self.added and self.added.search(text)):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         if not text.isascii():
-            if self.unsure.search(text):
+            if self.unsure(text):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 return struct.pack(f"<{len(ids)}I", *ids)
             text = unicodedata.normalize("NFC", text)
