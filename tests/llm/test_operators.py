@@ -218,6 +218,26 @@ def test_language_by_brute_force(spark, monkeypatch):
         assert parser.bits.tolist() == pytest.approx([math.log2(len(m) + 1) for m in samples.values()])
 
 
+def test_models_of_wide_alphabets_stay_small():
+    """Slots follow the letters of a model, not letters times alphabet; phrases as by substring search."""
+    draw = np.random.default_rng(4)
+    samples = {f"w{k}": "".join(map(chr, draw.integers(0x4E00 + 900 * k, 0x4E00 + 900 * k + 3000, 6000))) for k in range(6)}
+    samples["few"] = "".join(draw.choice(list("ab "), 6000))
+    parser = langid.Parser(samples)
+    assert parser.slots.nbytes + parser.begins.nbytes < 12_000_000
+    text = samples["w2"][100:160] + samples["w3"][7:19] + "abba" + samples["w0"][:5]
+    body = np.frombuffer(text.encode(), np.uint8)
+    points, offsets = langid.normalised(np.array([0, len(body)]), body)
+    letters, want = "".join(map(chr, points)), []
+    for name in parser.languages:
+        at = count = 0
+        while at < len(letters):
+            n = next((k for k in range(len(letters) - at, 0, -1) if letters[at : at + k] in samples[name]), 1)
+            at, count = at + n, count + 1
+        want.append(count)
+    assert parser.phrases(points, offsets).tolist() == [want]
+
+
 def test_phrases_by_brute_force():
     model, text = "abracadabra", "abraxcadabrab"
     parser = langid.Parser({"x": model})

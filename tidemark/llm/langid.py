@@ -7,7 +7,8 @@ in proportion to the logarithm of its length, so phrases are normalised by it (a
 document's letters, which are the same for all): the language with the least entropy,
 phrases times log2 of model letters over letters, wins.
 
-The automata are stepped as dense tables over many blocks of letters at once.
+The automata are kept as sparse tables whose rows are laid over each other, and stepped
+over many blocks of letters at once.
 """
 
 from __future__ import annotations
@@ -55,8 +56,8 @@ def normalised(offsets: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.where(small > 0, small, 32)[keep], np.cumsum(np.r_[0, keep])[at]
 
 
-def suffix_automaton(text: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``text`` (codes below ``width``); -1: none."""
+def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of ``text`` by state; state 0 is the root."""
     moves: list[dict[int, int]] = [{}]
     link, size, last = [-1], [0], 0
     for code in text:
@@ -82,14 +83,37 @@ def suffix_automaton(text: list[int], width: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[state] = copy
         last = state
-    table = np.full((len(moves), width), -1, np.int32)
+    return moves
+
+
+def displaced(moves: list[dict[int, int]], width: int, spare: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a sparse table laid over each other: place by state, and slots.
+
+    The move of the state placed at p by code c stands at slot p + c, if p is in the slot's
+    upper half; its lower half is the place of the next state.  No two states share a place.
+    The number of slots follows from the number of moves (at most three a letter of the
+    model) and the alphabet, not from their product.  Rows of many moves are placed first.
+    """
+    spread = 1 << (spare * sum(map(len, moves))).bit_length()
+    place, used, taken = [0] * len(moves), bytearray(spread + width), bytearray(spread)
+    for state in sorted(range(len(moves)), key=lambda s: -len(moves[s])):
+        tries = (at % spread for at in range(state * 2654435761, state * 2654435761 + 40503 * spread, 40503))
+        at = next((at for at in tries if not taken[at] and not any(used[at + code] for code in moves[state])), -1)
+        if at < 0:  # no gaps fit this row
+            return displaced(moves, width, spare * 2)
+        place[state] = at
+        taken[at] = 1
+        for code in moves[state]:
+            used[at + code] = 1
+    slots = np.full(spread + width, -1, np.int64)
     for state, out in enumerate(moves):
-        table[state, list(out)] = list(out.values())
-    return table
+        for code, to in out.items():
+            slots[place[state] + code] = place[state] << 32 | place[to]
+    return np.array(place, np.int64), slots
 
 
 class Parser:
-    """Counts the phrases of documents under each language's model."""
+    """Counts the phrases of documents under each language's model; memory grows with the models' letters."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
@@ -99,19 +123,19 @@ class Parser:
         #: Code of each point; the last code is for letters that no model has seen.
         self.code = np.full(0x110000, len(alphabet), np.int32)
         self.code[alphabet] = np.arange(len(alphabet))
-        self.width = len(alphabet) + 1
-        tables, self.roots = [], []
-        for name in self.languages:
-            moves = suffix_automaton(self.code[[ord(c) for c in samples[name]]].tolist(), self.width)
-            begins = np.broadcast_to(moves[:1], moves.shape)
-            open_phrase = (np.arange(len(moves)) > 0)[:, None]
-            # A letter that does not extend the phrase ends it; one the model lacks is a phrase of its own.
-            ended = np.where(moves >= 0, 0, np.where(begins >= 0, open_phrase, open_phrase + 1)).astype(np.int32)
-            to = np.where(moves >= 0, moves, np.where(begins >= 0, begins, 0))
-            root = sum(map(len, tables))
-            tables.append((to + root) * 4 + ended)
-            self.roots.append(root)
-        self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
+        width = len(alphabet) + 1
+        #: By language: the root's place, and the place after a phrase's first letter (the root: the model lacks it).
+        self.roots = np.zeros((len(self.languages), 1), np.int64)
+        self.begins = np.zeros((len(self.languages), width), np.int64)
+        slots, size = [], 0
+        for k, name in enumerate(self.languages):
+            moves = suffix_automaton(self.code[[ord(c) for c in samples[name]]].tolist())
+            place, own = displaced(moves, width)
+            self.roots[k] = self.begins[k] = place[0] + size
+            self.begins[k, list(moves[0])] = place[list(moves[0].values())] + size
+            slots.append(np.where(own < 0, -1, own + (size << 32 | size)))
+            size += len(own)
+        self.slots = np.concatenate(slots) if slots else np.zeros(0, np.int64)
 
     def phrases(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases by document and language."""
@@ -123,16 +147,20 @@ class Parser:
         order = np.argsort(-size, kind="stable")
         first, size, owner = first[order], size[order], owner[order]
         codes = self.code[points]
-        roots = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(roots, len(owner), axis=1)
+        state = np.repeat(self.roots, len(owner), axis=1)
         count = np.zeros(state.shape, np.int32)
-        for step in range(int(size[0]) if len(size) else 0):
-            live = int(np.searchsorted(-size, -step, "left"))
-            move = self.table[state[:, :live] * self.width + codes[first[:live] + step]]
-            count[:, :live] += move & 3
-            state[:, :live] = move >> 2
-        count += state != roots
-        return np.stack([np.bincount(owner, weights=c, minlength=n_docs) for c in count], axis=1).astype(np.int64) if len(roots) else np.zeros((n_docs, 0), np.int64)
+        # Blocks that have a letter at each step.
+        for step, live in enumerate(np.cumsum(np.bincount(size)[::-1])[::-1][1:] if len(size) else []):
+            code, at = codes[first[:live] + step], state[:, :live]
+            slot = self.slots[at + code]
+            begin = self.begins[:, code]
+            # A letter that does not extend the phrase ends it; one the model lacks is a phrase of its own.
+            over = slot >> 32 != at
+            count[:, :live] += over & (at != self.roots)
+            count[:, :live] += over & (begin == self.roots)
+            state[:, :live] = np.where(over, begin, slot & 0xFFFFFFFF)
+        count += state != self.roots
+        return np.stack([np.bincount(owner, weights=c, minlength=n_docs) for c in count], axis=1).astype(np.int64) if len(count) else np.zeros((n_docs, 0), np.int64)
 
 
 def learn(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
