@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import boosting
 from tidemark.functions import forecast as fc
 from tidemark.functions import garch
 from tidemark.functions.numeric import clip, rounded
@@ -306,3 +307,32 @@ def mdl_07_boosting(spark, sf_dir):
     scored = model.transform(rows.filter(F.col("back") <= fc.LAST))
     right = F.when(F.col("prediction") == F.col("rise"), 100.0).otherwise(0.0)
     return scored.groupBy("symbol").agg(F.count("*").alias("samples"), rounded(F.avg(right), 4).alias("accuracy_pct"))
+
+
+def boosted(spark, sf_dir):
+    """symbol, i, date, up, actual of the last LAST rows of each symbol by trees refitted at every one of them.
+
+    A group is one symbol's part of the cut points with the rows that these can reach, so
+    its size is a constant and a symbol's fits spread over tasks.
+    """
+    reach = fc.LAST + fc.ASSETS["equity"][0]
+    x = features(spark, sf_dir).filter("target is not null").withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))))
+    each = x.filter(F.col("back") <= reach).withColumn("part", F.explode(F.array(*map(F.lit, range(boosting.parts())))))
+    # Few rows and much work: AQE would put all groups into one task.
+    each = each.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "symbol", "part")
+    return each.groupBy("symbol", "part").applyInPandas(lambda key, g: boosting.boosted_walk(g, int(key[1])), boosting.BOOSTED)
+
+
+@query("mdl_07_walk_forward")
+def mdl_07_walk_forward(spark, sf_dir):
+    """Boosted trees walked forward: the probability of a rise at each of the last 120 rows of a symbol, from the window before it."""
+    return boosted(spark, sf_dir).select("symbol", "date", rounded(F.col("up"), 5).alias("up"), rounded(F.col("actual"), 5).alias("actual"))
+
+
+@query("mdl_07_comparison")
+def mdl_07_comparison(spark, sf_dir):
+    """Directional accuracy of the trees by symbol beside that of the direction model on the same rows and windows."""
+    rise = F.when(F.col("actual") > 0, 1).otherwise(-1)
+    hit = lambda c: F.avg(F.when(F.when(F.col(c) >= 0.5, 1).otherwise(-1) == rise, 100.0).otherwise(0.0))
+    x = boosted(spark, sf_dir).join(walked(spark, sf_dir).select("symbol", "i", F.col("up").alias("plain")), ["symbol", "i"])
+    return x.groupBy("symbol").agg(F.count("*").alias("samples"), rounded(hit("up"), 4).alias("boosted_pct"), rounded(hit("plain"), 4).alias("direction_pct"))
