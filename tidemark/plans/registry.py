@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("technical", "metrics", "screening", "portfolio", "text", "decision", "evaluation", "store", "forecasting", "significance", "rules", "steps", "files", "streams", "feeds")
+MODULES = ("technical", "metrics", "screening", "portfolio", "text", "decision", "evaluation", "store", "forecasting", "significance", "rules", "steps", "files", "streams", "feeds", "turns")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
