@@ -98,6 +98,19 @@ def join_07_lessons(spark, sf_dir):
     return known.withColumn("place", F.row_number().over(best)).filter("place <= 3").select("scope", "as_of", "place", "user_id", "seen")
 
 
+@query("join_07_lessons_each_day", f"with {_LESSONS}, asked as (select distinct event_type as scope, cast(ts as date) as as_of from events), m as (select a.scope, a.as_of, l.user_id, l.seen, row_number() over (partition by a.scope, a.as_of order by l.seen desc, l.user_id, l.scope) as place from asked a join lessons l on l.scope in (a.scope, 'global') and l.learned_on < a.as_of) select scope, as_of, place, user_id, seen from m where place <= 3")
+def join_07_lessons_each_day(spark, sf_dir):
+    """The same on every day that a scope has events: only the best three of a kind's day can be among the best of all days before another."""
+    events = table(spark, sf_dir, "events")
+    lessons = events.groupBy("user_id", F.when(F.col("user_id") % 7 == 0, "global").otherwise(F.col("event_type")).alias("kind")).agg(F.min(F.to_date("ts")).alias("learned_on"), F.count("*").alias("seen"))
+    daily = Window.partitionBy("kind", "learned_on").orderBy(F.desc("seen"), "user_id")
+    lessons = lessons.withColumn("_place", F.row_number().over(daily)).filter("_place <= 3").drop("_place")
+    asked = events.select(F.col("event_type").alias("scope"), F.to_date("ts").alias("as_of")).distinct().select("scope", "as_of", F.explode(F.array_distinct(F.array("scope", F.lit("global")))).alias("kind"))
+    best = Window.partitionBy("scope", "as_of").orderBy(F.desc("seen"), "user_id", "kind")
+    known = lessons.join(asked, "kind").filter("learned_on < as_of")
+    return known.withColumn("place", F.row_number().over(best)).filter("place <= 3").select("scope", "as_of", "place", "user_id", "seen")
+
+
 _FIRST = "(select l_orderkey as decision_id, arg_min(l_extendedprice, (l_linenumber, l_partkey, l_extendedprice)) as exit_price from lineitem group by 1)"
 
 

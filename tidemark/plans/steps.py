@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numeric import rounded
+from tidemark.operators.places import curated, with_cap, with_place
 from tidemark.operators.waves import waves
 from tidemark.plans.decision import _EV, evidence
 from tidemark.plans.registry import query
@@ -41,7 +43,12 @@ def _sha2(text: str) -> str:
 WORDS = {"%SHA%(": ("sha(", "sha256("), "%DAYS%": ("datediff(date '2024-02-20', last_seen)", "date_diff('day', last_seen, date '2024-02-20')"), "%JOIN%": ("array_join(array_sort(collect_list(symbol)), ',')", "string_agg(symbol, ',' order by symbol)")}
 
 
-def both(name: str, doc: str, text: str) -> None:
+def plain_sql(text: str) -> str:
+    """The SQL of a text for the other engine, with what builds its inputs."""
+    return _for_both(text)[1]
+
+
+def _for_both(text: str) -> tuple[str, str, list[str], bool]:
     text = doubles(text)
     names = sorted(set(re.findall(r"\{(\w+)\}", text)))
     heads = [INDEXED_SQL] if {"ix", "ev", "quotes"} & set(names) else []
@@ -53,6 +60,11 @@ def both(name: str, doc: str, text: str) -> None:
         ours, plain = ours.replace(word, here), plain.replace(word, there)
     ours = _sha2(ours)
     sql = ("with " + ", ".join(heads) + (" " if tables else ", ") + plain) if heads else plain if tables else "with " + plain
+    return ours, sql, names, tables
+
+
+def both(name: str, doc: str, text: str) -> None:
+    ours, sql, names, tables = _for_both(text)
 
     def run(spark, sf_dir):
         frames = {n: (_BUILT[n](spark, sf_dir) if n in _BUILT else table(spark, sf_dir, n)) for n in names}
@@ -144,10 +156,26 @@ select symbol, count(*) as days, {r6('(exp(sum(ln(1+r))*252.0/(count(*)+1))-1)*1
 both("add_04_rebased_curves", "Equity of holding and of SMA(20/50), both 1 at the first bar of the evaluation; averages warm up on all bars.", _SMA + f""",
 z as (select symbol, date, i, ret, expo, case when n>=780 then 260 when n<360 then 120 else cast(floor(n/3) as int) end as st from e)
 select symbol, date, {r6('exp(sum(ln(1+ret)) over w)')} as hold, {r6('exp(sum(ln(1+expo*ret)) over w)')} as sma from z where i>st window w as (partition by symbol order by date)""")
-both("add_03_coverage_intervals", "Accuracy of the most confident calls by coverage, with Wilson limits.", f"""
+_COVERAGE = f"""
 p as (select symbol, date, abs(mom) as conf, case when sign(mom)=sign(fwd) then 1 else 0 end as hit from {{ev}} where fwd is not null), k as (select hit, row_number() over (order by conf desc, symbol, date) as place, count(*) over () as total from p),
 c as (select cast(share as int) as coverage, count(*) as n, sum(hit) as hits from k cross join (values (100), (50), (25), (10), (5)) as s(share) where place<=ceil(total*share/100.0) group by share)
-select coverage, n, {r6('hits*1.0/n')} as accuracy, {r6('(hits*1.0/n+1.9208/n)/(1+3.8416/n)-1.96*sqrt(hits*1.0/n*(1-hits*1.0/n)/n+0.9604/n/n)/(1+3.8416/n)')} as low, {r6('(hits*1.0/n+1.9208/n)/(1+3.8416/n)+1.96*sqrt(hits*1.0/n*(1-hits*1.0/n)/n+0.9604/n/n)/(1+3.8416/n)')} as high from c""")
+select coverage, n, {r6('hits*1.0/n')} as accuracy, {r6('(hits*1.0/n+1.9208/n)/(1+3.8416/n)-1.96*sqrt(hits*1.0/n*(1-hits*1.0/n)/n+0.9604/n/n)/(1+3.8416/n)')} as low, {r6('(hits*1.0/n+1.9208/n)/(1+3.8416/n)+1.96*sqrt(hits*1.0/n*(1-hits*1.0/n)/n+0.9604/n/n)/(1+3.8416/n)')} as high from c"""
+
+
+@query("add_03_coverage_intervals", plain_sql(_COVERAGE))
+def add_03_coverage_intervals(spark, sf_dir):
+    """Accuracy of the most confident calls by coverage, with Wilson limits; calls are numbered in bands of confidence."""
+    p = evidence(spark, sf_dir).filter("fwd is not null").select("symbol", "date", F.abs("mom").alias("conf"), F.when(F.signum("mom") == F.signum("fwd"), 1).otherwise(0).alias("hit"))
+    total = p.agg(F.count("*").alias("total"))
+    shares = F.explode(F.array(*map(F.lit, (100, 50, 25, 10, 5))))
+    k = with_place(p, "conf", "symbol", ["date"]).crossJoin(F.broadcast(total)).withColumn("coverage", shares)  # one row
+    c = k.filter("place <= ceil(total * coverage / 100.0D)").groupBy("coverage").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    rate = F.col("hits") / F.col("n")
+    centre = (rate + 1.9208 / F.col("n")) / (1 + 3.8416 / F.col("n"))
+    reach = 1.96 * F.sqrt(rate * (1 - rate) / F.col("n") + 0.9604 / F.col("n") / F.col("n")) / (1 + 3.8416 / F.col("n"))
+    return c.select("coverage", "n", rounded(rate).alias("accuracy"), rounded(centre - reach).alias("low"), rounded(centre + reach).alias("high"))
+
+
 both("add_09_score_pairs", "Score of a bar with the return from the next close on.", f"w as (select symbol, date, i, mom, lead(close, 6) over (partition by symbol order by i)/lead(close, 1) over (partition by symbol order by i)-1 as later from {{ev}}) select symbol, date, {r6('mom')} as score, {r6('later')} as later from w where later is not null")
 both("add_11_heuristic_forecast", "Momentum blend of short and long windows less volatility, capped, with confidence, band and scenarios.", f"""
 r as (select symbol, date, i, n, close, close/lag(close, 19) over (partition by symbol order by i)-1 as short_m, close/lag(close, 59) over (partition by symbol order by i)-1 as long_m, stddev_pop(ret) over (partition by symbol order by i rows between 38 preceding and current row) as vol, avg(ret) over (partition by symbol order by i rows between 38 preceding and current row) as drift,
@@ -195,12 +223,42 @@ select g.h, g.rows_used, n, {r6('acc')} as accuracy, {r6('(acc+1.9208/n)/(1+3.84
 
 # --- Memory of lessons ----------------------------------------------------
 _SEEN = "sn as (select user_id, event_type as claim, case when user_id%4=0 then 'global' else event_type end as scope, cast(ts as date) as day from {events}), ls as (select user_id, claim, scope, count(*) as times_seen, min(day) as learned_on, max(day) as last_seen from sn group by 1, 2, 3)"
-both("stm_08_lessons", "A claim seen again is reinforced; one not seen within 9 days for each sighting (four at most) is retired, and beyond 200 the least seen are.", _SEEN + """,
-st as (select *, 9*least(4, greatest(1, times_seen)) as allowance from ls), a as (select *, %DAYS% as days from st),
+_CURATED = _SEEN + """,
+st as (select *, @*least(4, greatest(1, times_seen)) as allowance from ls), a as (select *, %DAYS% as days from st),
 rk as (select *, row_number() over (partition by days<=allowance order by times_seen desc, last_seen desc, user_id, claim) as place from a)
-select user_id, claim, scope, times_seen, learned_on, last_seen, case when days>allowance then 'stale' when place>200 then 'over cap' else 'active' end as status from rk""")
+select user_id, claim, scope, times_seen, learned_on, last_seen, case when days>allowance then 'stale' when place>200 then 'over cap' else 'active' end as status from rk"""
+
+
+def seen(spark, sf_dir):
+    """user_id, claim, scope, times_seen, learned_on and last_seen of the lessons in the events."""
+    scope = F.when(F.col("user_id") % 4 == 0, "global").otherwise(F.col("event_type"))
+    x = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("claim"), scope.alias("scope"), F.to_date("ts").alias("day"))
+    return x.groupBy("user_id", "claim", "scope").agg(F.count("*").alias("times_seen"), F.min("day").alias("learned_on"), F.max("day").alias("last_seen"))
+
+
+_TODAY = "2024-02-20"
+
+
+@query("stm_08_lessons", plain_sql(_CURATED.replace("@", "9")))
+def stm_08_lessons(spark, sf_dir):
+    """Lessons by status, with 9 stale days, as these tables hold one month."""
+    return curated(seen(spark, sf_dir), ["user_id", "claim"], F.lit(_TODAY).cast("date"), stale_days=9)
+
+
+@query("stm_08_lessons_90", plain_sql(_CURATED.replace("@", "90")))
+def stm_08_lessons_90(spark, sf_dir):
+    """Lessons by status with the usual 90 stale days."""
+    return curated(seen(spark, sf_dir), ["user_id", "claim"], F.lit(_TODAY).cast("date"))
+
+
 both("srt_06_recall", "Lessons learned before a day, most seen first and oldest first among equals.", _SEEN + " , o as (select *, row_number() over (partition by claim order by times_seen desc, learned_on, user_id) as place from ls where learned_on<date '2024-01-10') select claim, user_id, times_seen, learned_on, cast(place as bigint) as place from o where place<=10")
-both("srt_07_curator_cap", "The 200 lessons with most sightings stay, the newest of equals.", _SEEN + " , o as (select *, row_number() over (order by times_seen desc, last_seen desc, user_id, claim) as place from ls) select user_id, claim, times_seen, place<=200 as kept from o")
+@query("srt_07_curator_cap", plain_sql(_SEEN + " , o as (select *, row_number() over (order by times_seen desc, last_seen desc, user_id, claim) as place from ls) select user_id, claim, times_seen, place<=200 as kept from o"))
+def srt_07_curator_cap(spark, sf_dir):
+    """The 200 lessons with most sightings stay, the newest of equals."""
+    order = [F.desc("times_seen"), F.desc("last_seen"), F.col("user_id"), F.col("claim")]
+    return with_cap(seen(spark, sf_dir), ["user_id", "claim"], order, 200).select("user_id", "claim", "times_seen", "kept")
+
+
 both("add_27_memory_stats", "Lessons in all, in use and retired, and their scopes.", _SEEN + " select count(*) as total, count(case when last_seen>=date '2024-01-25' then 1 end) as active, count(case when last_seen<date '2024-01-25' then 1 end) as retired, count(distinct scope) as scopes from ls")
 
 # --- Portfolios, watchlists, reports ---------------------------------------
