@@ -140,3 +140,30 @@ def test_bootstrap_indices_are_blocks():
         assert at.min() >= 0 and at.max() < 400 and len(at) == 400
         lengths.append(400 / (1 + ((at[1:] - at[:-1]) % 400 != 1).sum()))
     assert 8 < np.mean(lengths) < 12.5
+
+
+def test_ridge_walk_is_the_backtest_and_the_live_forecast():
+    """One fit serves the walked forecast of a row and the live one where its window is known."""
+    frame = series(330, 4)
+    got = fc.ridge_walk(frame, 5).set_index("i")
+    back = fc.walk_forward(frame)
+    assert got["walk"].reindex(back["i"]).to_numpy() == pytest.approx(back["ridge"].to_numpy(), abs=1e-10)
+    assert got["walk"].first_valid_index() == 90 and got["walk"].last_valid_index() == 324
+    for at in (94, 150, 329):
+        then = frame[: at + 1].copy()
+        then.loc[at - 4 :, "target"] = np.nan  # not known at that row
+        assert got["model"][at] == pytest.approx(fc.live(then)[0], abs=1e-10)
+        again = fc.ridge_walk(then, 5).set_index("i")["model"]
+        assert again.to_numpy() == pytest.approx(got["model"].loc[:at].to_numpy(), abs=1e-12, nan_ok=True)
+    assert got["model"].first_valid_index() == 94
+    assert fc.ridge_walk(frame[:50], 5)[["walk", "model"]].isna().all(axis=None) and len(fc.ridge_walk(frame[:3], 5)) == 3
+
+
+def test_records_at_rebalance_points(spark):
+    """At the newest bar the record is that of the live forecast; the calendar has one for each due bar with a past."""
+    key = lambda x: x.sort_values("symbol").reset_index(drop=True)
+    live, again = (key(x.toPandas()) for x in (forecasting.mdl_06_forecast(spark, SMALL), forecasting.rebalanced(spark, SMALL, "i = n - 1 and n >= 90")))
+    pd.testing.assert_frame_equal(live, again[live.columns], atol=0.011)
+    x = forecasting.mdl_06_rebalanced(spark, SMALL).toPandas()
+    assert len(x) > len(live) and not x.duplicated(["symbol", "date"]).any() and x["return_pct"].abs().max() <= 6.5
+    assert x.notna().all(axis=None) and x["trend"].isin(["bullish", "bearish", "sideways"]).all()

@@ -198,17 +198,18 @@ def live_forecasts(spark, sf_dir):
     return features(spark, sf_dir).groupBy("symbol").applyInPandas(fit, "symbol string, model_pct double, weights array<double>")
 
 
-@query("mdl_06_forecast")
-def mdl_06_forecast(spark, sf_dir):
-    """The forecast record of each symbol: capped return, price, uncertainty, confidence, trend, levels and scenarios."""
-    low, mid, high, scale = fc.ASSETS["equity"][3:]
-    x = m.indexed(spark, sf_dir)
+def forecast_bars(spark, sf_dir):
+    """Bars with what a forecast record needs of their past: close, i, n, support, resistance, vol."""
     level = lambda f: f("close").over(last(15))
     vol = F.stddev_pop("ret").over(last(39)) * 100 * F.sqrt(F.lit(float(HORIZON)))
-    newest = x.select("symbol", "date", "close", "i", "n", level(F.min).alias("support"), level(F.max).alias("resistance"), vol.alias("vol")).filter("i = n - 1 and n >= 90")
-    record = newest.join(accuracy(walked(spark, sf_dir), "symbol"), "symbol").join(live_forecasts(spark, sf_dir), "symbol")
+    return m.indexed(spark, sf_dir).select("symbol", "date", "close", "i", "n", level(F.min).alias("support"), level(F.max).alias("resistance"), vol.alias("vol"))
+
+
+def forecast_record(x):
+    """The record of bars with close, support, resistance, vol, model_pct, mae_pct and accuracy_pct."""
+    low, mid, high, scale = fc.ASSETS["equity"][3:]
     cap = low if HORIZON <= 2 else mid if HORIZON <= 7 else high
-    record = record.withColumn("return_pct", clip(F.col("model_pct"), -cap, cap)).withColumn("band", F.greatest("mae_pct", F.col("vol") * scale))
+    record = x.withColumn("return_pct", clip(F.col("model_pct"), -cap, cap)).withColumn("band", F.greatest("mae_pct", F.col("vol") * scale))
     fit = F.greatest(F.lit(0.0), 1 - F.col("mae_pct") / F.greatest(F.col("band") * 1.5, F.lit(0.5)))
     signal = F.least(F.abs("return_pct") / F.greatest("band", F.lit(0.25)), F.lit(1.0))
     confidence = clip((0.22 + F.col("accuracy_pct") / 100 * 0.4 + fit * 0.23 + signal * 0.15) * 0.72, 0.28, 0.9)
@@ -221,6 +222,33 @@ def mdl_06_forecast(spark, sf_dir):
         rounded(confidence, 2).alias("confidence"), trend.alias("trend"), rounded(F.col("support"), 2).alias("support"), rounded(F.col("resistance"), 2).alias("resistance"), price(F.col("return_pct") + spread).alias("bull"), price(F.col("return_pct") - spread).alias("bear"))
 
 
+@query("mdl_06_forecast")
+def mdl_06_forecast(spark, sf_dir):
+    """The forecast record of each symbol: capped return, price, uncertainty, confidence, trend, levels and scenarios."""
+    newest = forecast_bars(spark, sf_dir).filter("i = n - 1 and n >= 90")
+    return forecast_record(newest.join(accuracy(walked(spark, sf_dir), "symbol"), "symbol").join(live_forecasts(spark, sf_dir), "symbol"))
+
+
+def rebalanced(spark, sf_dir, due: str):
+    """Forecast records at the bars of a symbol for which ``due`` (of i and n) holds.
+
+    Errors and accuracy at a bar are those of the walked forecasts whose targets are known
+    there, LAST at most; so later bars change nothing.
+    """
+    walks = features(spark, sf_dir).select("symbol", "i", "target", *fc.FEATURES).groupBy("symbol").applyInPandas(lambda g: fc.ridge_walk(g, HORIZON), "symbol string, i long, walk double, model double, actual double")
+    walks = walks.select("symbol", "i", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("walk", "model", "actual")])
+    seen = Window.partitionBy("symbol").orderBy("i").rowsBetween(-fc.LAST - HORIZON + 1, -HORIZON)
+    right = F.when(F.signum("walk") == F.signum("actual"), 100.0).when(F.col("walk").isNotNull(), 0.0)
+    x = walks.select("symbol", "i", (F.col("model") * 100).alias("model_pct"), F.avg(F.abs(F.col("walk") - F.col("actual")) * 100).over(seen).alias("mae_pct"), F.avg(right).over(seen).alias("accuracy_pct"))
+    return forecast_record(forecast_bars(spark, sf_dir).filter(due).join(x.filter("model_pct is not null and mae_pct is not null"), ["symbol", "i"]))
+
+
+@query("mdl_06_rebalanced")
+def mdl_06_rebalanced(spark, sf_dir):
+    """The forecast record of each symbol at each bar of the rebalance calendar, from what was known there."""
+    return rebalanced(spark, sf_dir, "i >= least(260, greatest(120, n div 3)) and (i - least(260, greatest(120, n div 3))) % 5 = 0")
+
+
 @query("mdl_08_grid")
 def mdl_08_grid(spark, sf_dir):
     """Mean accuracy on the first 60 % of rows by ridge penalty, and of the ensemble by direction penalty; the best of each."""
