@@ -8,7 +8,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from tidemark.operators.places import curated, with_cap, with_place
+from tidemark.plans import registry
 
 
 @pytest.mark.parametrize("hot", [0.0, 0.6, 1.0])
@@ -45,3 +47,12 @@ def test_lessons(spark, stale_days):
     live = [r for r in rows if (today - r[2]).days <= stale_days * min(4, r[1])]
     kept = {r[0] for r in sorted(live, key=lambda r: (-r[1], -r[2].toordinal(), r[0]))[:20]}
     assert got == {r[0]: "active" if r[0] in kept else "over cap" if r in live else "stale" for r in rows}
+
+
+def test_no_evidence_means_hold(spark):
+    """Without news and forecast there is no score: the action is hold, the verdict says why, nothing is bought."""
+    x = registry.queries()["dec_05_recommendation"](spark, SMALL).toPandas()
+    blind = x[x["sources"] == 0]
+    assert len(blind) and set(blind["action"]) == {"hold"} and set(blind["verdict"]) == {"insufficient_data"} and blind["score"].isna().all() and (blind["amount"] == 0).all()
+    rest = x[x["sources"] > 0]
+    assert rest["score"].notna().all() and set(zip(rest["action"], rest["verdict"])) <= {("buy", "buy_now"), ("sell", "avoid"), ("hold", "wait")}

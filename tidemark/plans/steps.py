@@ -87,10 +87,10 @@ b as (select *, 50+(sent-0.5)*2*least(1.0, sent_conf/0.6)*50 as s_news, 50+{clip
 c as (select *, case when w_news+w_pred+w_trend>0 then (s_news*w_news+s_pred*w_pred+s_trend*w_trend)/(w_news+w_pred+w_trend) else 50.0 end as blended from b),
 d as (select *, (case when blended>50 then 50+(blended-50)*case risk when 'high' then 0.55 when 'medium' then 0.85 else 1.0 end else blended end)-case when factors>0 then least(0.3, 0.1*factors)*40 else 0.0 end as reasoned from c),
 e as (select *, floor({clip(f"case when conflict then {clip('reasoned', '38.0', '62.0')} else reasoned end", "0.0", "100.0")}*100+0.5)/100 as score from d),
-f as (select *, case when not has_news and not has_pred then 'insufficient_data' when score>=63 and (case when has_pred then pred_conf else 0.5 end)>=0.55 and (case when has_pred then acc else 50.0 end)>=52 and risk<>'high' then 'buy' when score<=37 then 'sell' else 'hold' end as action from e)"""
+f as (select *, not has_news and not has_pred as blind, case when not has_news and not has_pred then 'hold' when score>=63 and (case when has_pred then pred_conf else 0.5 end)>=0.55 and (case when has_pred then acc else 50.0 end)>=52 and risk<>'high' then 'buy' when score<=37 then 'sell' else 'hold' end as action from e)"""
 
-both("dec_05_recommendation", "Reliability-weighted score over the signals at hand, dampened by risk, penalised by invalidating factors, capped on conflict; action, verdict and amount.", _SIGNALS + f"""
-select symbol, date, case when action='insufficient_data' then null else {r6('score')} end as score, action, case action when 'buy' then 'buy_now' when 'sell' then 'avoid' when 'hold' then 'wait' else action end as verdict, risk,
+both("dec_05_recommendation", "Reliability-weighted score over the signals at hand, dampened by risk, penalised by invalidating factors, capped on conflict; action, verdict and amount. Without evidence: hold, insufficient_data and no score.", _SIGNALS + f"""
+select symbol, date, case when blind then null else {r6('score')} end as score, action, case when blind then 'insufficient_data' when action='buy' then 'buy_now' when action='sell' then 'avoid' else 'wait' end as verdict, risk,
   cast(has_news as int)+2*cast(has_pred as int) as sources, case when action='buy' then floor(10000*greatest(0.0, greatest(2.0, 20*(1-least(2.2*var, 0.08)))/100*(1-0.1*factors))*100+0.5)/100 else 0.0 end as amount from f""")
 
 _VOTES = """ag as (select symbol, date, i, sd, fwd, 'market' as agent, case when close>ma30*1.01 then 'up' when close<ma30*0.99 then 'down' else 'flat' end as direction, 0.6 as conf, cast((i*5)%60 as double) as age, 36.0 as hl from {ev}
