@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,68 @@ def test_alerts_go_on_after_a_restart(spark):
     assert all(r.user_id == 100 + r.alert_id for r in got)
 
 
+class Held(dict):
+    """A map state in memory that counts its writes."""
+
+    writes = 0
+
+    def getMapState(self, *_):
+        return self
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.writes += 1
+        del self[key]
+
+
+def test_alerts_are_searched_and_kept_by_the_block():
+    """1500 alerts are one block: read and written once a micro-batch, with the firings of one fold over all ticks."""
+    ticks = [t for t in tick_rows(2000, 9) if t[0] == "A"]
+    alerts = [(i, i, "A", "above" if i % 3 else "below", 60.0 + 0.05 * i, "daily" if i % 4 else "once") for i in range(1500)]
+    state, machine, told = Held(), keyed.PriceAlerts(), set()
+    machine.init(state)
+    machine.handleInitialState(("A", 0), pd.DataFrame(alerts, columns=["alert_id", "user_id", "symbol", "direction", "threshold", "cadence"]), None)
+    for part in (ticks[:400], ticks[400:]):
+        frame = pd.DataFrame(part, columns=["symbol", "event_id", "ts", "price"]).sample(frac=1, random_state=1)
+        frame["ts"] = frame["ts"].astype("datetime64[us]").astype("int64")
+        packed = pd.concat([b.to_pandas() for b in keyed.packed(pa.RecordBatch.from_pandas(frame[k::3], preserve_index=False) for k in range(3))])
+        told |= {(r.alert_id, r.event_id) for f in machine.handleInputRows(("A", 0), iter([packed]), None) for r in f.itertuples()}
+    assert told == plain_alerts(ticks, alerts)
+    assert state.writes == 3 and len(state) == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 8, 37])
+def test_first_place_that_reaches_a_bound(n):
+    draw = np.random.default_rng(n)
+    values = draw.integers(0, 9, n).astype(float)
+    start, bound = draw.integers(0, n + 1, 400), draw.integers(-1, 11, 400).astype(float)
+    want = [next((i for i in range(s, n) if values[i] >= b), n) for s, b in zip(start, bound, strict=True)]
+    assert keyed.Maxima(values).first(start, bound).tolist() == want
+
+
+def test_packed_ticks_of_many_symbols():
+    batch = pa.RecordBatch.from_pydict({"symbol": ["b", "a", "b", "c"], "event_id": [1, 2, 3, 4], "ts": [10, 20, 30, 40], "price": [1.0, 2.0, 3.0, 4.0]})
+    got = {r["symbol"]: np.frombuffer(r["ticks"], keyed.TICK).tolist() for b in keyed.packed(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()}
+    assert got == {"a": [(20, 2, 2.0)], "b": [(10, 1, 1.0), (30, 3, 3.0)], "c": [(40, 4, 4.0)]}
+
+
+def test_ticks_with_nulls_fire_nothing(spark):
+    at = pd.Timestamp("2024-03-01").to_pydatetime()
+    ticks = [("A", 1, at, None), ("A", 2, None, 99.0), (None, 3, at, 99.0), ("A", 4, at, float("nan")), ("A", 5, at, 99.0)]
+    alerts = [(1, 1, "A", "above", 90.0, "once"), (2, 2, "A", "below", None, "daily"), (3, 3, None, "above", 90.0, "once"), (4, 4, "A", "below", 99.0, "daily")]
+    known = spark.createDataFrame(alerts, "alert_id long, user_id long, symbol string, direction string, threshold double, cadence string")
+    path = shared.folder(spark)
+    spark.createDataFrame(ticks, TICKS).coalesce(1).write.parquet(f"{path}/ticks")
+    drained(keyed.alert_stream(spark.readStream.schema(TICKS).parquet(f"{path}/ticks"), known, buckets=2), path)
+    assert sorted((r.alert_id, r.event_id, r.ts) for r in spark.read.parquet(f"{path}/rows").collect()) == [(1, 5, at), (4, 5, at)]
+
+
 def test_quota_over_restarts_and_still_users(spark):
     draw = np.random.default_rng(7)
     start = pd.Timestamp("2024-03-01")
