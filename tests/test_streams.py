@@ -8,8 +8,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
+from tidemark.plans import streams
 from tidemark.sources import shared
 from tidemark.sources.commits import CommittedTable, Conflict
+from tidemark.sources.market import changes, quotes
 from tidemark.streaming import keyed
 from tidemark.streaming.scoring import Scorer
 
@@ -149,6 +152,28 @@ def test_digest_days_across_a_clock_change(spark):
     assert got == sorted((m, d) for m in ("US", "GB", "IN") for d in days)
 
 
+def test_digests_leave_the_bodies_where_they_are(spark):
+    """One market with all bodies is many tasks' work: the due days are broadcast, also where Spark would not by itself."""
+    markets = spark.createDataFrame([("US", "Z", "United States"), ("GB", "Y", "United Kingdom")], "market string, zone string, name string")
+    due = spark.createDataFrame([("US", "Z", "2024-03-04"), ("US", "Z", "2024-03-05"), ("GB", "Y", "2024-03-04")], "market string, zone string, day string")
+    bodies = spark.range(0, 900, 1, 6).select(F.col("id").alias("user_id"), F.when(F.col("id") < 10, "IN").otherwise("US").alias("market"), F.lit("b").alias("body"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        told = streams.digests(due, markets, bodies)
+        assert "hashpartitioning(market" not in told._jdf.queryExecution().executedPlan().toString()
+        at = F.spark_partition_id().alias("at")
+        assert told.select(at).distinct().count() == 6
+        assert sorted(map(tuple, told.collect())) == sorted((u, "US", d, "Morning Brief — United States", "b") for u in range(10, 900) for d in ("2024-03-04", "2024-03-05"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_changes_are_those_of_the_quotes(spark):
+    want = quotes(spark, SMALL).select("symbol", "k", "change_pct")
+    assert sorted(map(tuple, changes(spark, SMALL).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_scoring_is_done_once_though_batches_are_repeated(spark):
     path, kind = shared.folder(spark), "id long, at int"
     known = {"now": 0}

@@ -11,7 +11,7 @@ from tidemark.plans.registry import query
 from tidemark.plans.store import _LOG, predictions
 from tidemark.plans.technical import r6
 from tidemark.sources import shared
-from tidemark.sources.market import QUOTES_SQL, indexed, quotes, table
+from tidemark.sources.market import QUOTES_SQL, changes, indexed, table
 from tidemark.streaming.bars import session_stats, tumbling_bars
 from tidemark.streaming.keyed import alert_stream, digest_days, quota_stream
 from tidemark.streaming.scoring import Scorer
@@ -91,13 +91,23 @@ def movers(spark, sf_dir):
     watched = o.join(li.filter("l_returnflag = 'A'"), F.col("o_orderkey") == F.col("l_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("o_custkey").alias("user_id"), F.col("p_brand").alias("symbol")).distinct()
     cents = F.floor(F.abs("change_pct") * 100 + 0.5).cast("long")
     line = F.concat("symbol", F.when(F.col("change_pct") >= 0, " +").otherwise(" -"), F.expr("string(cents div 100)"), F.lit("."), F.lpad((F.col("cents") % 100).cast("string"), 2, "0"), F.lit("%"))
-    moved = quotes(spark, sf_dir).filter("change_pct is not null").withColumn("cents", cents).select("symbol", (F.col("k") % len(MARKETS) + 1).cast("int").alias("place"), line.alias("line"))
+    moved = changes(spark, sf_dir).filter("change_pct is not null").withColumn("cents", cents).select("symbol", (F.col("k") % len(MARKETS) + 1).cast("int").alias("place"), line.alias("line"))
     codes = F.array(*(F.lit(m[0]) for m in MARKETS))
     found = watched.join(F.broadcast(moved), "symbol").withColumn("market", F.element_at(codes, F.col("place")))
     # One line a symbol of the market, which the symbol dimension bounds.
     return found.groupBy("user_id", "market").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symbol", "line"))), lambda x: x["line"]), "  ·  ").alias("body"))
 
 
+def digests(due, markets, bodies):
+    """Each body on each day that is due in its market.
+
+    The due days are few and go to the bodies, which stay where they are: a shuffle by market
+    would make each market one task's work.
+    """
+    days = due.join(F.broadcast(markets.select("market", "name")), "market").select("market", "day", F.concat(F.lit("Morning Brief — "), "name").alias("title"))
+    return bodies.join(F.broadcast(days), "market").select("user_id", "market", "day", "title", "body")
+
+
 _ZONES_SQL = ", ".join(f"('{code}', '{zone}', '{name}')" for code, zone, name in MARKETS)
 
 
@@ -116,8 +126,7 @@ def stm_02_digest_stream(spark, sf_dir):
     markets = spark.createDataFrame(list(MARKETS), "market string, zone string, name string")
     bodies = shared.stored(movers(spark, sf_dir))
     due = digest_days(_events(spark, sf_dir), markets.select("market", "zone"))
-    told = due.join(F.broadcast(markets.select("market", "name")), "market").join(bodies, "market")
-    return _drained(spark, told.select("user_id", "market", "day", F.concat(F.lit("Morning Brief — "), "name").alias("title"), "body"))
+    return _drained(spark, digests(due, markets, bodies))
 
 
 @query("stm_07_scored_stream", _LOG + f", sc as (select decision_id, direction, fwd, case when fwd > 0.0005 then 'up' when fwd < -0.0005 then 'down' else 'flat' end as realised from lg where fwd is not null) select decision_id, direction, realised, {r6('fwd')} as ret, direction = realised as correct from sc")

@@ -89,6 +89,16 @@ market as (select date, mret, floor(100*exp(sum(ln(1+mret)) over (order by date)
   select cast(l_shipdate as date) as date, cast(sum(cast(round(l_discount*100) as bigint)) as double)/count(*)/100-0.05 as mret from lineitem group by 1))"""
 
 
+def _change_pct():
+    return rounded((F.col("close") - F.col("prev")) / F.col("prev") * 100).alias("change_pct")
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, k and change_pct of each symbol's latest bar, as ``quotes`` has them, from one pass over the lines."""
+    x = indexed(spark, sf_dir).select("symbol", "k", "close", "i", "n", F.lag("close").over(by_date()).alias("prev"))
+    return x.filter(F.col("i") == F.col("n") - 1).select("symbol", "k", _change_pct())
+
+
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest bar of each symbol with averages, range, beta and fundamentals."""
     x = indexed(spark, sf_dir).join(market(spark, sf_dir), "date", "left")
@@ -108,7 +118,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = part.groupBy(F.col("p_brand").alias("symbol"), "p_type").agg(F.count("*").alias("c")).groupBy("symbol").agg(F.min_by("p_type", F.struct(-F.col("c"), "p_type")).alias("sector"))
     out = newest.join(facts, "symbol", "left").join(types, "symbol", "left")
     return out.select(
-        "symbol", "k", "date", F.col("close").alias("price"), F.col("prev").alias("last_close"), rounded((F.col("close") - F.col("prev")) / F.col("prev") * 100).alias("change_pct"),
+        "symbol", "k", "date", F.col("close").alias("price"), F.col("prev").alias("last_close"), _change_pct(),
         rounded(F.col("ma50")).alias("ma50"), rounded(F.col("ma200"), 8).alias("ma200"), "hi52", "lo52", "volume", rounded(F.col("avg_volume")).alias("avg_volume"), rounded(F.col("beta")).alias("beta"),
         (F.col("close") * F.col("volume") * F.pow(F.lit(10.0), 6 + F.col("k") % 4)).alias("market_cap"),
         F.when(F.col("k") % 7 != 0, rounded(F.col("size"))).alias("pe_ratio"), rounded(F.col("yield_pct")).alias("dividend_yield"), "sector",
